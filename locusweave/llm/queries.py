@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 
 SIZE = 4096
 
@@ -68,3 +68,22 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END refers_to FROM d""",
 }
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    got = identify(docs, learn(docs))
+    return got.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import ACCEPT, learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    got = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
+QUERIES |= {f.__name__: f for f in (op2_language_id, op8_quality)}
