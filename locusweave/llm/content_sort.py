@@ -21,6 +21,8 @@ from .common import partitions
 #: Sampled rows for each bucket, and bytes of a text that lead the sort key.
 SAMPLED_PER_BUCKET, LEAD = 24, 16
 BUCKETS_PER_PARTITION = 4
+#: Most buckets (and so rows of about 100 bytes) for which what runs over several buckets is broadcast.
+BROADCAST_BUCKETS = 100_000
 
 
 def _splitters(keyed: DataFrame, ident: str, buckets: int) -> list[str]:
@@ -68,15 +70,18 @@ def _runs(df: DataFrame, text: str, ident: str, normalise, keep: str, buckets: i
         .drop("_cs_text")
     )
     # A text that goes on from one bucket to the next is the head of the next one: only those need a sum over buckets.
+    # Both are bounded by the number of buckets (one head each), so up to BROADCAST_BUCKETS they are broadcast; a hot text then
+    # isn't gathered by its digest. Beyond that Spark chooses the join.
+    small = F.broadcast if buckets <= BROADCAST_BUCKETS else (lambda d: d)
     tops = rows.where(F.col("_cs_rn") == 1).select("_cs_sha", "_cs_bucket", "_cs_keep", "_cs_n", "_cs_head")
-    heads = tops.where("_cs_head").select("_cs_sha").distinct()
+    heads = small(tops.where("_cs_head").select("_cs_sha").distinct())
     pick = F.max("_cs_keep") if keep == "largest" else F.min("_cs_keep")
     spans = (
         tops.join(heads, "_cs_sha", "left_semi").groupBy("_cs_sha")
         .agg(pick.alias("_cs_all_keep"), F.sum("_cs_n").alias("_cs_all_n"), F.count(F.lit(1)).alias("_cs_parts"))
         .where("_cs_parts > 1").drop("_cs_parts")
     )
-    return rows, spans
+    return rows, small(spans)
 
 
 def content_groups(df: DataFrame, text: str = "text", ident: str = "doc_id", normalise=lambda c: c, keep: str = "smallest", buckets: int | None = None) -> DataFrame:
