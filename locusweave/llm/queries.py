@@ -96,3 +96,13 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op7_lm_scoring,)}
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import components_of
+
+    got = components_of(table(spark, sf_dir, "documents"))
+    return got.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+QUERIES |= {f.__name__: f for f in (op4_ngram_jaccard,)}
