@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import scratch, small_batches
 
 MIN_REVISIT = 100
-#: Bytes of the dictionary; most records and bytes of records it is built from; salts of a group of equal payloads.
+#: Bytes of the dictionary; records (in expectation) and bytes of records it is built from at most; salts of a group of equal payloads.
 DICT_BYTES, DICT_RECORDS, DICT_SAMPLE_BYTES, SALTS = 65_536, 1_000, 4_000_000, 16
 #: The magic numbers of a dictionary frame, of an empty skippable frame (also as the separator) and of a compressed frame.
 DICT_MAGIC, EMPTY_FRAME, ZSTD_MAGIC = 0x184D2A5D, b"P*M\x18\0\0\0\0", 0xFD2FB528
@@ -116,9 +116,11 @@ def write(pages: DataFrame, path: str, ident: str = "page_id", payload: str = "h
     spark = pages.sparkSession
     small_batches(spark)
     made = decisions(pages, ident, payload, url)
-    some = pages.select(F.col(ident), F.coalesce(F.col(url), F.lit("")), F.substring(F.coalesce(F.col(payload), F.lit("")), 1, 20_000)).orderBy(F.xxhash64(F.col(ident), F.lit(11))).limit(DICT_RECORDS)
+    # About DICT_RECORDS records picked by a hash of the id, and of each at most 20,000 characters.
+    share = int(1_000_000 * min(1.0, DICT_RECORDS / max(1, pages.count())))
+    some = pages.where(F.pmod(F.xxhash64(F.col(ident), F.lit(11)), F.lit(1_000_000)) < share).select(F.col(ident), F.coalesce(F.col(url), F.lit("")), F.substring(F.coalesce(F.col(payload), F.lit("")), 1, 20_000))
     samples, size = [], 0
-    for r in some.collect():
+    for r in some.toLocalIterator():
         if size < DICT_SAMPLE_BYTES:
             body = r[2].encode("utf-8", "replace")
             samples.append(record(r[0], r[1], body, hashlib.sha256(body).hexdigest(), None))
