@@ -106,3 +106,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op4_ngram_jaccard,)}
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {f.__name__: f for f in (op5_html,)}
