@@ -57,10 +57,15 @@ def _runs(df: DataFrame, text: str, ident: str, normalise, keep: str, buckets: i
     key = F.concat_ws("|", F.hex(F.unbase64(lead)), F.col("_cs_sha"), F.lpad(F.coalesce(F.col(ident).cast("string"), F.lit("")), 20, "0"))
     keyed = df.withColumn("_cs_text", norm).withColumn("_cs_sha", sha).withColumn("_cs_key", key)
     splitters = _splitters(keyed, ident, buckets)
-    dealt = keyed.withColumn("_cs_bucket", _bucket(F.col("_cs_key"), splitters)).drop("_cs_key").repartition("_cs_bucket")
-    best = F.col(ident).desc_nulls_last() if keep == "largest" else F.col(ident).asc_nulls_last()
-    run = Window.partitionBy("_cs_bucket", "_cs_text").orderBy(best)
-    inside = Window.partitionBy("_cs_bucket").orderBy("_cs_text", best)
+    # The normalised text is made again behind the shuffle, which then carries each text once.
+    dealt = keyed.withColumn("_cs_bucket", _bucket(F.col("_cs_key"), splitters)).drop("_cs_key", "_cs_text").repartition("_cs_bucket").withColumn("_cs_text", norm)
+    best = [F.col(ident).desc_nulls_last() if keep == "largest" else F.col(ident).asc_nulls_last()]
+    # Rows of one id and text are told apart by their other columns, so the choice is the same in every run; and both uses of
+    # the rows need the same columns, so they share one shuffle.
+    if others := [c for c in df.columns if c not in (ident, text)]:
+        best.append(F.xxhash64(*[F.col(c) for c in others]))
+    run = Window.partitionBy("_cs_bucket", "_cs_text").orderBy(*best)
+    inside = Window.partitionBy("_cs_bucket").orderBy("_cs_text", best[0])
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = (
         dealt.withColumn("_cs_rn", F.row_number().over(run))
