@@ -59,20 +59,23 @@ def _runs(df: DataFrame, text: str, ident: str, normalise, keep: str, buckets: i
     splitters = _splitters(keyed, ident, buckets)
     # The normalised text is made again behind the shuffle, which then carries each text once.
     dealt = keyed.withColumn("_cs_bucket", _bucket(F.col("_cs_key"), splitters)).drop("_cs_key", "_cs_text").repartition("_cs_bucket").withColumn("_cs_text", norm)
+    dealt = dealt.withColumn("_cs_lead", F.concat(F.hex(F.substring(F.col("_cs_text").cast("binary"), 1, LEAD)), F.lit("|")))
     best = [F.col(ident).desc_nulls_last() if keep == "largest" else F.col(ident).asc_nulls_last()]
     # Rows of one id and text are told apart by their other columns, so the choice is the same in every run; and both uses of
     # the rows need the same columns, so they share one shuffle.
     if others := [c for c in df.columns if c not in (ident, text)]:
         best.append(F.xxhash64(*[F.col(c) for c in others]))
-    run = Window.partitionBy("_cs_bucket", "_cs_text").orderBy(*best)
-    inside = Window.partitionBy("_cs_bucket").orderBy("_cs_text", best[0])
+    # Inside a bucket the order is that of the splitters, so that what comes from the bucket before is at the head.
+    order = ["_cs_lead", "_cs_sha", "_cs_text"]
+    run = Window.partitionBy("_cs_bucket", *order).orderBy(*best)
+    inside = Window.partitionBy("_cs_bucket").orderBy(*order, *best)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = (
         dealt.withColumn("_cs_rn", F.row_number().over(run))
         .withColumn("_cs_head", F.dense_rank().over(inside) == 1)
         .withColumn("_cs_keep", F.first(ident).over(run))
         .withColumn("_cs_n", F.count(F.lit(1)).over(whole))
-        .drop("_cs_text")
+        .drop("_cs_text", "_cs_lead")
     )
     # A text that goes on from one bucket to the next is the head of the next one: only those need a sum over buckets.
     # Both are bounded by the number of buckets (one head each), so up to BROADCAST_BUCKETS they are broadcast; a hot text then
