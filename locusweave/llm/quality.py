@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
 
     kind = picked.schema["_id"].dataType.simpleString()
     got = sorted((r for r in picked.select("_id", "_t", "_y").mapInArrow(run, f"_id {kind}, _y int, s binary").collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
-    x = np.array([np.frombuffer(bytes(r[2]), np.float32) for r in got]).reshape(len(got), -1)
+    x = np.array([np.frombuffer(bytes(r[2]), np.float32) for r in got]).reshape(len(got), N_STATS)
     return fit(x, np.array([float(r[1] > 0) for r in got]))
 
 
