@@ -52,7 +52,8 @@ def _runs(df: DataFrame, text: str, ident: str, normalise, keep: str, buckets: i
     spark = df.sparkSession
     buckets = buckets or BUCKETS_PER_PARTITION * partitions(spark)
     norm = normalise(F.coalesce(F.col(text), F.lit("")))
-    sha = F.sha2(norm.cast("binary"), 256)
+    # Known not to be null, so that no join puts a null filter below the shuffle, which then couldn't be shared.
+    sha = F.coalesce(F.sha2(norm.cast("binary"), 256), F.lit(""))
     lead = F.base64(F.substring(norm.cast("binary"), 1, LEAD))
     key = F.concat_ws("|", F.hex(F.unbase64(lead)), F.col("_cs_sha"), F.lpad(F.coalesce(F.col(ident).cast("string"), F.lit("")), 20, "0"))
     keyed = df.withColumn("_cs_text", norm).withColumn("_cs_sha", sha).withColumn("_cs_key", key)
