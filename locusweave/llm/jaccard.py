@@ -1,11 +1,11 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
-1. Signatures: the set of word shingles of each whole text (64-bit hashes), its size, its digest, a few min-hashes; shingles that
-   repeat inside a part of the input are counted on the way, for the order in the next steps. Texts with equal sets are one
-   representative from here on.
+1. Signatures: the set of word shingles of each whole text (64-bit hashes), its size, its digest, a few min-hashes. Texts with
+   equal sets are one representative from here on.
 2. Star links: representatives with a common min-hash are compared with the smallest id among them; pairs that reach the
    threshold are links. This puts large groups of near copies together in a number of comparisons linear in their size. It finds links early and decides nothing: step 3 misses none.
-3. Adaptive multi-match prefixes: a document's shingles are ordered from rare to frequent. Two sets that reach the
+3. Adaptive multi-match prefixes: a document's shingles are ordered from rare to frequent. Frequency is the number of components
+   of step 2, not of documents, counted in a table of SLOTS counters over all texts. Two sets that reach the
    threshold share at least min(l, m) shingles in their l- and m-prefixes (n - ceil(t n) + l shingles). Each document
    picks the l for which reading its prefix and checking the estimated candidates costs least. Shingles go, packed, to
    buckets; there the components of step 2 that share a shingle are counted, once for each pair of components, so copies never
@@ -35,8 +35,10 @@ from .components import components
 WORDS, PERCENT = 5, 80
 #: Min-hashes of a document, and how many a pair must share to be compared in step 2 (missed links are found in step 3).
 HASHES, SHARED = 8, 3
-#: Frequent shingles whose counts order the prefixes (the most frequent ones), and the largest l.
-FREQUENT, LONGEST = 1 << 18, 8
+#: The largest l. Counters of the frequency table (one byte each once they are broadcast), and of one row of partial counts.
+LONGEST = 8
+SLOTS_LOG, CHUNK = 22, 1 << 16
+SLOTS = 1 << SLOTS_LOG
 #: Shingles that a task holds before it hands its counts or its packed prefixes on; shingles of a bucket.
 FLUSH, BUCKET = 3_000_000, 800_000
 #: Documents of a block in verification: of the base, of the queries.
@@ -90,80 +92,108 @@ def least_shared(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(s: np.ndarray, hot: np.ndarray, times: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+#: Codes of the frequency table stand for about these counts: eight steps for each doubling.
+_COUNTS = np.append(0, np.exp2(np.arange(255) / 8))
+
+
+def slot(s: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return (s >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)
+
+
+def prefix(s: np.ndarray, codes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The shingles of the adaptive prefix and its l."""
     n = len(s)
-    df = np.zeros(n, np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-        df = np.where(hot[at] == s, times[at], 0)
+    code = codes[slot(s)]
     need = least_shared(n, percent)
-    if df.any():
-        order = np.argsort(df, kind="stable")
-        s, df = s[order], df[order]
+    if code.any():
+        order = np.argsort(code, kind="stable")
+        s, code = s[order], code[order]
     most = min(LONGEST, need)
     first = n - need + 1
-    cost = np.cumsum(df[: first + most - 1])[first - 1 :].astype(np.float64)
+    cost = np.cumsum(_COUNTS[code[: first + most - 1]])[first - 1 :]
     ells = np.arange(1, len(cost) + 1)
     ell = int(np.argmin(first + ells + 4 * cost / ells)) + 1
     return s[: first + ell - 1], ell
 
 
 def signatures(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """doc, n, digest, hashes for each row; besides, rows with packed counts of shingles that occur in several texts of a part (hot, times)."""
+    """doc, n, digest, hashes for each row."""
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
-    shape = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("hashes", pa.list_(pa.int64())), ("hot", pa.binary()), ("times", pa.binary())])
+    shape = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        held, size, seen = [], 0, set()
-
-        def counted():
-            x, c = np.unique(np.concatenate(held), return_counts=True)
-            x, c = x[c > 1], c[c > 1]
-            for k in range(0, len(x), 100_000):
-                yield pa.RecordBatch.from_pydict({"doc": [None], "n": [None], "digest": [None], "hashes": [None], "hot": [x[k : k + 100_000].tobytes()], "times": [c[k : k + 100_000].astype(np.int64).tobytes()]}, schema=shape)
-
         for b in batches:
-            out = {"doc": b.column(0).to_pylist(), "n": [], "digest": [], "hashes": [], "hot": [None] * len(b), "times": [None] * len(b)}
+            out = {"doc": b.column(0).to_pylist(), "n": [], "digest": [], "hashes": []}
             for t in b.column(1).to_pylist():
                 s = shingles(t)
-                digest = xxh3_128_digest(s.tobytes())
                 out["n"].append(len(s))
-                out["digest"].append(digest)
+                out["digest"].append(xxh3_128_digest(s.tobytes()))
                 out["hashes"].append((s[:, None] * _SEEDS).min(axis=0).view(np.int64).tolist() if len(s) else None)
-                if len(s) and digest not in seen:
-                    seen.add(digest)
-                    held.append(s)
-                    size += len(s)
-                    if size > FLUSH:
-                        yield from counted()
-                        held, size, seen = [], 0, set()
             yield pa.RecordBatch.from_pydict(out, schema=shape)
-        if held:
-            yield from counted()
 
     src = docs.select(F.col(ident).cast("long"), F.col(text).cast("binary"))
-    return stash(src.mapInArrow(run, "doc long, n long, digest binary, hashes array<long>, hot binary, times binary"), "signatures")
+    return stash(src.mapInArrow(run, "doc long, n long, digest binary, hashes array<long>"), "signatures")
+
 
+def frequencies(docs: DataFrame, ident: str, text: str, known: DataFrame) -> np.ndarray:
+    """A code for each of the SLOTS counters: in how many components its shingles occur, less the median of all counters.
 
-def frequent(sig: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT most frequent shingles that repeat, sorted, and their counts: at most FREQUENT numbers of each."""
+    Of a component, its document with the smallest id counts (the filters of ids let some others through; the order only
+    affects cost). Tasks give counts of CHUNK counters, as pairs where few aren't 0; they are summed on the executors, and
+    the driver gets SLOTS codes, whatever the input.
+    """
     import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            for hot, times in zip(*(x.to_pylist() for x in b.columns)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hot, np.int64)), pa.array(np.frombuffer(times, np.int64))], ["s", "c"])
+    spark = docs.sparkSession
+    small_batches(spark)
+    src = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).cast("binary").alias("t")).where("doc is not null and t is not null")
+    src = maybe(maybe(src, id_filter(known), "doc").withColumnRenamed("_maybe", "_known"), id_filter(known.where("doc = component")), "doc")
+    shape = pa.schema([("chunk", pa.int32()), ("at", pa.binary()), ("times", pa.binary())])
 
-    rows = sig.where("hot is not null").select("hot", "times").mapInArrow(run, "s long, c long")
-    top = rows.groupBy("s").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()
-    s, c = top.column("s").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.argsort(s)
-    return s[order], c[order]
+    def count(batches):
+        total, held, size = np.zeros(SLOTS, np.uint32), [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.append(slot(shingles(t)))
+                size += len(held[-1])
+                if size > FLUSH:
+                    total += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
+        for k in range(0, SLOTS, CHUNK):
+            part = total[k : k + CHUNK]
+            at = np.flatnonzero(part)
+            if not len(at):
+                continue
+            if few := len(at) < CHUNK // 4:
+                part = part[at]
+            kind = np.uint8 if part.max() < 256 else np.uint32
+            yield pa.RecordBatch.from_pydict({"chunk": [k // CHUNK], "at": [at.astype(np.uint16).tobytes() if few else None], "times": [part.astype(kind).tobytes()]}, schema=shape)
+
+    def add(batches):
+        total = {}
+        for b in batches:
+            for k, at, times in zip(*(x.to_pylist() for x in b.columns)):
+                x = total.setdefault(k, np.zeros(CHUNK, np.int64))
+                where = slice(None) if at is None else np.frombuffer(at, np.uint16)
+                rows = CHUNK if at is None else len(where)
+                x[where] += np.frombuffer(times, np.uint8 if len(times) == rows else np.uint32)
+        for k, x in total.items():
+            yield pa.RecordBatch.from_pydict({"chunk": [k], "times": [x.tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("times", pa.binary())]))
+
+    parts = src.where("not _known or _maybe").select("t").mapInArrow(count, "chunk int, at binary, times binary").repartition("chunk")
+    sums = parts.mapInArrow(add, "chunk int, times binary").toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    for k, times in zip(*(x.to_pylist() for x in sums.columns)):
+        counts[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(times, np.int64)
+    counts = np.maximum(counts - int(np.median(counts)), 0)
+    return np.where(counts > 0, np.minimum(1 + 8 * np.log2(np.maximum(counts, 1)), 255), 0).astype(np.uint8)
 
 
 def id_filter(ids: DataFrame, name: str = "doc") -> DataFrame:
@@ -252,7 +282,7 @@ def star_links(docs: DataFrame, ident: str, text: str, reps: DataFrame) -> DataF
     return verify(docs, ident, text, bases.unionByName(queries))
 
 
-def candidate_pairs(docs: DataFrame, ident: str, text: str, known: DataFrame, hot: np.ndarray, times: np.ndarray, total: int) -> DataFrame:
+def candidate_pairs(docs: DataFrame, ident: str, text: str, known: DataFrame, codes: np.ndarray, total: int) -> DataFrame:
     """(a, b): pairs of components whose members share enough prefix shingles. known: doc, component, rep of all documents that are not alone."""
     import pyarrow as pa
 
@@ -286,7 +316,7 @@ def candidate_pairs(docs: DataFrame, ident: str, text: str, known: DataFrame, ho
                 s = shingles(t)
                 if not len(s):
                     continue
-                p, ell = prefix(s, hot, times)
+                p, ell = prefix(s, codes)
                 held.append(p)
                 comp.append(c)
                 ells.append(ell)
@@ -378,12 +408,10 @@ def cross_links(docs: DataFrame, ident: str, text: str, pairs: DataFrame, member
 def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, n, component for each row of docs."""
     sig = signatures(docs, ident, text)
-    rows = sig.where("hot is null").drop("hot", "times")
-    some = rows.where("doc is not null and n > 0")
+    some = sig.where("doc is not null and n > 0")
     copies = some.groupBy("digest", "n").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    ids = stash(salted(rows.select("doc", "n", "digest", "hashes"), copies, ["digest", "n"], "doc").select("doc", "n", "hashes", F.coalesce("first", "doc").alias("first"), F.col("first").isNotNull().alias("copied")), "ids")
+    ids = stash(salted(sig, copies, ["digest", "n"], "doc").select("doc", "n", "hashes", F.coalesce("first", "doc").alias("first"), F.col("first").isNotNull().alias("copied")), "ids")
     reps = ids.where("doc = first and n > 0").select("doc", "n", "hashes").dropDuplicates(["doc"])
-    hot, times = frequent(sig)
     stars = stash(star_links(docs, ident, text, reps), "stars")
     early = components(stars.select("a", "b"))
     # Documents that are copies or in a component of several; all others are components of their own.
@@ -391,7 +419,7 @@ def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     twins = ids.where("copied and n > 0").select("doc", (F.col("doc") == F.col("first")).alias("rep")).dropDuplicates(["doc"])
     known = stash(members.join(twins, "doc", "full").select("doc", F.coalesce("component", "doc").alias("component"), F.coalesce("rep", F.lit(True)).alias("rep")), "known")
     total = ids.agg(F.sum("n")).first()[0] or 0
-    pairs = stash(candidate_pairs(docs, ident, text, known, hot, times, int(total)), "candidates")
+    pairs = stash(candidate_pairs(docs, ident, text, known, frequencies(docs, ident, text, known), int(total)), "candidates")
     more = stash(cross_links(docs, ident, text, pairs, members), "cross")
     final = components(stars.unionByName(more)).select(F.col("id").alias("first"), "component")
     return ids.join(final, "first", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("doc")).alias("component"))
