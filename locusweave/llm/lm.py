@@ -1,15 +1,17 @@
 """Language-model scoring by a Brown class-based bigram model.
 
-P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)). The HEAD most frequent training words are dealt over
-CLASSES classes by exchange clustering: in turn each word is moved to the class that raises the class-bigram likelihood most, until no
-word moves. All other words are in a class by their spelling (length and last letter), which also holds the words not
+P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)). The most frequent training words (the head, which grows with the
+training tokens, as do the classes) are dealt over the classes by exchange clustering: in turn each word is moved to the class that
+raises the class-bigram likelihood most, until no word moves. Then every other training word seen MIN_COUNT times or more
+is taken out of its spelling class and put into the class that raises the likelihood most against the head's classes, which stay as they are.
+Rarer words stay in a class by their spelling (length and last letter), which also holds the words not
 seen in training; the end of a document is a class of its own. Class transitions are interpolated with class frequencies
 (Witten-Bell); in the spelling classes absolute discounting leaves probability for unseen words.
 
-What is counted: the words of all training documents (c, N, V), in partial counts per chunk of documents and one
-aggregation by word; transitions between head words, spelling classes and ends over all training tokens. Only the table of those
-transitions, (HEAD + spelling classes + 1) squared numbers whatever the input, goes to the driver. Word counts are never collected or
-broadcast: each chunk's distinct words meet the counts in a join, and come back to the chunk as one array.
+What is counted: the words of all training documents (c, N, V) and what stands before and after each word, in partial counts per chunk of
+documents that meet in buckets of words; transitions between head words, spelling classes and ends, and later between all classes, over all
+training tokens. Only the tables of those transitions go to the driver. Word counts are never collected or
+broadcast: a bucket sends each chunk the counts and classes of its words.
 
 Words are known by 64-bit hashes (XXH3, with the spelling class in the lowest bits).
 
@@ -21,6 +23,7 @@ empty result; extra columns are ignored. A null id has fold crc32("").
 from __future__ import annotations
 
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,13 +31,38 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, partitions, small_batches, stash
 
-#: Words that are clustered by exchange, classes they are dealt over, sweeps at most.
-HEAD, CLASSES, SWEEPS = 800, 48, 6
+#: Least number of head words; how often other words must be seen to be put into a class of the head.
+HEAD, MIN_COUNT = 800, 5
 #: Spelling classes: 4 lengths times 8 kinds of last character; a chunk's text bytes.
 SHAPES, CHUNK_BYTES = 32, 12_000_000
 ENDINGS = {c: i for i, cs in enumerate(("aàáâä", "eéèê", "ioíóöu", "nmñ", "rsß", "dt", ".,;:!?")) for c in cs.encode()}
 
 
+def sizes(tokens: int) -> tuple[int, int]:
+    """Head words and classes for so many training tokens: by their cube root, so that the head's table stays on the driver (3,000 words at 1 billion tokens, 72 MB)."""
+    head = max(HEAD, int(3 * tokens ** (1 / 3)))
+    return head, isqrt(3 * head)
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: first the lowest byte of each, and so on."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+    return len(a).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b"")
+
+
+def expand(cell: bytes, kind=np.int32) -> np.ndarray:
+    """What squeeze() was given."""
+    import pyarrow as pa
+
+    n, width = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(cell[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
 def shape(word: bytes) -> int:
     """The spelling class of a word."""
     n = len(word)
@@ -66,9 +94,9 @@ def chunks(docs: DataFrame, ident: str, text: str, of: int, test: int) -> DataFr
             tok = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
             n = np.array([len(t) for t in tokens], np.int64)
             train = np.repeat(~np.array(held, bool), n)
-            counts = np.bincount(tok[train], minlength=len(words)).astype(np.int64)
-            cells = [np.array(ids, np.int64), n, np.array(held, bool), tok, words.view(np.int64), counts]
-            return pa.RecordBatch.from_pydict({k: [c.tobytes()] for (k, _), c in zip(CHUNK_FIELDS, cells)} | {"null_id": pa.array([null], pa.int32())})
+            counts = np.bincount(tok[train], minlength=len(words)).astype(np.int32)
+            cells = [np.array(ids, np.int64).tobytes(), n.tobytes(), np.array(held, bool).tobytes(), squeeze(tok), words.view(np.int64).tobytes(), squeeze(counts)]
+            return pa.RecordBatch.from_pydict({k: [c] for (k, _), c in zip(CHUNK_FIELDS, cells)} | {"null_id": pa.array([null], pa.int32())})
 
         ids, held, tokens, number, size, null = [], [], [], _Words(), 0, -1
         for b in batches:
@@ -90,27 +118,78 @@ def chunks(docs: DataFrame, ident: str, text: str, of: int, test: int) -> DataFr
     return stash(made.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
 
 
-def word_rows(table: DataFrame) -> DataFrame:
-    """chunk, at, word, n: the distinct words of each chunk."""
+def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (words.view(np.uint64) >> np.uint64(5)) % np.uint64(buckets)
+
+
+def word_counts(table: DataFrame, buckets: int, head: int) -> DataFrame:
+    """For each bucket of words: its `head` most frequent training words and their counts, tokens, distinct words, and of its words below
+    MIN_COUNT, for each spelling class: tokens, distinct words, words seen once, words seen twice."""
+    import pyarrow as pa
+
+    def send(batches):
+        for b in batches:
+            for words, counts in zip(*(x.to_pylist() for x in b.columns)):
+                w, n = np.frombuffer(words, np.int64), expand(counts)
+                w, n = w[n > 0], n[n > 0]
+                to = bucket_of(w, buckets)
+                order = np.argsort(to, kind="stable")
+                ends = np.searchsorted(to[order], np.arange(buckets + 1))
+                out = [(k, order[i:j]) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([w[i].tobytes() for _, i in out], pa.binary()), pa.array([squeeze(n[i]) for _, i in out], pa.binary())], ["bucket", "words", "n"])
+
+    def add(key, batch):
+        w = np.concatenate([np.frombuffer(x, np.int64) for x in batch.column("words").to_pylist()])
+        n = np.concatenate([expand(x) for x in batch.column("n").to_pylist()])
+        w, at = np.unique(w, return_inverse=True)
+        c = np.bincount(at, n, len(w)).astype(np.int64)
+        low = c < MIN_COUNT
+        kinds = np.array([np.bincount(w[some] & 31, weights, SHAPES) for some, weights in ((low, c[low]), (low, None), (c == 1, None), (c == 2, None))]).astype(np.int64)
+        top = np.lexsort((w, -c))[:head]
+        return pa.table({"words": [w[top].tobytes()], "c": [c[top].tobytes()], "tokens": [int(c.sum())], "distinct": [len(w)], "kinds": [kinds.tobytes()]}, schema=schema)
+
+    schema = pa.schema([("words", pa.binary()), ("c", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("kinds", pa.binary())])
+    sent = table.select("words", "counts").mapInArrow(send, "bucket long, words binary, n binary")
+    return stash(sent.groupBy("bucket").applyInArrow(add, "words binary, c binary, tokens long, distinct long, kinds binary"), "lm-counts")
+
+
+def most_frequent(counted: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            for chunk, words, counts in zip(*(x.to_pylist() for x in b.columns)):
-                w, n = np.frombuffer(words, np.int64), np.frombuffer(counts, np.int64)
-                for k in range(0, len(w), 100_000):
-                    part = slice(k, k + 100_000)
-                    m = len(w[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk, np.int64)), pa.array(np.arange(k, k + m, dtype=np.int32)), pa.array(w[part]), pa.array(n[part])], ["chunk", "at", "word", "n"])
+            for words, c in zip(*(x.to_pylist() for x in b.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["word", "c"])
+
+    top = counted.select("words", "c").mapInArrow(run, "word long, c long").orderBy(F.desc("c"), "word").limit(head).toArrow()
+    return top.column("word").to_numpy(), top.column("c").to_numpy().astype(np.float64)
+
 
-    return table.select("chunk", "words", "counts").mapInArrow(run, "chunk long, at int, word long, n long")
+def f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300)) * (x > 0)
 
 
-def exchange(t: np.ndarray, head: int, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each of the first `head` symbols; the others (columns and rows after them) stay alone. t: bigram counts.
+def weigh(n: np.ndarray, rows: np.ndarray, cols: np.ndarray, classes: int, r: np.ndarray, c: np.ndarray, own: float, total: tuple[float, float]) -> np.ndarray:
+    """What the likelihood gains by a word in each of the classes. n: class bigrams without the word, rows and cols: how often other members are first and second of a pair; r, c: the word's
+    counts before and after each class, own: before itself, total: all as first and as second of a pair.
 
     The likelihood is the sum of f(N(c, d)) over classes less f of the row and column sums, with f(n) = n log n.
     """
+    i, j = np.flatnonzero(r), np.flatnonzero(c)
+    m, k = n[:classes, i], n[j, :classes]
+    gain = (f(m + r[i]) - f(m)).sum(axis=1) + (f(k + c[j][:, None]) - f(k)).sum(axis=0)
+    d = np.arange(classes)
+    both = n[d, d]
+    gain += f(both + r[d] + c[d] + own) - f(both + r[d]) - f(both + c[d]) + f(both)
+    rows, cols = rows[:classes], cols[:classes]
+    return gain - (f(rows + total[0]) - f(rows) + f(cols + total[1]) - f(cols))
+
+
+def exchange(t: np.ndarray, head: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each of the first `head` symbols, and the class bigrams; the others (columns and rows after them) stay alone. t: bigram counts.
+
+    Ends when no word moves: each move raises the likelihood by more than rounding.
+    """
     size = len(t)
     others = size - head
     of = np.concatenate([np.arange(head) % classes, classes + np.arange(others)])
@@ -122,12 +201,11 @@ def exchange(t: np.ndarray, head: int, classes: int, sweeps: int = SWEEPS) -> np
         left[:, j] = t[of == j].sum(axis=0)
     n = np.zeros((k, k))
     np.add.at(n, of, right)
-
-    def f(x):
-        return x * np.log(np.maximum(x, 1e-300)) * (x > 0)
-
-    freq = t.sum(axis=1)[:head], t.sum(axis=0)[:head]
-    for _ in range(sweeps):
+    rows, cols = n.sum(axis=1), n.sum(axis=0)
+    first, second = t.sum(axis=1)[:head], t.sum(axis=0)[:head]
+    least = 1e-12 * float(f(np.array([t.sum()]))[0]) + 1e-9
+    moved = head
+    while moved:
         moved = 0
         for w in range(head):
             a = of[w]
@@ -138,19 +216,17 @@ def exchange(t: np.ndarray, head: int, classes: int, sweeps: int = SWEEPS) -> np
             n[a] -= r
             n[:, a] -= c
             n[a, a] -= self_
-            m = n[:classes]
-            rows, cols = n.sum(axis=1)[:classes], n.sum(axis=0)[:classes]
-            gain = (f(m + r) - f(m)).sum(axis=1) + (f(n[:, :classes] + c[:, None]) - f(n[:, :classes])).sum(axis=0)
-            d = np.arange(classes)
-            own = n[d, d]
-            gain += f(own + r[d] + c[d] + self_) - f(own + r[d]) - f(own + c[d]) + f(own)
-            gain -= f(rows + freq[0][w]) - f(rows) + f(cols + freq[1][w]) - f(cols)
+            rows[a] -= first[w]
+            cols[a] -= second[w]
+            gain = weigh(n, rows, cols, classes, r, c, self_, (first[w], second[w]))
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             n[b] += r
             n[:, b] += c
             n[b, b] += self_
+            rows[b] += first[w]
+            cols[b] += second[w]
             if b != a:
                 moved += 1
                 of[w] = b
@@ -158,27 +234,113 @@ def exchange(t: np.ndarray, head: int, classes: int, sweeps: int = SWEEPS) -> np
                 right[:, b] += t[:, w]
                 left[:, a] -= t[w]
                 left[:, b] += t[w]
-        if not moved:
-            break
-    return of
+    return of, n
+
+
+def find(head: np.ndarray, values: np.ndarray, words: np.ndarray, default) -> np.ndarray:
+    """The value of each word that is in the head (sorted), and else the default."""
+    if not len(head):
+        return default + np.zeros(len(words), np.int64)
+    at = np.minimum(np.searchsorted(head, words), len(head) - 1)
+    return np.where(head[at] == words, values[at], default)
+
+
+def assigned(table: DataFrame, buckets: int, head: np.ndarray, head_class: np.ndarray, n: np.ndarray, classes: int) -> DataFrame:
+    """chunk, at, c, class: counts and classes of each chunk's words, from the buckets of words. head is sorted; n: its class bigrams."""
+    import pyarrow as pa
+
+    end = classes + SHAPES
+    kinds = end + 2  # classes, spelling classes, the end, the word itself
+    fields = [("bucket", "long"), ("chunk", "long"), ("at", "binary"), ("words", "binary"), ("n", "binary"), ("cells", "binary"), ("code", "binary"), ("times", "binary")]
+    rows, cols = n.sum(axis=1), n.sum(axis=0)
+
+    def send(batches):
+        for b in batches:
+            for chunk, held, lengths, tokens, words, counts in zip(*(x.to_pylist() for x in b.columns)):
+                words, counts = np.frombuffer(words, np.int64), expand(counts)
+                to = bucket_of(words, buckets)
+                order = np.argsort(to, kind="stable")
+                place = np.empty(len(words), np.int64)  # of each word in that order
+                place[order] = np.arange(len(words))
+                cls = find(head, head_class, words, -1)
+                lengths = np.frombuffer(lengths, np.int64)
+                idx = with_ends(expand(tokens), lengths, len(words))
+                code = np.append(np.where(cls < 0, classes + (words & 31), cls), end)[idx]
+                take = np.flatnonzero(np.repeat(~np.frombuffer(held, bool), lengths + 1) & (np.append(cls, 0)[idx] < 0))
+                w, base = idx[take], place[idx[take]] * (2 * kinds)
+                # An end follows each word's document, and the chunk's last end stands before the first word as its place -1.
+                before, after = idx[take - 1], idx[take + 1]
+                keys = np.concatenate([base + np.where(before == w, kinds - 1, code[take - 1]), (base + kinds + code[take + 1])[after != w]])
+                keys, times = np.unique(keys, return_counts=True)
+                whose, keys, times = keys // (2 * kinds), (keys % (2 * kinds)).astype(np.int16), times.astype(np.int32)
+                per_word = np.bincount(whose, minlength=len(words)).astype(np.int32)
+                ends = np.searchsorted(to[order], np.arange(buckets + 1))
+                cell_ends = np.searchsorted(whose, ends)
+                for k in range(0, buckets, 64):
+                    out = [(j, order[ends[j] : ends[j + 1]], slice(ends[j], ends[j + 1]), slice(cell_ends[j], cell_ends[j + 1])) for j in range(k, min(k + 64, buckets)) if ends[j + 1] > ends[j]]
+                    cols_ = [[j for j, *_ in out], [chunk] * len(out), [squeeze(i.astype(np.int32)) for _, i, _, _ in out], [words[i].tobytes() for _, i, _, _ in out], [squeeze(counts[i]) for _, i, _, _ in out], [squeeze(per_word[s]) for _, _, s, _ in out], [squeeze(keys[s]) for *_, s in out], [squeeze(times[s]) for *_, s in out]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(cols_)], [k for k, _ in fields])
+
+    def choose(key, batch):
+        got = {k: batch.column(k).to_pylist() for k in ("chunk", "at", "words", "n", "cells", "code", "times")}
+        parts = [np.frombuffer(x, np.int64) for x in got["words"]]
+        w, at = np.unique(np.concatenate(parts), return_inverse=True)
+        c = np.bincount(at, np.concatenate([expand(x) for x in got["n"]]), len(w)).astype(np.int64)
+        cls = find(head, head_class, w, -1)
+        todo = np.flatnonzero((cls < 0) & (c >= MIN_COUNT))
+        cls = np.where(cls < 0, classes + (w & 31), cls)
+        keys = np.repeat(at, np.concatenate([expand(x) for x in got["cells"]])) * (2 * kinds) + np.concatenate([expand(x, np.int16) for x in got["code"]])
+        times = np.concatenate([expand(x) for x in got["times"]])
+        keys, where = np.unique(keys, return_inverse=True)
+        times = np.bincount(where, times, len(keys))
+        first = np.searchsorted(keys, todo * (2 * kinds))
+        last = np.searchsorted(keys, (todo + 1) * (2 * kinds))
+        for i, x, y in zip(todo.tolist(), first.tolist(), last.tolist()):
+            cells = np.zeros(2 * kinds)
+            cells[keys[x:y] - i * (2 * kinds)] = times[x:y]
+            before, own, after, s = cells[: end + 1], cells[kinds - 1], cells[kinds : kinds + end + 1], cls[i]
+            # Without the word: what it adds to the row and the column of its spelling class.
+            n[s] -= after
+            n[:, s] -= before
+            n[s, s] -= own
+            cls[i] = weigh(n, rows, cols, classes, after, before, own, (c[i], c[i])).argmax()
+            n[s] += after
+            n[:, s] += before
+            n[s, s] += own
+        cut = np.cumsum([len(x) for x in parts])[:-1]
+        back = np.split(at, cut)
+        return pa.table({"chunk": got["chunk"], "at": got["at"], "c": [squeeze(c[i]) for i in back], "class": [squeeze(cls[i].astype(np.int16)) for i in back]}, schema=schema)
+
+    schema = pa.schema([("chunk", pa.int64()), ("at", pa.binary()), ("c", pa.binary()), ("class", pa.binary())])
+    sent = table.select("chunk", "held", "lengths", "tokens", "words", "counts").mapInArrow(send, ", ".join(f"{k} {t}" for k, t in fields))
+    return sent.groupBy("bucket").applyInArrow(choose, "chunk long, at binary, c binary, class binary")
+
+
+def by_chunk(rows: DataFrame) -> DataFrame:
+    """chunk, c, class: counts and classes of all of a chunk's words in its own order, from the rows of assigned()."""
+    import pyarrow as pa
+
+    def gather(key, batch):
+        at = np.concatenate([expand(x) for x in batch.column("at").to_pylist()])
+        c, cls = np.zeros(len(at), np.int64), np.zeros(len(at), np.int16)
+        c[at] = np.concatenate([expand(x, np.int64) for x in batch.column("c").to_pylist()])
+        cls[at] = np.concatenate([expand(x, np.int16) for x in batch.column("class").to_pylist()])
+        return pa.table({"chunk": [key[0].as_py()], "c": [squeeze(c)], "class": [squeeze(cls)]}, schema=pa.schema([("chunk", pa.int64()), ("c", pa.binary()), ("class", pa.binary())]))
+
+    return rows.groupBy("chunk").applyInArrow(gather, "chunk long, c binary, class binary")
 
 
 class Model:
     """Log10 probabilities of class transitions and what emissions need."""
 
-    def __init__(self, head: np.ndarray, head_counts: np.ndarray, t: np.ndarray, shapes: dict[int, tuple[int, int, int, int]], n: int, v: int):
-        """shapes: spelling class -> tokens, distinct words, words seen once, words seen twice (without head words)."""
-        order = np.argsort(head)
-        self.head, self.n, self.v = head[order], n, v
-        h = len(head)
-        of = exchange(t.astype(np.float64), h, CLASSES) if h else np.arange(len(t))
-        k = int(of.max()) + 1 if h else len(t)
-        self.k, self.end = k, k - 1
+    def __init__(self, n2: np.ndarray, shapes: dict[int, tuple[int, int, int, int]], n: int, v: int):
+        """n2: bigrams of classes, spelling classes and the end; shapes: spelling class -> tokens, distinct words, words seen once, words seen twice."""
+        self.n, self.v = n, v
+        self.k = k = len(n2)
+        self.end = k - 1
         first = k - 1 - SHAPES
-        self.first_shape = first
-        self.head_class = of[:h][order].astype(np.int64)
-        size = np.zeros(k)
-        np.add.at(size, of[:h], head_counts)
+        n2 = n2.astype(np.float64)
+        size = np.where(np.arange(k) < first, n2.sum(axis=0), 0.0)
         self.fresh, self.discount = np.zeros(k), np.zeros(k)
         for s in range(SHAPES):
             tokens, distinct, once, twice = shapes.get(s, (0, 0, 0, 0))
@@ -186,21 +348,10 @@ class Model:
             self.discount[first + s] = once / (once + 2 * twice) if once and twice else 0.5
             self.fresh[first + s] = max(self.discount[first + s] * distinct, 0.5)
         self.size = size + np.where(self.discount > 0, np.maximum(0.5 - self.discount * np.array([0.0] * first + [shapes.get(s, (0, 0))[1] for s in range(SHAPES)] + [0.0]), 0), 0)
-        n2 = np.zeros((k, k))
-        np.add.at(n2, (of[:, None], of[None, :]), t)
         seen = n2.sum(axis=0) + 0.5  # class frequencies as successors
         uni = seen / seen.sum()
         types = (n2 > 0).sum(axis=1, keepdims=True) + 1.0
         self.step = np.log10((n2 + types * uni) / (n2.sum(axis=1, keepdims=True) + types))
-        self.end_p = 0.0
-
-    def classes(self, words: np.ndarray) -> np.ndarray:
-        """Class of each word by its hash."""
-        out = self.first_shape + (words & 31)
-        if len(self.head):
-            at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
-            out = np.where(self.head[at] == words, self.head_class[at], out)
-        return out
 
     def emission(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 P(word | class); a word not seen takes all that its spelling class leaves for such words."""
@@ -216,43 +367,38 @@ def _loaded(packed: bytes) -> Model:
     return pickle.loads(packed)
 
 
-def transitions(table: DataFrame, head: np.ndarray) -> np.ndarray:
-    """Bigram counts over the training documents between head words, spelling classes and the end (which also stands before each first word)."""
+def bigrams(symbol: np.ndarray, tokens: bytes, lengths: bytes, held: bytes, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbours in a chunk's training documents, as first * (end + 1) + second, and their counts. symbol: of each of the chunk's words; the end also stands before each first word."""
+    n, keep = np.frombuffer(lengths, np.int64), ~np.frombuffer(held, bool)
+    seq = with_ends(symbol[expand(tokens)], n, end)
+    before = np.append(end, seq[:-1])
+    use = np.repeat(keep, n + 1)
+    return np.unique(before[use] * (end + 1) + seq[use], return_counts=True)
+
+
+def transitions(table: DataFrame, size: int, symbols) -> np.ndarray:
+    """Bigram counts over the training documents. table: held, lengths, tokens and what symbols() makes the words' symbols of; the last symbol is the end."""
     import pyarrow as pa
 
-    size = len(head) + SHAPES + 1
-    order = np.argsort(head)
-    sorted_head = head[order]
+    block = max(1, (1 << 18) // size)  # rows of the table that are added up together
 
     def run(batches):
-        total = np.zeros(size * size, np.int64)
         for b in batches:
-            for held, lengths, tokens, words in zip(*(x.to_pylist() for x in b.columns)):
-                words = np.frombuffer(words, np.int64)
-                symbol = len(head) + (words & 31)
-                if len(head):
-                    at = np.minimum(np.searchsorted(sorted_head, words), len(head) - 1)
-                    symbol = np.where(sorted_head[at] == words, order[at], symbol)
-                n, keep = np.frombuffer(lengths, np.int64), ~np.frombuffer(held, bool)
-                seq = with_ends(symbol[np.frombuffer(tokens, np.int32)], n, size - 1)
-                before = np.append(size - 1, seq[:-1])
-                use = np.repeat(keep, n + 1)
-                total += np.bincount(before[use] * size + seq[use], minlength=size * size)
-        rows = total.reshape(size, size)
-        some = np.flatnonzero(rows.any(axis=1))
-        for k in range(0, len(some), 64):
-            part = some[k : k + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([rows[i].tobytes() for i in part], pa.binary())], ["row", "n"])
+            for held, lengths, tokens, *rest in zip(*(x.to_pylist() for x in b.columns)):
+                codes, n = bigrams(symbols(*rest), tokens, lengths, held, size - 1)
+                ends = np.searchsorted(codes, np.arange(0, size + block, block) * size)
+                out = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([squeeze(codes[s] - k * block * size) for k, s in out], pa.binary()), pa.array([squeeze(n[s]) for _, s in out], pa.binary())], ["block", "code", "n"])
 
     def add(key, batch):
-        total = np.sum([np.frombuffer(x, np.int64) for x in batch.column("n").to_pylist()], axis=0)
-        return pa.table({"row": [key[0].as_py()], "n": [total.tobytes()]}, schema=pa.schema([("row", pa.int32()), ("n", pa.binary())]))
+        codes = np.concatenate([expand(x, np.int64) for x in batch.column("code").to_pylist()])
+        total = np.bincount(codes, np.concatenate([expand(x, np.int64) for x in batch.column("n").to_pylist()]), block * size).astype(np.int64)
+        return pa.table({"block": [key[0].as_py()], "n": [squeeze(total)]}, schema=pa.schema([("block", pa.int64()), ("n", pa.binary())]))
 
-    got = table.select("held", "lengths", "tokens", "words").mapInArrow(run, "row int, n binary").groupBy("row").applyInArrow(add, "row int, n binary")
-    t = np.zeros((size, size), np.int64)
-    for r in got.collect():
-        t[r["row"]] = np.frombuffer(bytes(r["n"]), np.int64)
-    return t
+    t = np.zeros((-(-size // block) * block, size), np.float64)
+    for r in table.mapInArrow(run, "block long, code binary, n binary").groupBy("block").applyInArrow(add, "block long, n binary").toLocalIterator():
+        t[r["block"] * block : (r["block"] + 1) * block] = expand(bytes(r["n"]), np.int64).reshape(block, size)
+    return t[:size]
 
 
 def with_ends(symbols: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
@@ -263,51 +409,54 @@ def with_ends(symbols: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def clustered(parts: DataFrame):
+    """Chunks with counts and classes of their words, number of classes, the spelling classes' counts, word tokens and distinct words in training."""
+    spark = parts.sparkSession
+    many = parts.count()
+    buckets = max(min(partitions(spark), 4 * many), many // 2, 1)
+    tokens = sum(sum(expand(bytes(r[0])).tolist()) for r in parts.select("counts").toLocalIterator())
+    n_head, n_classes = sizes(tokens)
+    counted = word_counts(parts, buckets, n_head)
+    small_batches(spark, 4)
+    distinct = counted.agg(F.sum("distinct")).first()[0] or 0
+    shapes = sum((np.frombuffer(bytes(r[0]), np.int64).reshape(4, SHAPES) for r in counted.select("kinds").toLocalIterator()), np.zeros((4, SHAPES), np.int64))
+    head, head_counts = most_frequent(counted, n_head)
+    for w, c in zip(head.tolist(), head_counts.tolist()):
+        if c < MIN_COUNT:
+            shapes[:, w & 31] -= [int(c), 1, c == 1, c == 2]
+    n_classes = n_classes if len(head) else 0
+    order = np.argsort(head)
+    ordered, size = head[order], len(head) + SHAPES + 1
+    t = transitions(parts.select("held", "lengths", "tokens", "words"), size, lambda words: find(ordered, order, w := np.frombuffer(words, np.int64), len(head) + (w & 31)))
+    of, n = exchange(t, len(head), n_classes)
+    rows = assigned(parts, buckets, ordered, of[: len(head)][order], n, n_classes)
+    m = max(2 * spark.sparkContext.defaultParallelism, partitions(spark))
+    classed = stash(parts.drop("words", "counts").repartition(m, "chunk").join(by_chunk(rows), "chunk", "left"), "lm-classed")
+    return classed, n_classes, {s: tuple(map(int, shapes[:, s])) for s in range(SHAPES)}, tokens, distinct
+
+
 def score_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text", of: int = 5, test: int = 1) -> DataFrame:
     """ident, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; one row for each input row."""
     import pickle
 
     import pyarrow as pa
 
-    spark = docs.sparkSession
     parts = chunks(docs, ident, text, of, test)
-    small_batches(spark, 1)  # a row is a chunk of documents
-    rows = word_rows(parts)
-    counts = stash(rows.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
+    small_batches(docs.sparkSession, 4)  # a row is a chunk of documents
     trained = sum(int((~np.frombuffer(bytes(r[0]), bool)).sum()) for r in parts.select("held").toLocalIterator())
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    head = np.array([r["word"] for r in top], np.int64)
-    head_counts = np.array([r["c"] for r in top], np.float64)
-    rest = counts.join(F.broadcast(spark.createDataFrame([(int(x),) for x in head], "word long")), "word", "left_anti")
-    kinds = rest.groupBy(F.col("word").bitwiseAND(31).alias("s")).agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).collect()
-    shapes = {int(r[0]): tuple(map(int, r[1:])) for r in kinds}
-    n_words = int(head_counts.sum()) + sum(x[0] for x in shapes.values())
-    n = n_words + trained  # ends are tokens too
-    v = len(head) + sum(x[1] for x in shapes.values()) + (trained > 0)
-    model = pickle.dumps(Model(head, head_counts, transitions(parts, head), shapes, n, v))
-
-    def gather(key, batch):
-        at, c = batch.column("at").to_numpy(), batch.column("c").to_numpy()
-        out = np.zeros(int(at.max()) + 1, np.int64)
-        out[at] = c
-        return pa.table({"chunk": [key[0].as_py()], "c": [out.tobytes()]}, schema=pa.schema([("chunk", pa.int64()), ("c", pa.binary())]))
-
-    known = rows.select("chunk", "at", "word").join(counts.hint("shuffle_merge"), "word").select("chunk", "at", "c")
-    per_chunk = known.groupBy("chunk").applyInArrow(gather, "chunk long, c binary")
-    joined = parts.join(per_chunk, "chunk", "left").repartition(max(2 * spark.sparkContext.defaultParallelism, partitions(spark)), "chunk").select("ids", "lengths", "held", "tokens", "words", "c", "null_id")
+    classed, n_classes, shapes, tokens, distinct = clustered(parts)
+    none = squeeze(np.zeros(0, np.int16))
+    t = transitions(classed.select("held", "lengths", "tokens", "class"), n_classes + SHAPES + 1, lambda c: expand(c or none, np.int16).astype(np.int64))
+    model = pickle.dumps(Model(t, shapes, tokens + trained, distinct + (trained > 0)))  # ends are tokens too
     fields = f"`{ident}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
     def run(batches):
         m = _loaded(model)
         for b in batches:
-            for ids, lengths, held, tokens, words, c, null in zip(*(x.to_pylist() for x in b.columns)):
-                words, lengths = np.frombuffer(words, np.int64), np.frombuffer(lengths, np.int64)
-                count = np.zeros(len(words), np.int64)
-                if c is not None:
-                    have = np.frombuffer(c, np.int64)
-                    count[: len(have)] = have
-                tok = np.frombuffer(tokens, np.int32)
-                cls = m.classes(words)
+            for ids, lengths, held, tokens, count, cls, null in zip(*(x.to_pylist() for x in b.columns)):
+                lengths = np.frombuffer(lengths, np.int64)
+                count, cls = expand(count or none, np.int64), expand(cls or none, np.int16).astype(np.int64)
+                tok = expand(tokens)
                 emit = m.emission(cls, count)
                 total = m.n + 0.5 * (m.v + 1)
                 base = np.log10((count + 0.5) / total)
@@ -323,7 +472,7 @@ def score_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text",
                 cols = [pa.array(who, mask=np.arange(len(who)) == null), pa.array(np.frombuffer(held, bool)), pa.array(lengths + 1), pa.array(add(kn).astype(np.int64)), pa.array(np.full(len(who), m.n)), pa.array(add(lb)), pa.array(s), pa.array(10 ** np.minimum(-s / (lengths + 1), 300))]
                 yield pa.RecordBatch.from_arrays(cols, [ident, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return joined.mapInArrow(run, fields)
+    return classed.select("ids", "lengths", "held", "tokens", "c", "class", "null_id").mapInArrow(run, fields)
 
 
 def with_ends_values(values: np.ndarray, lengths: np.ndarray, end: float) -> np.ndarray:

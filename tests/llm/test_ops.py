@@ -188,3 +188,47 @@ def test_pipeline(spark):
     assert len({t for _, t in kept}) == len(kept) and all(i == c for i, (_, c) in brute_components(kept).items())
     out = cp.run(spark, sf)
     assert {r.doc_id for r in out.collect()} == {i for i, _ in kept}
+
+
+def test_lm_clusters_all_words(spark):
+    """Words beyond the head get the class of their neighbourhood, and the exchange ends where no move raises the likelihood, summed directly."""
+    import numpy as np
+
+    rng = random.Random(4)
+    kinds = [[f"{c}{i}x" for i in range(700)] for c in "ab"]
+    pairs = list(zip(*(rng.sample(9 * k, 9 * len(k)) for k in kinds)))
+    df = spark.createDataFrame([(i, " ".join(w for p in pairs[i::60] for w in p) + f" once{i}") for i in range(60)], "doc_id long, text string").repartition(3)
+    parts = lm.chunks(df, "doc_id", "text", 5, 1)
+    classed, n_classes, shapes, tokens, distinct = lm.clustered(parts)
+    of = {}
+    for r in classed.join(parts.select("chunk", "words"), "chunk").collect():
+        for w, c, k in zip(np.frombuffer(r.words, np.int64).tolist(), lm.expand(r.c, np.int64).tolist(), lm.expand(r["class"], np.int16).tolist()):
+            assert of.setdefault(w, (c, k)) == (c, k)
+    from xxhash import xxh3_64_intdigest
+
+    hashed = lambda w: int(np.uint64((xxh3_64_intdigest(w.encode()) & ~31) | lm.shape(w.encode())).view(np.int64))
+    train = [i for i in range(60) if lm.fold_of(i) != 1]
+    want = {}
+    for i in train:
+        for w in [w for p in pairs[i::60] for w in p] + [f"once{i}"]:
+            want[w] = want.get(w, 0) + 1
+    assert (tokens, distinct) == (sum(want.values()), len(want)) and {hashed(w): c for w, c in want.items()} == {w: c for w, (c, _) in of.items() if c}
+    frequent = [[of[hashed(w)][1] for w in kind if want.get(w, 0) >= lm.MIN_COUNT] for kind in kinds]
+    n_frequent = sum(c >= lm.MIN_COUNT for c in want.values())
+    assert n_frequent > lm.HEAD + 200 and max(map(max, frequent)) < n_classes
+    assert sum(min(kind.count(k) for kind in frequent) for k in range(n_classes)) < 0.02 * n_frequent
+    assert sum(x[1] for x in shapes.values()) == len(want) - n_frequent
+
+    t = np.random.default_rng(1).integers(0, 9, (20, 20)).astype(float)
+    cls, n = lm.exchange(t, 15, 4)
+
+    def likelihood(cls):
+        g = np.zeros((9, 9))
+        np.add.at(g, (cls[:, None], cls[None, :]), t)
+        return lm.f(g).sum() - lm.f(g.sum(axis=0)).sum() - lm.f(g.sum(axis=1)).sum()
+
+    for w in range(15):
+        for k in range(4):
+            moved = cls.copy()
+            moved[w] = k
+            assert likelihood(moved) <= likelihood(cls) + 1e-6
