@@ -10,8 +10,8 @@ so ties are exact. The best k of all blocks meet per query.
 Queries are a stated set against all rows, in blocks: each chunk of queries meets each block once, by a join on the
 block's number.
 
-Defined results: vectors that are null, empty, hold null or non-finite components, or quantise beyond +-2**24 take
-no part (their scores need not fit a long); shorter vectors count as filled with zeros up to the longest; a row never answers a query
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part; every other vector does, and sums
+are as wide as they need be. A quantised component or a resulting score that doesn't fit a long is an error, never a row left out; shorter vectors count as filled with zeros up to the longest; a row never answers a query
 with its own id; repeated rows are rows of their own; fewer than k candidates give fewer results; null ids take no part.
 """
 
@@ -25,23 +25,25 @@ from .common import partitions, small_batches, stash
 
 #: Rows of a block (a bitmap is then 2 KB) and queries of a chunk.
 BLOCK_ROWS, CHUNK = 16_384, 128
-LIMIT = 1 << 24
+#: Sums that a long need not hold are compared in three parts of so many bits.
+PART = 60
 
 
 def quantised(df: DataFrame, ident: str, vector: str, scale: int = 256) -> DataFrame:
     """ident, q: array of long; rows that take no part are left out."""
-    x = F.transform(F.col(vector), lambda v: F.floor(v.cast("double") * scale))
-    good = F.forall(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double") * scale) < LIMIT))
+    wide = F.raise_error(F.lit("top_k: a quantised component doesn't fit a long"))
+    x = F.transform(F.col(vector), lambda v: F.when(F.abs(v.cast("double") * scale) < 2.0**63, F.floor(v.cast("double") * scale)).otherwise(wide.cast("long")))
+    good = F.forall(F.col(vector), lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))  # NaN is above all
     return df.select(F.col(ident).cast("long").alias("_id"), F.when(good & (F.size(vector) > 0), x).alias("q")).where("_id is not null and q is not null")
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """(dims, bits, words) of bitmaps for non-negative values (rows, dims), and how many bits."""
+    """(dims, bits, words) of bitmaps for unsigned values (rows, dims), and how many bits."""
     rows, dims = values.shape
     bits = max(1, int(values.max(initial=0)).bit_length())
     out = np.zeros((dims, bits, (rows + 63) // 64), np.uint64)
     for b in range(bits):
-        packed = np.packbits((values >> b & 1).astype(np.uint8).T, axis=1, bitorder="little")
+        packed = np.packbits((values >> np.uint64(b) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
         wide = np.zeros((dims, out.shape[2] * 8), np.uint8)
         wide[:, : packed.shape[1]] = packed
         out[:, b] = wide.view(np.uint64)
@@ -94,10 +96,11 @@ def top_rows(score: list[np.ndarray | None], k: int, alive: np.ndarray) -> tuple
                 break
     picked = np.concatenate([unpack(sure), unpack(open_)[: k - have]])  # the boundary's rows are equal
     word, bit = picked // 64, (picked % 64).astype(np.uint64)
-    value = np.zeros(len(picked), np.int64)
+    kind = np.int64 if len(score) < 63 else object  # Python's integers where a long need not hold the sum
+    value = np.zeros(len(picked), kind)
     for p, s in enumerate(score):
         if s is not None:
-            value += (s[word] >> bit & np.uint64(1)).astype(np.int64) << p
+            value += (s[word] >> bit & np.uint64(1)).astype(np.int64).astype(kind) << p
     return picked, value
 
 
@@ -114,7 +117,7 @@ def search_block(ids: np.ndarray, index: np.ndarray, bits: int, offset: int, que
         q = q[:dims]
         size = np.abs(q)
         # sum q*x = sum |q|*(u or most-u) - [most*|q| where q < 0] - offset*sum q, with u = x + offset
-        shift = -int(size[q < 0].sum()) * most - offset * int(q.sum())
+        shift = -sum(size[q < 0].tolist()) * most - offset * sum(q.tolist())
         parts: dict[int, list[np.ndarray]] = {}
         for sign, source in ((1, index), (-1, flipped)):
             w = np.where(np.sign(q) == sign, size, 0)
@@ -131,7 +134,7 @@ def search_block(ids: np.ndarray, index: np.ndarray, bits: int, offset: int, que
             for r in own.tolist():
                 alive[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
         rows, value = top_rows(score, k, alive)
-        yield qid, ids[rows], value + shift
+        yield qid, ids[rows], [x + shift for x in value.tolist()]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -154,10 +157,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_id"
                 v[i, : len(x)] = x
             v = v[order]
             low = min(0, int(v.min()))
-            index, bits = slices(v - low)
+            index, bits = slices(v.view(np.uint64) - np.array(low, np.int64).view(np.uint64))
             left_ids.clear()
             left_q.clear()
-            return pa.RecordBatch.from_pydict({"ids": [ids[order].tobytes()], "dims": [dims], "bits": [bits], "low": [-low], "slices": [index.tobytes()]}, schema=shape)
+            return pa.RecordBatch.from_pydict({"ids": [ids[order].tobytes()], "dims": [dims], "bits": [bits], "low": [low], "slices": [index.tobytes()]}, schema=shape)
 
         shape = pa.schema([("ids", pa.binary()), ("dims", pa.int32()), ("bits", pa.int32()), ("low", pa.int64()), ("slices", pa.binary())])
         for b in batches:
@@ -179,17 +182,20 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_id"
 
     def search(batches):
         for b in batches:
-            out = {"query_id": [], "id": [], "score": []}
+            out = {"query_id": [], "id": [], "score": [], "high": [], "mid": [], "least": []}
             for r in b.to_pylist():
                 ids = np.frombuffer(r["ids"], np.int64)
                 slc = np.frombuffer(r["slices"], np.uint64).reshape(r["dims"], r["bits"], -1)
                 asked = [(x["_id"], np.array(x["q"], np.int64)) for x in r["queries"]]
-                for qid, found, score in search_block(ids, slc, r["bits"], r["low"], asked, k):
+                for qid, found, score in search_block(ids, slc, r["bits"], -r["low"], asked, k):
                     out["query_id"] += [qid] * len(found)
                     out["id"] += found.tolist()
-                    out["score"] += score.tolist()
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())]))
-
-    near = pairs.select("ids", "dims", "bits", "low", "slices", "queries").mapInArrow(search, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id")))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(ident), "score")
+                    out["score"] += [x if -(1 << 63) <= x < 1 << 63 else None for x in score]
+                    for part, down in (("high", 2 * PART), ("mid", PART), ("least", 0)):
+                        out[part] += [x >> down if part == "high" else x >> down & (1 << PART) - 1 for x in score]
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
+
+    near = pairs.select("ids", "dims", "bits", "low", "slices", "queries").mapInArrow(search, "query_id long, id long, score long, high long, mid long, least long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("high").desc(), F.col("mid").desc(), F.col("least").desc(), F.col("id")))
+    score = F.coalesce("score", F.raise_error(F.lit("top_k: a score doesn't fit a long")).cast("long"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(ident), score.alias("score"))

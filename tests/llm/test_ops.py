@@ -232,3 +232,29 @@ def test_lm_clusters_all_words(spark):
             moved = cls.copy()
             moved[w] = k
             assert likelihood(moved) <= likelihood(cls) + 1e-6
+
+
+@pytest.mark.parametrize("most", [1e5, 3e6, 2e9])
+def test_topk_takes_all_finite_vectors(spark, most):
+    """Vectors with large components are candidates, and queries where the scores fit a long."""
+    rng = random.Random(3)
+    v = [(i, [rng.choice([-0.5, 0.25, 1.0]) for _ in range(8)]) for i in range(60)] + [(100 + i, [rng.choice([-most, most]) if rng.random() < 0.3 else 0.25 for _ in range(8)]) for i in range(7)]
+    v += [(150, [most * 1.0] * 4 + [0.5] * 4), (151, [-most] * 4 + [0.5] * 4), (152, [float("inf")] * 8), (153, [float("nan")] + [most] * 7)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df, df.where("vec_id in (0, 50, 150)" if most < 1e9 else "vec_id in (0, 50)"), 5).collect())
+    q = {i: [int(256 * x // 1) for x in e] for i, e in v[:-2]}
+    want = []
+    for a in (0, 50, 150) if most < 1e9 else (0, 50):
+        best = sorted((-sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a)[:5]
+        want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_topk_sums_beyond_a_long(spark):
+    """Scores beyond a long below the k best do no harm; among the k best they are an error."""
+    df = spark.createDataFrame([(0, [1e9, 1.0]), (1, [-1e9, 1.0]), (2, [0.5, 1e9]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>").coalesce(1)
+    got = top_k(df, df.where("vec_id = 0"), 2).collect()
+    q = [256 * 10**9, 256]
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 2, q[0] * 128 + q[1] * q[0]), (2, 3, q[1] * 512)]
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        top_k(df, df.where("vec_id = 0"), 3).collect()
