@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-ROUNDS = 60
-
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): every id that has a link, with the smallest id it can reach. links: two long columns a and b; null ids and self-links count for nothing."""
     e = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stash(e, "links")
     before = None
-    for _ in range(ROUNDS):
+    while True:  # until a round changes nothing
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

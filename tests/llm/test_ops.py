@@ -258,3 +258,11 @@ def test_topk_sums_beyond_a_long(spark):
     assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 2, q[0] * 128 + q[1] * q[0]), (2, 3, q[1] * 512)]
     with pytest.raises(Exception, match="doesn't fit a long"):
         top_k(df, df.where("vec_id = 0"), 3).collect()
+
+
+def test_components_end_only_when_nothing_changes(spark, monkeypatch):
+    from locusweave.llm import components
+
+    monkeypatch.setattr(components, "ROUNDS", 1, raising=False)  # a bound on the rounds must not cut the work
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    assert sorted((r.id, r.component) for r in components.components(links).collect()) == [(i, 0) for i in range(31)]
