@@ -1,19 +1,32 @@
-"""Helpers shared by the training-data operators: shared scratch tables, Arrow batch sizes, table reading."""
+"""Helpers shared by the training-data operators: shared scratch tables, bounded work on Arrow batches, table reading."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
+#: Rows and bytes of an Arrow batch that an operator takes at once (one row may be longer). Spark itself bounds a batch by
+#: spark.sql.execution.arrow.maxBytesPerBatch; no setting of the session is changed here.
+SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one is set only where none is, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a single-machine session gets a temporary
+    one; on a cluster that is an error, as other machines don't see a local folder."""
     at = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="locusweave-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -29,13 +42,98 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound Arrow batches by rows: documents may be long, and a worker holds a whole batch."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables made by stash() that no plan reads any more."""
+    for t in tables:
+        if path := getattr(t, "stash_path", None):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows and, by their mean, about SLICE_BYTES bytes."""
+    for b in batches:
+        per = max(1, min(rows, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, per):
+            yield b.slice(at, per)
+
+
+def threshold(want: int, total: int) -> int:
+    """Of 2 ** 63 equally likely values, below which a row belongs to a sample of about `want` of `total` rows; never 0 for a table with rows."""
+    return max(1, min(1 << 63, (want << 63) // max(1, total)))
+
+
+def sampled(df: DataFrame, want: int, total: int, *cols: Column | str, seed: int) -> DataFrame:
+    """About `want` rows of a table of `total`, picked by a hash of these columns; all rows where there are no more."""
+    if total <= want:
+        return df
+    return df.where(F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 1) < F.lit(threshold(want, total)))
+
+
+#: Rows of a group that one task may get; groups that may be broadcast at most; rows of a table of a few numbers that is broadcast at most (some 20 MB).
+HOT_ROWS, HOT_GROUPS, BROADCAST_ROWS = 100_000, 50_000, 200_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast if it has BROADCAST_ROWS rows at most; beyond that Spark chooses the join. df: a written table of a few numbers."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], count: str = "c") -> DataFrame:
+    """Left join of rows with a table of groups (one row for each key, `count`: how many rows it has at least in `rows`).
+
+    A table of few groups is broadcast. Else rows of groups larger than a cut aren't gathered by their key: there are at most HOT_GROUPS such groups, whatever the
+    input, and they are broadcast. All others are joined by key.
+    """
+    total, most, n = groups.agg(F.sum(count), F.max(count), F.count(F.lit(1))).first()
+    cut = max(HOT_ROWS, (total or 0) // HOT_GROUPS)
+    if n <= BROADCAST_ROWS or most <= cut:
+        return rows.join(small(groups.drop(count), n), on, "left")
+    hot = groups.where(F.col(count) > cut).drop(count).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), on, "left")
+    others = marked.where("_hot is null").select(*rows.columns).join(groups.where(F.col(count) <= cut).drop(count), on, "left")
+    return marked.where("_hot").drop("_hot").unionByName(others)
+
+
+_HELD: dict = {}
+
+
+def held(name: str, key, make):
+    """What make() gives, kept in the worker for the next task with this key. A worker holds one such thing, whatever operators it has run."""
+    if _HELD.get("key") != (name, key):
+        _HELD.clear()
+        _HELD["value"], _HELD["key"] = make(), (name, key)
+    return _HELD["value"]
+
+
+def forget() -> None:
+    """Operators that keep nothing in a worker free what others have kept."""
+    _HELD.clear()
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: first the lowest byte of each, and so on."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+    return len(a).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b"")
+
+
+def expand(cell: bytes, kind=np.int32) -> np.ndarray:
+    """What squeeze() was given."""
+    import pyarrow as pa
+
+    n, width = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(cell[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +152,9 @@ def fold_of(ident: int | None, of: int = 5) -> int:
 
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Bound Arrow batches by rows: documents may be long, and a worker holds a whole batch."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

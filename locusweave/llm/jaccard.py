@@ -2,24 +2,29 @@
 
 1. Signatures: the set of word shingles of each whole text (64-bit hashes), its size, its digest, a few min-hashes. Texts with
    equal sets are one representative from here on.
-2. Star links: representatives with a common min-hash are compared with the smallest id among them; pairs that reach the
-   threshold are links. This puts large groups of near copies together in a number of comparisons linear in their size. It finds links early and decides nothing: step 3 misses none.
+2. Star links: of the documents with a common min-hash the pivot is the one whose min-hashes are the most common, which is the middle
+   of a group of near copies. Each document is compared with the one pivot that shares the most min-hashes with it; pairs that
+   reach the threshold are links. Where many documents of a large group are left without a link, further rounds take further pivots as long as
+   they link a good share of what they ask. This puts groups of near copies together in a number of comparisons linear in
+   their size. It finds links early and decides nothing: step 3 misses none.
 3. Adaptive multi-match prefixes: a document's shingles are ordered from rare to frequent. Frequency is the number of components
-   of step 2, not of documents, counted in a table of SLOTS counters over all texts. Two sets that reach the
-   threshold share at least min(l, m) shingles in their l- and m-prefixes (n - ceil(t n) + l shingles). Each document
-   picks the l for which reading its prefix and checking the estimated candidates costs least. Shingles go, packed, to
-   buckets; there the components of step 2 that share a shingle are counted, once for each pair of components, so copies never
-   make pairs among themselves. Pairs of components that share enough shingles are candidates.
-4. Candidates are verified exactly: blocks of members of one component against the members of the others.
+   of step 2, not of documents, counted over all texts in a table whose size goes with the number of shingles. Two sets that
+   share at least `a` shingles share at least l of them within the first n - a + l of either. Each document picks the l
+   (and so the length of its prefix, with the `a` of the smallest partner it can have) for which its prefix and the estimated candidates cost least.
+   Shingles go, packed, to buckets; there two documents count as sharing a shingle only where its places fit the `a` that their two sizes ask for, and the components
+   of step 2 are counted, once for each pair of components, so copies never make pairs among themselves. A shingle held by
+   very many components is dealt over several buckets. Pairs of components that share enough shingles are candidates.
+4. Pairs of documents are compared by bitmaps first: bit i of a document's bitmap is the parity of its shingles that fall on i. Each shingle that only one of two
+   sets has changes one bit, so sets whose bitmaps differ in more bits than the threshold leaves room for are no link. What
+   remains is verified exactly on the texts: blocks of members of one component against the members of the others.
 5. Components of all links.
 
-Order only affects cost. Nothing is capped: hot shingles are at the end of the order, and long lists of documents are cut
-into blocks.
+Order only affects cost. Nothing is capped.
 
 Defined results: null and empty texts and texts without words have no shingle, size 0, and are a component of their own; texts of
-fewer words than the shingle's length are one shingle; rows with the same id are one node; a null id takes no part and
-has a null component; an empty table gives an empty result; extra columns are ignored by components_of() and carried along by
-keep_first().
+fewer words than the shingle's length are one shingle; repeated rows (same id and text) are one node; a null id takes no part and
+has a null component; an empty table gives an empty result; extra columns, whatever their names, are ignored by components_of() and
+carried along by keep_first().
 """
 
 from __future__ import annotations
@@ -28,63 +33,33 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stash
+from .common import drop, expand, forget, join_groups, partitions, sliced, small, squeeze, stash
 from .components import components
+from .shingle import shingle_sets
 
-#: Words of a shingle; the threshold as a percentage.
-WORDS, PERCENT = 5, 80
+#: The threshold as a percentage (shingles are of shingle.WORDS words).
+PERCENT = 80
 #: Min-hashes of a document, and how many a pair must share to be compared in step 2 (missed links are found in step 3).
 HASHES, SHARED = 8, 3
-#: The largest l. Counters of the frequency table (one byte each once they are broadcast), and of one row of partial counts.
-LONGEST = 8
-SLOTS_LOG, CHUNK = 22, 1 << 16
-SLOTS = 1 << SLOTS_LOG
-#: Shingles that a task holds before it hands its counts or its packed prefixes on; shingles of a bucket.
-FLUSH, BUCKET = 3_000_000, 800_000
-#: Documents of a block in verification: of the base, of the queries.
-BASE_BLOCK, QUERY_BLOCK = 200, 1_500
-SALTS = 16
-#: Words of 64 bits in the filter of ids (1 MB, whatever the input).
-FILTER_WORDS = 1 << 17
-#: Words that the cache of a worker holds before it is emptied.
-CACHE_WORDS = 300_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word):
-        from xxhash import xxh3_64_intdigest
-
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-_LENGTHS = [np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64)) for i in range(64)]
-_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(64)]
+#: Further rounds of step 2: open documents that a min-hash must have, and the share of what a round asks that it must link for another one.
+HOT_GROUP, WORTH = 50, 0.125
+#: The largest l; cost of a row in a bucket and of a candidate against a shingle that is sent; weight of a shingle at a place where only smaller partners count.
+LONGEST, ROW_COST, PAIR_COST, BEHIND = 8, 1.0, 8.0, 0.25
+#: Least and most counters of the frequency table (a power of 2; one byte each), shingles for each, and counters of one row of partial counts.
+LEAST_LOG, MOST_LOG, PER_SLOT, CHUNK = 16, 24, 16, 1 << 16
+#: Shingles that a task holds before it hands its counts or its packed prefixes on; shingles of a bucket; components with one shingle in one bucket.
+FLUSH, BUCKET, HOT_SHINGLE = 1_000_000, 800_000, 50_000
+#: Shingles of a block of the base in verification; least documents of a block of queries.
+BASE_SHINGLES, QUERY_BLOCK = 500_000, 200
+#: Bits of a bitmap for each shingle at least.
+BITS = 4
+#: The filter of ids: bits for each id; at most so many words of 64 bits (a broadcast of some 60 MB).
+FILTER_BITS, FILTER_WORDS = 16, 1 << 20
+
+_MORE = np.uint64(0x94D049BB133111EB)
 _SEEDS = np.array([(0xD6E8FEB86659FD93 * (2 * i + 1) | 1) % (1 << 64) for i in range(HASHES)], np.uint64)
-
-
-def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct shingles of a text."""
-    ws = (text or b"").lower().split()
-    if not ws:
-        return np.zeros(0, np.uint64)
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    h = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
-    n = min(words, len(ws))
-    x = h[: len(h) - n + 1] * _POWERS[n]
-    for i in range(1, n):
-        x = x + h[i : len(h) - n + 1 + i] * _POWERS[n - i]
-    x = x + _LENGTHS[n]
-    x ^= x >> np.uint64(29)
-    x *= _MIX
-    x ^= x >> np.uint64(32)
-    x.sort()
-    if len(x) > 1:
-        x = x[np.append(True, x[1:] != x[:-1])]
-    return x
+#: Codes of the frequency table stand for about these counts: eight steps for each doubling.
+_COUNTS = np.append(0, np.exp2(np.arange(255) / 8))
 
 
 def least_shared(n: int, percent: int = PERCENT) -> int:
@@ -92,146 +67,189 @@ def least_shared(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-#: Codes of the frequency table stand for about these counts: eight steps for each doubling.
-_COUNTS = np.append(0, np.exp2(np.arange(255) / 8))
-
+def slot(s: np.ndarray, log: int) -> np.ndarray:
+    """The counter of each shingle in a table of 2 ** log."""
+    return (s >> np.uint64(64 - log)).astype(np.int64)
 
-def slot(s: np.ndarray) -> np.ndarray:
-    """The counter of each shingle."""
-    return (s >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)
 
-
-def prefix(s: np.ndarray, codes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The shingles of the adaptive prefix and its l."""
+def prefix(s: np.ndarray, codes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingles of the adaptive prefix, their codes, and its l. codes: the frequency table."""
     n = len(s)
-    code = codes[slot(s)]
+    code = codes[slot(s, len(codes).bit_length() - 1)]
     need = least_shared(n, percent)
-    if code.any():
-        order = np.argsort(code, kind="stable")
-        s, code = s[order], code[order]
-    most = min(LONGEST, need)
     first = n - need + 1
-    cost = np.cumsum(_COUNTS[code[: first + most - 1]])[first - 1 :]
-    ells = np.arange(1, len(cost) + 1)
-    ell = int(np.argmin(first + ells + 4 * cost / ells)) + 1
-    return s[: first + ell - 1], ell
+    if not code.any():
+        return s[:first], code[:first], 1
+    order = np.argsort(code, kind="stable")
+    s, code = s[order], code[order]
+    ells = np.arange(1, min(LONGEST, need) + 1)
+    partners = np.append(0.0, np.cumsum(_COUNTS[code[: first + len(ells) - 1]]))
+    equal = n - -(-2 * percent * n // (100 + percent))  # beyond this place (plus l) only smaller partners count
+    near, all_ = partners[equal + ells], partners[first - 1 + ells]
+    rows = near + BEHIND * (all_ - near)
+    ell = int(np.argmin(first + ells + ROW_COST * rows + PAIR_COST * rows / ells)) + 1
+    return s[: first + ell - 1], code[: first + ell - 1], ell
 
 
 def signatures(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """doc, n, digest, hashes for each row."""
+    """doc, n, digest, hashes, bits for each row."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
-    shape = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("hashes", pa.list_(pa.int64()))])
+    shape = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("hashes", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        for b in batches:
-            out = {"doc": b.column(0).to_pylist(), "n": [], "digest": [], "hashes": []}
-            for t in b.column(1).to_pylist():
-                s = shingles(t)
+        forget()
+        for b in sliced(batches):
+            out = {"doc": b.column(0), "n": [], "digest": [], "hashes": [], "bits": []}
+            for s in shingle_sets(b.column(1).to_pylist()):
                 out["n"].append(len(s))
                 out["digest"].append(xxh3_128_digest(s.tobytes()))
-                out["hashes"].append((s[:, None] * _SEEDS).min(axis=0).view(np.int64).tolist() if len(s) else None)
+                out["hashes"].append((s * _SEEDS[:, None]).min(axis=1).view(np.int64) if len(s) else None)
+                out["bits"].append(bitmap(s))
             yield pa.RecordBatch.from_pydict(out, schema=shape)
 
     src = docs.select(F.col(ident).cast("long"), F.col(text).cast("binary"))
-    return stash(src.mapInArrow(run, "doc long, n long, digest binary, hashes array<long>"), "signatures")
+    return stash(src.mapInArrow(run, "doc long, n long, digest binary, hashes array<long>, bits binary"), "signatures")
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """The parities of a set, on a power of 2 of at least BITS bits for each shingle."""
+    bits = 1 << max(6, (BITS * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def room(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Whether sets of n and m shingles with these bitmaps may reach the threshold."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):  # the larger one is folded
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return differ <= n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
+def near(sig: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents whose bitmaps leave room for a link. pairs: a written table."""
+    import pyarrow as pa
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    asked = maybe(sig.where("doc is not null").select("doc", "n", "bits"), id_filter(ends)).where("_maybe").drop("_maybe")
+    side = lambda x: asked.select(F.col("doc").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x))
+    both = small(pairs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+
+    def run(batches):
+        forget()
+        for b in sliced(batches):
+            ok = [room(x, y, n, m) for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    return both.mapInArrow(run, "a long, b long").distinct()
 
-def frequencies(docs: DataFrame, ident: str, text: str, known: DataFrame) -> np.ndarray:
-    """A code for each of the SLOTS counters: in how many components its shingles occur, less the median of all counters.
+
+def table_log(shingles: int) -> int:
+    """The frequency table's size for so many shingles, as a power of 2."""
+    return min(MOST_LOG, max(LEAST_LOG, (shingles // PER_SLOT).bit_length()))
+
+
+def frequencies(docs: DataFrame, ident: str, text: str, known: DataFrame, shingles: int) -> np.ndarray:
+    """A code for each counter of the frequency table: in how many components its shingles occur, less the median of all counters.
 
     Of a component, its document with the smallest id counts (the filters of ids let some others through; the order only
     affects cost). Tasks give counts of CHUNK counters, as pairs where few aren't 0; they are summed on the executors, and
-    the driver gets SLOTS codes, whatever the input.
+    the driver gets one byte for each counter.
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    small_batches(spark)
+    log = table_log(shingles)
+    slots = 1 << log
     src = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).cast("binary").alias("t")).where("doc is not null and t is not null")
-    src = maybe(maybe(src, id_filter(known), "doc").withColumnRenamed("_maybe", "_known"), id_filter(known.where("doc = component")), "doc")
+    src = maybe(maybe(src, id_filter(known)).withColumnRenamed("_maybe", "_known"), id_filter(known.where("doc = component")))
     shape = pa.schema([("chunk", pa.int32()), ("at", pa.binary()), ("times", pa.binary())])
 
     def count(batches):
-        total, held, size = np.zeros(SLOTS, np.uint32), [], 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held.append(slot(shingles(t)))
-                size += len(held[-1])
+        total, held, size = np.zeros(slots, np.uint32), [], 0
+
+        def add_held():
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            total[at] += times.astype(np.uint32)
+
+        for b in sliced(batches):
+            for s in shingle_sets(b.column(0).to_pylist()):
+                held.append(slot(s, log))
+                size += len(s)
                 if size > FLUSH:
-                    total += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
+                    add_held()
                     held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
-        for k in range(0, SLOTS, CHUNK):
+            add_held()
+        for k in range(0, slots, CHUNK):
             part = total[k : k + CHUNK]
             at = np.flatnonzero(part)
             if not len(at):
                 continue
             if few := len(at) < CHUNK // 4:
                 part = part[at]
-            kind = np.uint8 if part.max() < 256 else np.uint32
-            yield pa.RecordBatch.from_pydict({"chunk": [k // CHUNK], "at": [at.astype(np.uint16).tobytes() if few else None], "times": [part.astype(kind).tobytes()]}, schema=shape)
+            yield pa.RecordBatch.from_pydict({"chunk": [k // CHUNK], "at": [squeeze(at.astype(np.uint16)) if few else None], "times": [squeeze(part)]}, schema=shape)
 
     def add(batches):
         total = {}
-        for b in batches:
+        for b in sliced(batches):
             for k, at, times in zip(*(x.to_pylist() for x in b.columns)):
                 x = total.setdefault(k, np.zeros(CHUNK, np.int64))
-                where = slice(None) if at is None else np.frombuffer(at, np.uint16)
-                rows = CHUNK if at is None else len(where)
-                x[where] += np.frombuffer(times, np.uint8 if len(times) == rows else np.uint32)
+                x[slice(None) if at is None else expand(at, np.uint16)] += expand(times, np.uint32)
         for k, x in total.items():
-            yield pa.RecordBatch.from_pydict({"chunk": [k], "times": [x.tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("times", pa.binary())]))
+            code = np.where(x > 0, np.minimum(np.round(1 + 8 * np.log2(np.maximum(x, 1))), 255), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"chunk": [k], "code": [code.tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("code", pa.binary())]))
 
     parts = src.where("not _known or _maybe").select("t").mapInArrow(count, "chunk int, at binary, times binary").repartition("chunk")
-    sums = parts.mapInArrow(add, "chunk int, times binary").toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    for k, times in zip(*(x.to_pylist() for x in sums.columns)):
-        counts[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(times, np.int64)
-    counts = np.maximum(counts - int(np.median(counts)), 0)
-    return np.where(counts > 0, np.minimum(1 + 8 * np.log2(np.maximum(counts, 1)), 255), 0).astype(np.uint8)
+    codes = np.zeros(slots, np.uint8)
+    for k, code in zip(*(x.to_pylist() for x in parts.mapInArrow(add, "chunk int, code binary").toArrow().columns)):
+        codes[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(code, np.uint8)
+    # Codes less the median count: by a table of 256 entries.
+    usual = _COUNTS[int(np.median(codes))]
+    rest = np.maximum(_COUNTS - usual, 0)
+    return np.where(rest >= 1, np.minimum(1 + 8 * np.log2(np.maximum(rest, 1)), 255), 0).astype(np.uint8)[codes]
+
 
+def id_filter(ids: DataFrame) -> tuple[DataFrame, int]:
+    """A Bloom filter of the ids in `doc` as a table of words, and how many words it has. It has FILTER_BITS bits for each id, but at most FILTER_WORDS words; beyond that it lets more through."""
+    words = min(FILTER_WORDS, 1 << max(4, (ids.count() * FILTER_BITS // 64).bit_length()))
+    word, bit = _place("doc", words)
+    return ids.select(F.expr(word).alias("_w"), F.expr(f"shiftleft(1L, {bit})").alias("_x")).groupBy("_w").agg(F.bit_or("_x").alias("_bits")), words
 
-def id_filter(ids: DataFrame, name: str = "doc") -> DataFrame:
-    """A Bloom filter of ids as a table of at most FILTER_WORDS rows."""
-    h = F.xxhash64(name)
-    word, bit = F.pmod(h, F.lit(FILTER_WORDS)).cast("int"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
-    return ids.select(word.alias("_w"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(`{name}`), 32), 64) as int))").alias("_x")).groupBy("_w").agg(F.bit_or("_x").alias("_bits"))
 
+def _place(ident: str, words: int) -> tuple[str, str]:
+    return f"cast(pmod(xxhash64({ident}), {words}) as int)", f"cast(pmod(shiftrightunsigned(xxhash64({ident}), 32), 64) as int)"
 
-def maybe(docs: DataFrame, bits: DataFrame, ident: str) -> DataFrame:
-    """docs with a column _maybe: false where the id is surely not in the filter. The filter has a fixed size, so it is broadcast."""
-    h = F.xxhash64(F.col(ident).cast("long"))
-    joined = docs.withColumn("_w", F.pmod(h, F.lit(FILTER_WORDS)).cast("int")).join(F.broadcast(bits), "_w", "left")
-    hit = F.expr(f"getbit(_bits, cast(pmod(shiftrightunsigned(xxhash64(cast(`{ident}` as long)), 32), 64) as int)) = 1")
-    return joined.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_w", "_bits")
+
+def maybe(docs: DataFrame, bits: tuple[DataFrame, int]) -> DataFrame:
+    """docs with a column _maybe: false where the id in `doc` is surely not in the filter. The filter's size is bounded, so it is broadcast."""
+    word, bit = _place("doc", bits[1])
+    joined = docs.withColumn("_w", F.expr(word)).join(F.broadcast(bits[0]), "_w", "left")
+    return joined.withColumn("_maybe", F.coalesce(F.expr(f"getbit(_bits, {bit}) = 1"), F.lit(False))).drop("_w", "_bits")
 
 
 def verify(docs: DataFrame, ident: str, text: str, asked: DataFrame) -> DataFrame:
     """Links (a, b). asked: key, role (0: base, 1: query), doc. Every query of a key is compared with all its bases; a link to one of them is given (all bases of a key are one component)."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    small_batches(spark, 512)
     asked = stash(asked, "asked")
     src = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).cast("binary").alias("t"))
-    src = maybe(src, id_filter(asked.select("doc").distinct()), "doc").where("_maybe").drop("_maybe")
-    rows = asked.join(src, "doc").select("key", "role", "doc", "t").repartition("key").sortWithinPartitions("key", "role")
+    src = maybe(src, id_filter(asked)).where("_maybe").drop("_maybe")
+    rows = src.join(small(asked), "doc").select("key", "role", "doc", "t").repartition("key").sortWithinPartitions("key", "role")
 
     def run(batches):
         key, base, index = None, [], None
-        for b in batches:
+        for b in sliced(batches):
             a, q = [], []
-            for k, role, doc, t in zip(*(x.to_pylist() for x in b.columns)):
+            *cols, texts = (x.to_pylist() for x in b.columns)
+            for k, role, doc, s in zip(*cols, shingle_sets(texts)):
                 if k != key:
                     key, base, index = k, [], None
-                s = shingles(t)
                 if role == 0:
-                    base.append((doc, s))
+                    base.append((doc, s.copy()))
                     continue
                 if not base or not len(s):
                     continue
@@ -259,27 +277,54 @@ def verify(docs: DataFrame, ident: str, text: str, asked: DataFrame) -> DataFram
                     q.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(q, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    links = stash(rows.mapInArrow(run, "a long, b long"), "verified")
+    drop(asked)
+    return links
 
 
-def salted(left: DataFrame, groups: DataFrame, on: list[str], spread: str) -> DataFrame:
-    """left join of rows with a table of groups, each group there once for each salt, so that the rows of a large group are dealt out."""
-    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread), F.lit(1)), F.lit(SALTS)).cast("int")).join(right, [*on, "_salt"], "left").drop("_salt")
-
-
-def star_links(docs: DataFrame, ident: str, text: str, reps: DataFrame) -> DataFrame:
-    """Verified links of representatives with the smallest id that shares a min-hash."""
+def star_links(docs: DataFrame, ident: str, text: str, sig: DataFrame, reps: DataFrame) -> DataFrame:
+    """Verified links of representatives with pivots among those that share min-hashes with them."""
     each = reps.select("doc", "n", F.posexplode("hashes").alias("j", "h"))
-    groups = each.groupBy("j", "h").agg(F.min(F.struct("doc", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("j", "h", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"))
-    pairs = salted(each, groups, ["j", "h"], "doc").where("pivot is not null and pivot <> doc").where(f"100 * least(n, pn) >= {PERCENT} * greatest(n, pn)")
-    pairs = stash(pairs.groupBy("pivot", "doc").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARED).select("pivot", "doc"), "star")
-    blocks = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).select("pivot", F.ceil(F.col("c") / QUERY_BLOCK).cast("int").alias("blocks"))
-    key = lambda block: F.struct(F.col("pivot").alias("base"), F.lit(0).alias("part"), block.alias("block"))
-    large = blocks.where("blocks > 1")
-    queries = salted(pairs, large, ["pivot"], "doc").select(key(F.pmod(F.xxhash64("doc", F.lit(2)), F.coalesce("blocks", F.lit(1))).cast("int")).alias("key"), F.lit(1).alias("role"), "doc")
-    bases = blocks.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(key(F.col("block")).alias("key"), F.lit(0).alias("role"), F.col("pivot").alias("doc"))
-    return verify(docs, ident, text, bases.unionByName(queries))
+    sizes = stash(each.groupBy("j", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("size", F.col("c")), "sizes")
+    crowd = join_groups(each, sizes, ["j", "h"]).where("size is not null")
+    crowd = stash(crowd.groupBy("doc").agg(F.first("n").alias("n"), F.sum("size").alias("popular"), F.collect_list(F.struct("j", "h", "size")).alias("at")), "crowd")
+    links, used, asking = [], None, crowd
+    while True:
+        free = crowd if used is None else crowd.join(used, "doc", "left_anti")
+        place = lambda t, *cols: t.select("doc", "n", *cols, F.explode("at").alias("_")).select("doc", "n", *cols, "_.*")
+        best = F.max(F.struct("popular", (-F.col("doc")).alias("less"), "n")).alias("p")
+        pivots = place(free, "popular").groupBy("j", "h").agg(best, F.max("size").alias("c")).select("j", "h", (-F.col("p.less")).alias("pivot"), F.col("p.n").alias("pn"), "c")
+        if used is not None:
+            pivots = pivots.join(place(asking).groupBy("j", "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HOT_GROUP).select("j", "h"), ["j", "h"], "left_semi")
+        pivots = stash(pivots, "pivots")
+        pairs = join_groups(place(asking), pivots, ["j", "h"]).where("pivot <> doc").where(f"100 * least(n, pn) >= {PERCENT} * greatest(n, pn)")
+        pairs = pairs.groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARED)
+        pairs = stash(pairs.groupBy("doc").agg(F.max(F.struct("c", (-F.col("pivot")).alias("less"))).alias("p")).select("doc", (-F.col("p.less")).alias("pivot")), "star")
+        asked = pairs.count()
+        if not asked:
+            break
+        told = pairs
+        pairs = stash(near(sig, told.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))).select(F.col("a").alias("doc"), F.col("b").alias("pivot")), "near")
+        blocks = stash(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).select("pivot", "c", F.ceil(F.col("c") / QUERY_BLOCK).cast("int").alias("blocks")), "blocks")
+        key = lambda block: F.struct(F.col("pivot").alias("base"), F.lit(0).alias("part"), block.alias("block"))
+        large = blocks.where("blocks > 1")
+        queries = join_groups(pairs, large, ["pivot"]).select(key(F.pmod(F.xxhash64("doc", F.lit(2)), F.coalesce("blocks", F.lit(1))).cast("int")).alias("key"), F.lit(1).alias("role"), "doc")
+        bases = blocks.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(key(F.col("block")).alias("key"), F.lit(0).alias("role"), F.col("pivot").alias("doc"))
+        links.append(verify(docs, ident, text, bases.unionByName(queries)))
+        drop(pivots, blocks, pairs)
+        if links[-1].count() < WORTH * asked:
+            break
+        # Another round asks the documents without a link, where many of them share a min-hash.
+        linked = links[-1].select(F.explode(F.array("a", "b")).alias("doc"))
+        asking = stash(asking.join(linked, "doc", "left_anti"), "open")
+        new = told.select(F.col("pivot").alias("doc"))
+        used = stash((new if used is None else used.unionByName(new)).distinct(), "used")
+        if place(asking).groupBy("j", "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HOT_GROUP).isEmpty():
+            break
+    out = crowd.where("false").select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    for x in links:
+        out = out.unionByName(x)
+    return out
 
 
 def candidate_pairs(docs: DataFrame, ident: str, text: str, known: DataFrame, codes: np.ndarray, total: int) -> DataFrame:
@@ -287,113 +332,164 @@ def candidate_pairs(docs: DataFrame, ident: str, text: str, known: DataFrame, co
     import pyarrow as pa
 
     spark = docs.sparkSession
-    small_batches(spark)
-    src = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).cast("binary").alias("t")).where("doc is not null")
-    split = maybe(src, id_filter(known), "doc")
-    alone = split.where("not _maybe").select("doc", "t", F.col("doc").alias("component"))
-    others = split.where("_maybe").drop("_maybe").join(known, "doc", "left").where("rep is null or rep").select("doc", "t", F.coalesce("component", "doc").alias("component"))
-    buckets = max(partitions(spark), min(1 << 16, total // 4 // BUCKET + 1))
-    shape = pa.schema([("bucket", pa.int32()), ("s", pa.binary()), ("owner", pa.binary()), ("component", pa.binary()), ("ell", pa.binary()), ("n", pa.binary())])
+    src = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).cast("binary").alias("t")).where("doc is not null and t is not null")
+
+    def shorten(batches):
+        for b in sliced(batches):
+            out = {"doc": [], "n": [], "ell": [], "s": [], "code": [], "maybe": []}
+            for doc, m, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(1).to_pylist())):
+                if len(s):
+                    p, code, ell = prefix(s, codes)
+                    for k, x in zip(out, (doc, len(s), ell, p.tobytes(), code.tobytes(), m)):
+                        out[k].append(x)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("ell", pa.int32()), ("s", pa.binary()), ("code", pa.binary()), ("maybe", pa.bool_())]))
+
+    # Only prefixes are shuffled to find their components, and only of documents that aren't surely alone.
+    short = stash(maybe(src, id_filter(known)).select("doc", "t", "_maybe").mapInArrow(shorten, "doc long, n int, ell int, s binary, code binary, maybe boolean"), "prefixes")
+    cols = ["component", "n", "ell", "s", "code"]
+    alone = short.where("not maybe").select(F.col("doc").alias("component"), *cols[1:])
+    others = short.where("maybe").join(small(known), "doc", "left").where("rep is null or rep").select(F.coalesce("component", "doc").alias("component"), *cols[1:])
+    buckets = max(partitions(spark), total // 4 // BUCKET + 1)
+    kinds = {"s": np.uint32, "component": np.int64, "n": np.int32, "rest": np.int32, "ell": np.uint8}
+    shape = pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in kinds)])
 
     def pack(batches):
-        held, owner, comp, ells, ns, size = [], [], [], [], [], 0
+        held, size = [], 0
 
         def out():
-            s = np.concatenate(held)
-            o = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
-            b = (s % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(b, kind="stable")
-            s, o, b = s[order], o[order], b[order]
-            cuts = np.searchsorted(b, np.arange(buckets + 1))
-            c, e, n = np.array(comp, np.int64), np.array(ells, np.uint8), np.array(ns, np.int32)
-            for k in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[k], cuts[k + 1])
-                own, at = np.unique(o[part], return_inverse=True)
-                yield pa.RecordBatch.from_pydict({"bucket": [k], "s": [s[part].tobytes()], "owner": [at.astype(np.int32).tobytes()], "component": [c[own].tobytes()], "ell": [e[own].tobytes()], "n": [n[own].tobytes()]}, schema=shape)
-
-        for batch in batches:
-            for t, c in zip(*(x.to_pylist() for x in batch.columns)):
-                s = shingles(t)
-                if not len(s):
-                    continue
-                p, ell = prefix(s, codes)
-                held.append(p)
-                comp.append(c)
-                ells.append(ell)
-                ns.append(len(s))
-                size += len(p)
+            comp, n, ell = (np.array([x[i] for x in held], np.int64) for i in range(3))
+            s, code = (np.frombuffer(b"".join([x[i] for x in held]), k) for i, k in ((3, np.uint64), (4, np.uint8)))
+            lengths = np.fromiter((len(x[4]) for x in held), np.int64, len(held))
+            owner = np.repeat(np.arange(len(held)), lengths)
+            place = np.arange(len(s)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            s, owner, rest, home = spread(s, code, comp[owner], n[owner], ell[owner], n[owner] - 1 - place, owner)
+            b = (s % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((owner, b))
+            b = b[order]
+            cells = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+            own = owner[order]
+            cols = {"s": s[order] >> np.uint64(32), "component": comp[own], "n": n[own], "rest": 2 * rest[order] + home[order], "ell": ell[own]}
+            cols = {k: x.astype(kinds[k]) for k, x in cols.items()}
+            ends = np.append(cells[1:], len(b))
+            for i in range(0, len(cells), 256):
+                part = list(zip(cells[i : i + 256].tolist(), ends[i : i + 256].tolist()))
+                yield pa.RecordBatch.from_pydict({"bucket": b[cells[i : i + 256]]} | {k: [squeeze(x[lo:hi]) for lo, hi in part] for k, x in cols.items()}, schema=shape)
+
+        for batch in sliced(batches):
+            for x in zip(*(x.to_pylist() for x in batch.columns)):
+                held.append(x)
+                size += len(x[4])
                 if size > FLUSH:
                     yield from out()
-                    held, owner, comp, ells, ns, size = [], [], [], [], [], 0
+                    held, size = [], 0
         if held:
             yield from out()
 
-    packed = alone.select("t", "component").unionByName(others.select("t", "component")).mapInArrow(pack, "bucket int, s binary, owner binary, component binary, ell binary, n binary")
+    packed = alone.unionByName(others).mapInArrow(pack, "bucket long, " + ", ".join(f"{k} binary" for k in kinds))
 
-    def count(key, batch):
-        cols = {f: [x for x in batch.column(f).to_pylist()] for f in ("s", "owner", "component", "ell", "n")}
-        s = np.concatenate([np.frombuffer(x, np.uint64) for x in cols["s"]])
-        per = [(np.frombuffer(o, np.int32), *(np.frombuffer(x, k) for x, k in ((c, np.int64), (e, np.uint8), (n, np.int32)))) for o, c, e, n in zip(cols["owner"], cols["component"], cols["ell"], cols["n"])]
-        comp, ell, n = (np.concatenate([p[i][p[0]] for p in per]) for i in (1, 2, 3))
-        a, b, need, c = pairs_of(s, comp, ell, n)
+    def count(batch):
+        s, comp, n, rest, ell = (np.concatenate([expand(x, kind) for x in batch.column(k).to_pylist()]) for k, kind in kinds.items())
+        a, b, need, c = pairs_of(s, comp, n.astype(np.int64), rest.astype(np.int64) // 2, ell.astype(np.int64), rest % 2 == 1)
         return pa.table({"a": a, "b": b, "need": need.astype(np.int32), "c": c}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32()), ("c", pa.int64())]))
 
     found = packed.groupBy("bucket").applyInArrow(count, "a long, b long, need int, c long")
-    return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b")
+    pairs = stash(found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b"), "candidates")
+    drop(short)
+    return pairs
+
 
+def spread(s: np.ndarray, code: np.ndarray, comp: np.ndarray, n: np.ndarray, ell: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """s, owner, rest and home of the rows that go to the buckets.
 
-def pairs_of(s: np.ndarray, comp: np.ndarray, ell: np.ndarray, n: np.ndarray, most: int = 2_000_000):
-    """Pairs of components (a < b) that share shingles: a, b, the least l of the two, how many shingles."""
-    order = np.lexsort((comp, s))
-    s, comp, ell, n = s[order], comp[order], ell[order], n[order]
+    A shingle held by more than HOT_SHINGLE components is cut into several, by the component. A row is at home in one of
+    them; where it can be the smaller side of a pair it also visits the others. A pair counts where its larger side is at home.
+    """
+    many = np.ceil(_COUNTS[code] / HOT_SHINGLE).astype(np.int64)
+    home = np.ones(len(s), bool)
+    hot = np.flatnonzero(many > 1)
+    if not len(hot):
+        return s, owner, rest, home
+    share = ((comp[hot].astype(np.uint64) * _MORE >> np.uint64(33)) % many[hot].astype(np.uint64)).astype(np.int64)
+    visits = np.where(strong(n[hot], rest[hot], ell[hot]), many[hot], 1)
+    at = np.repeat(np.arange(len(hot)), visits)
+    part = np.arange(len(at)) - np.repeat(np.cumsum(visits) - visits, visits)
+    part = np.where(visits[at] > 1, part, share[at])
+    cold = many <= 1
+    cut = (s[hot[at]] + part.astype(np.uint64)) * _MORE  # another shingle for each part
+    join = lambda x: np.concatenate([x[cold], x[hot[at]]])
+    return np.concatenate([s[cold], cut]), join(owner), join(rest), np.concatenate([home[cold], part == share[at]])
+
+
+def strong(n: np.ndarray, rest: np.ndarray, ell: np.ndarray) -> np.ndarray:
+    """Whether the shingle counts with partners of at least the same size. rest: how many of the n shingles come after it."""
+    return (100 + PERCENT) * (rest + ell) >= 2 * PERCENT * n
+
+
+def pairs_of(s: np.ndarray, comp: np.ndarray, n: np.ndarray, rest: np.ndarray, ell: np.ndarray, home: np.ndarray, most: int = 1_000_000):
+    """Pairs of components (a < b) that share shingles: a, b, the least l of the two, how many shingles.
+
+    Rows of one shingle, component and size are one point. Points of a shingle are ordered by size, and each that is strong meets
+    the larger ones up to the largest possible partner; the two count where the shingle's places fit their sizes.
+    """
     none = np.zeros(0, np.int64)
     if not len(s):
         return none, none, none, none
-    first = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (comp[1:] != comp[:-1])))
-    low, high, ell = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.minimum.reduceat(ell, first)
-    s, comp = s[first], comp[first]
-    starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    lengths = np.diff(np.append(starts, len(s)))
+    order = np.lexsort((comp, n, s))
+    s, comp, n, rest, ell, home = (x[order] for x in (s, comp, n, rest, ell, home))
+    first = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (comp[1:] != comp[:-1]) | (n[1:] != n[:-1])))
+    rest, low, high, home = np.maximum.reduceat(rest, first), np.minimum.reduceat(ell, first), np.maximum.reduceat(ell, first), np.maximum.reduceat(home, first)
+    s, comp, n = s[first], comp[first], n[first]
+    run = np.cumsum(np.append(True, s[1:] != s[:-1])) - 1
+    key = run << 32 | n
+    left = np.flatnonzero(strong(n, rest, high))
+    ahead = np.searchsorted(key, run[left] << 32 | n[left] * 100 // PERCENT, side="right") - left - 1
+    left, ahead = left[ahead > 0], ahead[ahead > 0]
     held: list[tuple] = []
-    size = 0
 
-    def reduced():
-        a, b, need, c = (np.concatenate(x) for x in zip(*held))
+    def reduced(parts):
+        a, b, need, c = (np.concatenate(x) for x in zip(*parts))
         o = np.lexsort((b, a))
         a, b, need, c = a[o], b[o], need[o], c[o]
         at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         return a[at], b[at], np.minimum.reduceat(need, at), np.add.reduceat(c, at)
 
-    def put(i, j):
-        nonlocal size, held
-        ok = (100 * high[i].astype(np.int64) >= PERCENT * low[j].astype(np.int64)) & (100 * high[j].astype(np.int64) >= PERCENT * low[i].astype(np.int64))
-        i, j = i[ok], j[ok]
-        if len(i):
-            held.append((comp[i], comp[j], np.minimum(ell[i], ell[j]).astype(np.int64), np.ones(len(i), np.int64)))
-            size += len(i)
-            if size > most:
-                held = [reduced()]
-                size = len(held[0][0])
-
-    for length in np.unique(lengths[lengths > 1]).tolist():
-        runs = starts[lengths == length]
-        for d in range(1, length):  # members d places apart, all runs of this length at once
-            base = np.arange(length - d)
-            step = max(1, most // max(1, len(base)))
-            for k in range(0, len(runs), step):
-                i = (runs[k : k + step, None] + base).ravel()
-                put(i, i + d)
-    return reduced() if held else (none, none, none, none)
-
-
-def cross_links(docs: DataFrame, ident: str, text: str, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Verified links between the components of each pair. members: doc, component of all representatives in components of several."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = pairs.join(sizes.select(F.col("component").alias("a"), F.col("size").alias("sa")), "a", "left").join(sizes.select(F.col("component").alias("b"), F.col("size").alias("sb")), "b", "left")
+    ends = np.cumsum(ahead)
+    i = 0
+    while i < len(left):  # so many points on the left that they have about `most` pairs
+        k = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        x = np.repeat(left[i:k], ahead[i:k])
+        y = x + 1 + np.arange(len(x)) - np.repeat(ends[i:k] - ahead[i:k] - (ends[i - 1] if i else 0), ahead[i:k])
+        ok = home[y] & (comp[x] != comp[y])
+        ok &= (100 + PERCENT) * (np.minimum(rest[x], rest[y]) + np.minimum(high[x], high[y])) >= PERCENT * (n[x] + n[y])
+        x, y = x[ok], y[ok]
+        i = k
+        if not len(x):
+            continue
+        a, b, r, need = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y]), run[x], np.minimum(low[x], low[y])
+        o = np.lexsort((r, b, a))
+        a, b, r, need = a[o], b[o], r[o], need[o]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (r[1:] != r[:-1]))  # points of one pair of components count once for a shingle
+        held.append(reduced([(a, b, need, new.astype(np.int64))]))
+        if sum(len(h[0]) for h in held[1:]) > most:
+            held = [reduced(held)]
+    return reduced(held) if held else (none, none, none, none)
+
+
+def cross_links(docs: DataFrame, ident: str, text: str, sig: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Verified links between the components of each pair. members: doc, n, component of all representatives in components of several."""
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    side = lambda x: sizes.select(F.col("component").alias(x), F.col("size").alias("s" + x), F.col("shingles").alias("n" + x))
+    sized = stash(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left"), "sized")
+    # Components of one document each are compared by bitmaps first.
+    single = F.coalesce("sa", "sb").isNull()
+    alone = near(sig, stash(sized.where(single).select("a", "b"), "single"))
+    sized = sized.where(~single).unionByName(alone, allowMissingColumns=True)
     sa, sb = F.coalesce("sa", F.lit(1)), F.coalesce("sb", F.lit(1))
-    swap = sb > sa
-    sized = stash(sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("base"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("other"), F.greatest(sa, sb).alias("bs"), F.least(sa, sb).alias("os")), "pairs")
-    plan = sized.groupBy("base").agg(F.max("bs").alias("bs"), F.sum("os").alias("qs")).select("base", F.ceil(F.col("bs") / BASE_BLOCK).cast("int").alias("parts"), F.ceil(F.col("qs") / QUERY_BLOCK).cast("int").alias("blocks"))
+    pick = lambda x, y: F.when(sb > sa, y).otherwise(x)
+    sized = stash(sized.select(pick(F.col("a"), F.col("b")).alias("base"), pick(F.col("b"), F.col("a")).alias("other"), F.greatest(sa, sb).alias("bs"), F.least(sa, sb).alias("os"), F.coalesce(pick(F.col("na"), F.col("nb")), F.lit(1)).alias("bn")), "pairs")
+    plan = sized.groupBy("base").agg(F.max("bs").alias("bs"), F.max("bn").alias("bn"), F.sum("os").alias("qs"))
+    parts = F.ceil(F.col("bn") / BASE_SHINGLES).cast("int")
+    plan = plan.select("base", "bs", "qs", parts.alias("parts")).select("base", "parts", F.ceil(F.col("qs") / F.greatest(F.lit(QUERY_BLOCK), F.col("bs") / F.col("parts"))).cast("int").alias("blocks"))
     grouped = members.select(F.col("component").alias("base"), "doc")
     own = plan.join(grouped, "base", "left").withColumn("doc", F.coalesce("doc", "base"))
     key = lambda part, block: F.struct("base", part.alias("part"), block.alias("block"))
@@ -402,33 +498,39 @@ def cross_links(docs: DataFrame, ident: str, text: str, pairs: DataFrame, member
     asking = sized.select("base", "other").join(members.select(F.col("component").alias("other"), "doc"), "other", "left").select("base", F.coalesce("doc", "other").alias("doc"))
     block = F.pmod(F.xxhash64("doc", F.lit(2)), F.col("blocks")).cast("int")
     queries = asking.join(plan, "base").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(key(F.col("part"), block).alias("key"), F.lit(1).alias("role"), "doc")
-    return verify(docs, ident, text, bases.unionByName(queries))
+    links = verify(docs, ident, text, bases.unionByName(queries))
+    drop(sized)
+    return links
 
 
 def components_of(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, n, component for each row of docs."""
     sig = signatures(docs, ident, text)
     some = sig.where("doc is not null and n > 0")
-    copies = some.groupBy("digest", "n").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    ids = stash(salted(sig, copies, ["digest", "n"], "doc").select("doc", "n", "hashes", F.coalesce("first", "doc").alias("first"), F.col("first").isNotNull().alias("copied")), "ids")
-    reps = ids.where("doc = first and n > 0").select("doc", "n", "hashes").dropDuplicates(["doc"])
-    stars = stash(star_links(docs, ident, text, reps), "stars")
-    early = components(stars.select("a", "b"))
+    copies = stash(some.groupBy("digest", "n").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "copies")
+    ids = stash(join_groups(sig.drop("bits"), copies, ["digest", "n"]).select("doc", "n", "hashes", F.coalesce("first", "doc").alias("first"), F.col("first").isNotNull().alias("copied")), "ids")
+    drop(copies)
+    reps = stash(ids.where("doc = first and n > 0").select("doc", "n", "hashes"), "reps")
+    stars = star_links(docs, ident, text, sig, reps)
+    early = components(stars)
     # Documents that are copies or in a component of several; all others are components of their own.
-    members = stash(early.select(F.col("id").alias("doc"), "component"), "members")
+    members = stash(reps.select("doc", "n").join(small(early.select(F.col("id").alias("doc"), "component")), "doc").distinct(), "members")
     twins = ids.where("copied and n > 0").select("doc", (F.col("doc") == F.col("first")).alias("rep")).dropDuplicates(["doc"])
-    known = stash(members.join(twins, "doc", "full").select("doc", F.coalesce("component", "doc").alias("component"), F.coalesce("rep", F.lit(True)).alias("rep")), "known")
-    total = ids.agg(F.sum("n")).first()[0] or 0
-    pairs = stash(candidate_pairs(docs, ident, text, known, frequencies(docs, ident, text, known), int(total)), "candidates")
-    more = stash(cross_links(docs, ident, text, pairs, members), "cross")
+    known = stash(members.drop("n").join(twins, "doc", "full").select("doc", F.coalesce("component", "doc").alias("component"), F.coalesce("rep", F.lit(True)).alias("rep")), "known")
+    total = int(reps.agg(F.sum("n")).first()[0] or 0)
+    pairs = candidate_pairs(docs, ident, text, known, frequencies(docs, ident, text, known, total), total)
+    more = cross_links(docs, ident, text, sig, pairs, members)
     final = components(stars.unionByName(more)).select(F.col("id").alias("first"), "component")
-    return ids.join(final, "first", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("doc")).alias("component"))
+    drop(sig, reps, members, known, pairs)
+    return ids.join(small(final), "first", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("doc")).alias("component"))
 
 
 def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose id is the smallest of its component (rows without an id stay)."""
     gone = stash(components_of(docs, ident, text).where("doc <> component").select("doc").distinct(), "gone")
-    split = maybe(docs, id_filter(gone), ident)
-    stay = split.where("not _maybe").drop("_maybe")
-    asked = split.where("_maybe").drop("_maybe")
-    return stay.unionByName(asked.join(gone, asked[ident] == gone["doc"], "left_anti")).select(*docs.columns)
+    # The rows are carried in one column, so no name of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(ident).cast("long").alias("doc"))
+    split = maybe(rows, id_filter(gone))
+    stay = split.where("not _maybe").select("_row")
+    asked = split.where("_maybe").join(gone, "doc", "left_anti").select("_row")
+    return stay.unionByName(asked).select("_row.*")
