@@ -1,7 +1,8 @@
 """Command line: python -m locusweave.cli COMMAND ...
 
-vcf and tped merge per-sample files, correct rewrites references, split takes multi-sample files apart, tfam writes family
-rows, regions lists equal parts of the genome, load adds files to the call store and export merges from it.
+vcf and tped merge per-sample files, blocks merges TPED results that have the reference column, correct rewrites references, split takes
+multi-sample files apart, tfam writes family rows, regions lists equal parts of the genome, sample lists every so-manieth locus or a random share of the calls,
+points lists positions that cut chromosomes into parts, names lists files with their sample, load adds files to the call store and export merges from it.
 """
 
 from __future__ import annotations
@@ -46,15 +47,19 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"-{short}", f"--{long.split(':')[0]}", **OPTIONS[long])
 
     chosen = ["c/chromosomes", "q/quality", "r/regions"]
-    layout = ["b/by-chromosome", "f/one-file", "z/compression"]
+    layout = ["b/by-chromosome", "f/one-file", "z/compression", "u/resume", "p/cuts"]
     for name in ("vcf", "tped"):
-        command(name, "i/input", "o/output", "n/samples", *chosen, "g/genotypes", *layout)
+        command(name, "i/input", "o/output", "n/samples", *chosen, "g/genotypes", "e/numbered", "a/absent", *layout, *(["H/header"] if name == "vcf" else ["R/reference"]))
+    command("blocks", "i/blocks", "o/output", *layout, "R/reference")
     command("correct", "i/input", "o/output", "n/samples", "x/factor", "y/shift", "z/compression")
-    command("split", "i/input", "o/output", "c/chromosomes", "n/first", "d/names", "r/regions", "s/stacked", "z/compression")
-    command("tfam", "i/input", "d/ids", "o/output")
+    command("split", "i/input", "o/output", "c/chromosomes", "n/first", "d/names", "r/regions", "s/stacked", "z/compression", "w/public-names")
+    command("tfam", "i/input", "d/ids", "o/output", "c/folders")
+    command("sample", "i/input", "o/output", *chosen, "k/every", "s/rate")
+    command("points", "i/input", "o/output", *chosen, "p/parts", "s/rate")
+    command("names", "i/input", "o/output", "e/numbered")
     command("regions", "o/output", "c/chromosomes", "p/parts", "t/prefix")
     command("load", "i/input", "o/output", "k/checkpoint", "g/genotypes")
-    command("export", "i/input", "o/output", "n/samples", *chosen, "t/format", *layout)
+    command("export", "i/input", "o/output", "n/samples", *chosen, "t/format", *layout, "H/header", "R/reference")
     return top
 
 
@@ -77,6 +82,17 @@ OPTIONS = {
     "ids": {"required": True, "help": "file with the ids in order"},
     "parts": {"type": int, "required": True, "help": "number of parts"},
     "prefix": {"default": "chr", "help": "before the name of a chromosome"},
+    "blocks": {"type": words, "required": True, "help": "folders of TPED results with the reference column, in the order of their samples"},
+    "numbered": {"choices": sorted(vcf.NUMBERED), "default": "leading", "help": "where a file's name has the sample's number"},
+    "absent": {"action": "store_true", "help": "samples of 1 to n may have no file"},
+    "resume": {"action": "store_true", "help": "with -b: chromosomes whose folders are there stay as they are"},
+    "cuts": {"type": int, "default": 0, "help": "one folder for each of so many parts of a chromosome, named by its region"},
+    "header": {"action": "store_true", "help": "VCF header lines first (in every folder)"},
+    "reference": {"action": "store_true", "help": "TPED with the reference as fifth column, to be merged further"},
+    "public-names": {"action": "store_true", "help": "the input is a folder of files in the usual public naming; only those of the chosen chromosomes are read"},
+    "folders": {"type": chromosomes, "default": None, "help": "one folder for each chromosome of first-last"},
+    "every": {"type": int, "default": 0, "help": "every so-manieth locus of each chromosome"},
+    "rate": {"type": float, "default": 1.0, "help": "share of the calls"},
     "checkpoint": {"required": True, "help": "state of the stream"},
     "format": {"choices": ["vcf", "tped"], "default": "vcf", "help": "kind of result"},
 }
@@ -87,15 +103,47 @@ def chosen_calls(calls: DataFrame, a: argparse.Namespace) -> DataFrame:
 
 
 def write_merged(calls: DataFrame, a: argparse.Namespace, kind: str, genotypes: int = 1) -> None:
+    calls = unfinished(calls, a)
     merged = merge.merge_tped(calls, a.samples) if kind == "tped" else merge.merge_vcf(calls, a.samples, genotypes)
-    sinks.write_lines(merged, sinks.tped_line() if kind == "tped" else sinks.vcf_line(), a.output, a.by_chromosome, a.one_file, a.compression)
+    line = sinks.tped_line(ref=getattr(a, "reference", False)) if kind == "tped" else sinks.vcf_line()
+    header = sinks.vcf_header(sinks.sample_names(a.samples, genotypes)) if kind == "vcf" and getattr(a, "header", False) else None
+    write_layout(merged, line, a, header)
+
+
+def unfinished(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """Without the chromosomes that an earlier run has written, where it is resumed."""
+    done = sinks.finished(rows.sparkSession, a.output) if a.resume and a.by_chromosome else []
+    return rows.where(~F.col("chrom_num").isin(done)) if done else rows
+
+
+def write_layout(merged: DataFrame, line, a: argparse.Namespace, header: list[str] | None = None) -> None:
+    if a.cuts:
+        sinks.write_regions(partition.in_parts(merged, partition.split_points(merged, a.cuts)), line, a.output, a.compression)
+    else:
+        sinks.write_lines(merged, line, a.output, a.by_chromosome, a.one_file, a.compression, header)
 
 
 def run(spark: SparkSession, args: list[str] | None = None) -> None:
     """One command on a session."""
     a = parser().parse_args(args)
     if a.command in ("vcf", "tped"):
-        write_merged(chosen_calls(vcf.read_vcf(spark, a.input, a.genotypes), a), a, a.command, len(a.genotypes))
+        vcf.check_samples(spark, a.input, a.samples, a.numbered, a.absent)
+        write_merged(chosen_calls(vcf.read_vcf(spark, a.input, a.genotypes, numbered=a.numbered), a), a, a.command, len(a.genotypes))
+    elif a.command == "blocks":
+        blocks = [vcf.read_tped(spark, p) for p in a.blocks]
+        sizes = [row["n"] if (row := b.select(F.size("genotypes").alias("n")).first()) else 0 for b in blocks]
+        merged = merge.merge_blocks([(unfinished(b, a), n) for b, n in zip(blocks, sizes)])
+        write_layout(merged, sinks.tped_line(ref=a.reference), a)
+    elif a.command == "sample":
+        calls = chosen_calls(vcf.read_vcf(spark, a.input), a)
+        some = partition.systematic(calls, a.every) if a.every else partition.bernoulli(calls, a.rate)
+        sinks.write_lines(some.orderBy("chrom_num", "pos"), F.concat_ws("\t", "chrom_num", "pos").alias("value"), a.output)
+    elif a.command == "points":
+        points = partition.split_or_sampled(chosen_calls(vcf.read_vcf(spark, a.input), a), a.parts, a.rate)
+        sinks.write_lines(points.orderBy("chrom_num", "part"), F.concat_ws("\t", "chrom_num", "part", "pos").alias("value"), a.output)
+    elif a.command == "names":
+        files = vcf.sample_files(spark, a.input, a.numbered).orderBy("sample_id", "file_name")
+        sinks.write_lines(files, F.concat_ws("\t", F.coalesce(F.col("sample_id").cast("string"), F.lit(".")), "file_name").alias("value"), a.output)
     elif a.command == "export":
         store = incremental.current(filters.by_chromosome(vcf.read_store(spark, a.input), *a.chromosomes))
         write_merged(chosen_calls(store, a), a, a.format)
@@ -107,12 +155,17 @@ def run(spark: SparkSession, args: list[str] | None = None) -> None:
         fixed = reshape.correct_reference(calls, a.factor, a.shift)
         sinks.write_lines(reshape.order_by_sample(fixed, a.samples), sinks.vcf_line(), a.output, compression=a.compression)
     elif a.command == "split":
-        long = filters.by_chromosome(vcf.read_wide(spark, a.input, a.names, a.first), *a.chromosomes)
+        paths = vcf.wide_paths(a.input, *a.chromosomes) if a.public_names else a.input
+        long = filters.by_chromosome(vcf.read_wide(spark, paths, a.names, a.first), *a.chromosomes)
         split = reshape.split_samples(filters.by_regions(long, a.regions))
-        sinks.write_samples(reshape.sample_lines(split), a.output, a.stacked, a.compression or "bzip2")
+        sinks.write_samples(reshape.sample_lines(split, a.stacked), a.output, a.stacked, a.compression or "bzip2")
     elif a.command == "tfam":
         people, ids = vcf.read_family(spark, a.input, a.ids)
-        sinks.write_lines(reshape.family(ids, people), F.col("line"), a.output)
+        rows = reshape.family(ids, people)
+        if a.folders:  # the same rows for every chromosome
+            every = F.explode(F.sequence(*[F.lit(c) for c in a.folders])).alias("chrom_num")
+            rows = rows.select("*", every).orderBy("chrom_num", "ordinal")
+        sinks.write_lines(rows, F.col("line"), a.output, by_chromosome=bool(a.folders))
     else:
         parts = partition.split_regions(partition.genome_splits(spark, a.parts, *a.chromosomes), a.prefix)
         line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "region"))), lambda x: x["region"]), ",")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,6 +92,16 @@ def pheno_code(c: Column) -> Column:
     return F.when(c == "Case", 2).when(c == "Control", 1).otherwise(0)
 
 
+def parse_region(text: str) -> tuple[int, int, int | None]:
+    """(chrom_num, start, end) of chr:start-end, chr:start or chr; an open end is None. ValueError for any other text."""
+    m = re.fullmatch(r"([^:]+)(?::([0-9]+)(?:-([0-9]+))?)?", text.strip())
+    name = re.sub("^chr", "", m[1], flags=re.I).upper() if m else ""
+    number = CHROM_NAMES.get(name) or (int(name) if name.isdecimal() and name.isascii() else 0)
+    if not 1 <= number <= 26 or (m[3] and int(m[3]) < int(m[2])):
+        raise ValueError(f"not a region: {text!r}")
+    return number, int(m[2] or 1), int(m[3]) if m[3] else None
+
+
 def region(c: Column) -> Column:
     """struct(chrom_num, start, end) of chr:start-end, chr:start or chr; an open end is null."""
     part = lambda k: F.regexp_extract(F.trim(c), r"^([^:]+)(?::([0-9]+)(?:-([0-9]+))?)?$", k)

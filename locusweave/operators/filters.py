@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.variant import quality_rank, rank_of, region
+from ..functions.variant import parse_region, quality_rank, rank_of
 
-#: Most regions that become one filter expression, which reaches the scan; more are a broadcast or shuffled range join.
+#: Most regions that become one filter expression, which reaches the scan; more are a join by chromosome and bin of positions.
 REGIONS_INLINE = 200
+#: Positions of a bin.
+BIN = 1_000_000
+
+
+def at_least(option: str = "PASS") -> Column:
+    """Whether the FILTER class is at least the option's."""
+    return quality_rank(F.col("filter")) >= rank_of(option)
 
 
 def by_quality(calls: DataFrame, option: str = "PASS") -> DataFrame:
     """Rows whose FILTER class is at least the option's."""
-    return calls.where(quality_rank(F.col("filter")) >= rank_of(option))
+    return calls.where(at_least(option))
 
 
 def pass_only(calls: DataFrame) -> DataFrame:
@@ -24,21 +31,35 @@ def by_chromosome(calls: DataFrame, first: int = 1, last: int = 26) -> DataFrame
     return calls.where(F.col("chrom_num").between(first, last))
 
 
+def merged_regions(regions: list[str]) -> list[tuple[int, int, int | None]]:
+    """(chrom_num, start, end) of the texts chr:start-end, chr:start or chr, in order and without overlaps; an open end is None. ValueError for any other text."""
+    out: list[tuple[int, int, int | None]] = []
+    for c, start, end in sorted(map(parse_region, regions), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0)):
+        if out and out[-1][0] == c and (out[-1][2] is None or start <= out[-1][2] + 1):
+            last = out.pop()
+            start, end = last[1], None if last[2] is None or end is None else max(last[2], end)
+        out.append((c, start, end))
+    return out
+
+
 def by_regions(calls: DataFrame, regions: list[str]) -> DataFrame:
-    """Rows in any of the regions. A list longer than REGIONS_INLINE is a semi join on the chromosome, which Spark broadcasts if small."""
-    spark = calls.sparkSession
+    """Rows in any of the regions. Many of them are a semi join by (chromosome, bin of positions), which Spark broadcasts if they are few enough."""
     if not regions:
         return calls
-    df = spark.createDataFrame([(r,) for r in regions], "r string").select(region(F.col("r")).alias("g")).select("g.*")
-    if len(regions) <= REGIONS_INLINE:
-        keep = F.lit(False)
-        for g in df.collect():
-            inside = (F.col("chrom_num") == g["chrom_num"]) & (F.col("pos") >= g["start"])
-            keep = keep | (inside if g["end"] is None else inside & (F.col("pos") <= g["end"]))
+    spans = merged_regions(regions)
+    few = spans if len(spans) <= REGIONS_INLINE else [s for s in spans if s[2] is None]  # of those without an end there is one for each chromosome at most
+    keep = F.lit(False)
+    for c, start, end in few:
+        inside = (F.col("chrom_num") == c) & (F.col("pos") >= start)
+        keep = keep | (inside if end is None else inside & (F.col("pos") <= end))
+    if len(few) == len(spans):
         return calls.where(keep)
-    c, g = calls.alias("c"), df.alias("g")
-    on = (F.col("c.chrom_num") == F.col("g.chrom_num")) & (F.col("c.pos") >= F.col("g.start")) & (F.col("g.end").isNull() | (F.col("c.pos") <= F.col("g.end")))
-    return c.join(g, on, "left_semi")
+    spark = calls.sparkSession
+    g = spark.createDataFrame([s for s in spans if s[2] is not None], "c int, a long, z long")
+    g = g.withColumn("b", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor(F.col("z") / BIN))))
+    on = (F.col("chrom_num") == F.col("c")) & (F.floor(F.col("pos") / BIN) == F.col("b")) & (F.col("pos") >= F.col("a")) & (F.col("pos") <= F.col("z"))
+    # Spans don't overlap, so a row is in one of them at most.
+    return calls.where(keep).unionByName(calls.where(~F.coalesce(keep, F.lit(False))).join(g, on, "left_semi"))
 
 
 def single_base(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The merge of per-sample calls by locus, as VCF or TPED rows, with one exchange.
 
-Calls are range-partitioned by (chrom_num, pos), never by sample, so a locus lies in one partition; removing duplicates, grouping
+`best` says which of several calls of one sample and locus stays (sort columns), `keep` filters what stayed. Both work behind the one exchange, so
+raw calls with duplicates can be given. Calls are range-partitioned by (chrom_num, pos), never by sample, so a locus lies in one partition; removing duplicates, grouping
 and the global order then reuse that partitioning. A locus holds at most n samples after duplicates went.
 """
 
@@ -18,15 +19,18 @@ def by_locus(calls: DataFrame) -> DataFrame:
     return calls.repartitionByRange(*LOCUS)
 
 
-def distinct_calls(calls: DataFrame) -> DataFrame:
-    """One call for each sample and locus: largest QUAL (null last), then genotype, then INFO."""
-    best = Window.partitionBy(*LOCUS, "sample_id").orderBy(F.col("qual").desc_nulls_last(), F.col("gts").desc_nulls_last(), F.col("info").desc_nulls_last())
-    return calls.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
+def distinct_calls(calls: DataFrame, best: list[Column] | None = None) -> DataFrame:
+    """One call for each sample and locus: the first by `best`, or else largest QUAL (null last), then genotype, then INFO."""
+    order = best or [F.col(c).desc_nulls_last() for c in ("qual", "gts", "info")]
+    first = Window.partitionBy(*LOCUS, "sample_id").orderBy(*order)
+    return calls.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
-def _loci(calls: DataFrame, n: int, columns: list[str]) -> DataFrame:
+def _loci(calls: DataFrame, n: int, columns: list[str], best: list[Column] | None, keep: Column | None) -> DataFrame:
     """chrom_num, pos and c: the calls of the locus by sample."""
-    one = distinct_calls(by_locus(calls.where(F.col("sample_id").between(1, n))))
+    one = distinct_calls(by_locus(calls.where(F.col("sample_id").between(1, n))), best)
+    if keep is not None:
+        one = one.where(keep)
     return one.groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("sample_id", *columns))).alias("c"))
 
 
@@ -38,17 +42,20 @@ def dense(cells: Column, n: int, default: Column) -> Column:
     return F.concat(gap(F.get(cells, F.lit(0))["sample_id"] - 1), filled)
 
 
-def merge_tped(calls: DataFrame, n: int, column: int = 0) -> DataFrame:
+def merge_tped(calls: DataFrame, n: int, column: int = 0, best: list[Column] | None = None, keep: Column | None = None) -> DataFrame:
     """chrom_num, rs, pos, ref, genotypes (n allele pairs), ordered by locus. An absent or uncalled sample has the reference twice."""
-    loci = _loci(calls.withColumn("g", F.get("gts", F.lit(column))), n, ["id", "ref", "g"]).withColumn("ref", F.col("c")[0]["ref"])
+    loci = _loci(calls.withColumn("g", F.get("gts", F.lit(column))), n, ["id", "ref", "g"], best, keep).withColumn("ref", F.col("c")[0]["ref"])
     cells = F.transform("c", lambda x: F.struct(x["sample_id"].alias("sample_id"), allele_pair(x["g"], F.col("ref")).alias("v")))
     out = loci.select(*LOCUS, F.col("c")[0]["id"].alias("rs"), "ref", cells.alias("cells"))
     return out.select("chrom_num", "rs", "pos", "ref", dense(F.col("cells"), n, F.concat_ws(" ", "ref", "ref")).alias("genotypes")).orderBy(*LOCUS)
 
 
-def merge_vcf(calls: DataFrame, n: int, columns: int = 1) -> DataFrame:
-    """chrom, chrom_num, pos, id, ref, alts, qual, filter, info, format, genotypes (n * columns), ordered by locus."""
-    loci = _loci(calls, n, ["chrom", "id", "ref", "alts", "qual", "filter", "info", "format", "gts"])
+def merge_vcf(calls: DataFrame, n: int, columns: int = 1, best: list[Column] | None = None, keep: Column | None = None, flag: bool = False) -> DataFrame:
+    """chrom, chrom_num, pos, id, ref, alts, qual, filter, info, format, genotypes (n * columns), ordered by locus.
+
+    flag: also ref_conflict, whether the samples of the locus have different references (their alleles that are neither the first sample's reference nor an ALT are ".").
+    """
+    loci = _loci(calls, n, ["chrom", "id", "ref", "alts", "qual", "filter", "info", "format", "gts"], best, keep)
     first = lambda k: F.col("c")[0][k].alias(k)
     alts = F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda x: F.coalesce(x["alts"], F.array().cast("array<string>"))))))
     # Each file weighs by its number of genotype columns; those without QUAL don't count.
@@ -61,7 +68,8 @@ def merge_vcf(calls: DataFrame, n: int, columns: int = 1) -> DataFrame:
     cells = F.transform("c", lambda x: F.struct(x["sample_id"].alias("sample_id"), F.transform(x["gts"], lambda g: encode(g, F.col("ref"), F.col("alts"))).alias("v")))
     out = out.withColumn("cells", cells)
     genotypes = F.flatten(dense(F.col("cells"), n, F.array_repeat(F.lit("."), columns)))
-    return out.select("chrom", *LOCUS, "id", "ref", "alts", "qual", "filter", "info", "format", genotypes.alias("genotypes")).orderBy(*LOCUS)
+    conflict = [F.exists("c", lambda x: x["ref"] != F.col("c")[0]["ref"]).alias("ref_conflict")] if flag else []
+    return out.select("chrom", *LOCUS, "id", "ref", "alts", "qual", "filter", "info", "format", genotypes.alias("genotypes"), *conflict).orderBy(*LOCUS)
 
 
 def merge_blocks(blocks: list[tuple[DataFrame, int]]) -> DataFrame:

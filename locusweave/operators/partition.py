@@ -22,13 +22,13 @@ def bernoulli(calls: DataFrame, rate: float = 0.0001, seed: int = 42) -> DataFra
     return calls.sample(fraction=rate, seed=seed)
 
 
-def _numbered(loci: DataFrame) -> DataFrame:
-    """loci with rn from 1 by (chrom_num, pos) inside each chromosome."""
+def _numbered(loci: DataFrame, *more: str) -> DataFrame:
+    """loci with rn from 1 by position (and more columns) inside each chromosome."""
     # Ranges below a chromosome first: ranks inside (chromosome, block of positions), then the blocks' running counts, so no task sorts a chromosome.
     block = loci.withColumn("_b", F.floor(F.col("pos") / 1_000_000))
     per = block.groupBy("chrom_num", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("chrom_num").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("chrom_num", "_b").orderBy("pos"))
+    inside = F.row_number().over(Window.partitionBy("chrom_num", "_b").orderBy("pos", *more))
     return block.withColumn("_in", inside).join(per.select("chrom_num", "_b", before.alias("_before")), ["chrom_num", "_b"]).withColumn("rn", F.col("_in") + F.col("_before"))
 
 
@@ -46,6 +46,31 @@ def split_points(loci: DataFrame, regions: int) -> DataFrame:
     return hit.withColumn("part", (F.col("rn") / F.col("step")).cast("int")).where(F.col("part") < regions).select("chrom_num", "part", "pos")
 
 
+def in_parts(rows: DataFrame, points: DataFrame, prefix: str = "chr") -> DataFrame:
+    """rows with `part` and `region`: which part of its chromosome, as cut by split_points(), a row lies in, and that part's name (chr:first-).
+
+    Rows of a part lie together and in order; parts follow each other in order. The points are a few for each chromosome, so they are broadcast.
+    """
+    cuts = points.groupBy("chrom_num").agg(F.array_sort(F.collect_list("pos")).alias("_cuts")).select(F.col("chrom_num").alias("_c"), "_cuts")
+    at = rows.join(F.broadcast(cuts), F.col("chrom_num") == F.col("_c"), "left")
+    part = F.coalesce(F.size(F.filter("_cuts", lambda x: x <= F.col("pos"))), F.lit(0))
+    start = F.when(F.col("part") == 0, F.lit(1)).otherwise(F.get("_cuts", F.col("part") - 1))
+    name = F.concat(F.lit(prefix), chrom_name(F.col("chrom_num")), F.lit(":"), start.cast("string"), F.lit("-"))
+    out = at.withColumn("part", part).withColumn("region", name).drop("_c", "_cuts")
+    return out.repartitionByRange("chrom_num", "part", "pos").sortWithinPartitions("chrom_num", "part", "pos")
+
+
+def interval_sample(calls: DataFrame, every: int) -> DataFrame:
+    """Every so-manieth call of each chromosome, counted in the order of position and sample, with its number."""
+    return _numbered(calls.select("chrom_num", "pos", "sample_id"), "sample_id").where(F.col("rn") % every == 0).select("chrom_num", "pos", "sample_id", F.col("rn").cast("long").alias("rn"))
+
+
+def split_or_sampled(calls: DataFrame, regions: int, rate: float, seed: int = 42) -> DataFrame:
+    """Split points from a sample of the calls; where the sample cuts no chromosome, from all calls."""
+    points = split_points(bernoulli(calls, rate, seed), regions)
+    return points if not points.isEmpty() else split_points(calls, regions)
+
+
 def genome_splits(spark: SparkSession, parts: int, first: int = 1, last: int = 26) -> DataFrame:
     """split, start_chrom, start_pos, end_chrom, end_pos: the genome in equal parts; the last one goes to the end."""
     ends, total = [], 0

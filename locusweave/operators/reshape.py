@@ -15,12 +15,13 @@ def split_samples(wide: DataFrame) -> DataFrame:
     return not_reference(single_base(wide)).withColumn("info", F.lit("N/A"))
 
 
-def sample_lines(split: DataFrame) -> DataFrame:
-    """sample, chrom_num, pos, value: text lines, with a header line at the head of each sample."""
+def sample_lines(split: DataFrame, stacked: bool = True) -> DataFrame:
+    """sample, chrom_num, pos, value: text lines, with a header line at the head of each sample, or of each sample and chromosome where they aren't stacked."""
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     body = split.select("sample", "chrom_num", "pos", F.concat_ws("\t", *map(dot, ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "gt"])).alias("value"))
     title = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
-    head = split.select("sample", "chrom_num").distinct().select("sample", "chrom_num", F.lit(-1).cast("long").alias("pos"), F.concat_ws("\t", F.lit(title), "sample").alias("value"))
+    heads = split.select("sample", F.lit(0).alias("chrom_num") if stacked else "chrom_num").distinct()
+    head = heads.select("sample", "chrom_num", F.lit(-1).cast("long").alias("pos"), F.concat_ws("\t", F.lit(title), "sample").alias("value"))
     return body.unionByName(head)
 
 
@@ -32,7 +33,7 @@ def correct_reference(calls: DataFrame, x: float = 1.0, y: int = 0) -> DataFrame
 
 
 def order_by_sample(calls: DataFrame, n: int) -> DataFrame:
-    """n range partitions by sample and locus; the locus in the key splits a hot sample over partitions and keeps the order."""
+    """n range partitions by sample and locus; the locus in the key splits a hot sample over partitions and keeps the order. Header rows (chrom_num 0) come first in their sample."""
     return calls.repartitionByRange(n, "sample_id", "chrom_num", "pos").sortWithinPartitions("sample_id", "chrom_num", "pos")
 
 
@@ -45,5 +46,5 @@ def family(ids: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def dictionary(names: DataFrame, column: str) -> DataFrame:
-    """sample_id, name: ordinals from 1 by name. The window runs over distinct file names, one for each sample."""
+    """sample_id, name: ordinals from 1 by name. The window has no partition: it runs over distinct names, one for each sample, which is the bound of its one task."""
     return names.select(F.col(column).alias("name")).distinct().select(F.row_number().over(Window.orderBy("name")).alias("sample_id"), "name")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import variant as V
 from ..operators import filters, merge, partition, reshape
+from ..sources import sinks, vcf
+from ..sources.scratch import scratch
 
 N = 7
 
@@ -31,18 +33,28 @@ def rows(spark: SparkSession, sf_dir: str, sql: str = CALLS) -> DataFrame:
     return spark.sql(sql.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calls(spark: SparkSession, sf_dir: str, sql: str = CALLS, more: tuple[str, ...] = ()) -> DataFrame:
     """The derived rows in the engine's call schema."""
-    r = rows(spark, sf_dir)
+    r = rows(spark, sf_dir, sql)
     alts = F.array("alt")
     gt = F.concat_ws(":", "gt", F.col("dp").cast("string"))
     name = F.concat(F.lit("chr"), V.chrom_name(F.col("chrom_num")))
     return r.select(
         "sample_id", name.alias("chrom"), "chrom_num", "pos", F.col("rs").alias("id"), "ref", alts.alias("alts"), F.col("qual").cast("double").alias("qual"),
-        F.col("flt").alias("filter"), "info", F.col("fmt").alias("format"), F.array(V.decode(gt, F.col("ref"), alts)).alias("gts"),
+        F.col("flt").alias("filter"), "info", F.col("fmt").alias("format"), F.array(V.decode(gt, F.col("ref"), alts)).alias("gts"), *more,
     )
 
 
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows, for merges that remove duplicates behind their one exchange."""
+    return calls(spark, sf_dir, RAW, ("p", "x", "y"))
+
+
+def best() -> list:
+    """Which of several calls of a sample and locus stays."""
+    return [F.col(c).desc() for c in ("qual", "p", "x", "y")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,7 +90,7 @@ GENO = "case gt when '1/1' then {k}||'/'||{k} else '0/'||{k} end || ':' || cast(
   any_value(a.flt) "filter", any_value(a.info) info, any_value(a.fmt) format, string_agg(g, ' ' order by i) genotypes
  from a join (select s.chrom_num cn, s.pos ps, i, g from s) s on a.chrom_num = s.cn and a.pos = s.ps group by a.chrom_num, a.pos""".replace("select chrom_num, pos, i, coalesce", "select a.chrom_num, a.pos, i, coalesce"))
 def vcf_merge(spark, sf_dir):
-    m = merge.merge_vcf(autosomal(spark, sf_dir), N)
+    m = merge.merge_vcf(filters.by_chromosome(raw(spark, sf_dir), 1, 22), N, best=best(), keep=filters.at_least("PASS"))
     return m.withColumn("alts", F.array_join("alts", ",")).withColumn("genotypes", F.array_join("genotypes", " "))
 
 
@@ -88,22 +100,23 @@ def vcf_merge(spark, sf_dir):
   string_agg(case when c.gt is null then a.ref||' '||a.ref when c.gt = '1/1' then c.alt||' '||c.alt else c.ref||' '||c.alt end, ' ' order by i) genotypes
  from a cross join unnest(range(1, 8)) r(i) left join autosomal c on c.sample_id = r.i and c.chrom_num = a.chrom_num and c.pos = a.pos group by a.chrom_num, a.pos""")
 def tped_merge(spark, sf_dir):
-    return merge.merge_tped(autosomal(spark, sf_dir), N).withColumn("genotypes", F.array_join("genotypes", " "))
+    m = merge.merge_tped(filters.by_chromosome(raw(spark, sf_dir), 1, 22), N, best=best(), keep=filters.at_least("PASS"))
+    return m.withColumn("genotypes", F.array_join("genotypes", " "))
 
 
 @query("select chrom_num, pos, array_to_string(list_sort(list_distinct(list(alt))), ',') alts from calls group by all")
 def alt_union(spark, sf_dir):
-    return merge.merge_vcf(calls(spark, sf_dir), N).select("chrom_num", "pos", F.array_join("alts", ",").alias("alts"))
+    return merge.merge_vcf(raw(spark, sf_dir), N, best=best()).select("chrom_num", "pos", F.array_join("alts", ",").alias("alts"))
 
 
 @query("select chrom_num, pos, cast(floor(cast(sum(qual) as double)/count(*)*100+0.5) as double)/100 qual from calls group by chrom_num, pos")
 def qual_weighted(spark, sf_dir):
-    return merge.merge_vcf(calls(spark, sf_dir), N).select("chrom_num", "pos", "qual")
+    return merge.merge_vcf(raw(spark, sf_dir), N, best=best()).select("chrom_num", "pos", "qual")
 
 
 @query("select chrom_num, pos, string_agg(info, ';' order by sample_id) info from calls group by all")
 def info_concat(spark, sf_dir):
-    return merge.merge_vcf(calls(spark, sf_dir), N).select("chrom_num", "pos", "info")
+    return merge.merge_vcf(raw(spark, sf_dir), N, best=best()).select("chrom_num", "pos", "info")
 
 
 @query("select sample_id, chrom_num, pos, case gt when '1/1' then alt||' '||alt else ref||' '||alt end genotype from calls")
@@ -281,3 +294,112 @@ def latest_n(spark, sf_dir):
 def valid_reading(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("value").cast("int").alias("temp"), (F.col("user_id") % 10).cast("string").alias("quality"))
     return filters.valid_reading(e)
+
+
+# Text and store: the calls are written to the shared folder and read again.
+
+
+@query("""select sample_id, chrom_num, pos, rs id, ref, alt alts, cast(qual as double) qual, flt "filter", info, fmt format,
+ case gt when '1/1' then alt||'/'||alt else ref||'/'||alt end || ':' || cast(dp as varchar) genotype from calls""")
+def vcf_text(spark, sf_dir):
+    path = scratch(spark, "vcf-text")
+    sinks.write_calls(calls(spark, sf_dir), path)
+    g = F.col("gts")[0]
+    got = vcf.read_vcf(spark, path, numbered="folder").withColumn("genotype", F.concat(F.array_join(g["alleles"], "/"), g["rest"]))
+    return got.select("sample_id", "chrom_num", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"), "qual", "filter", "info", "format", "genotype")
+
+
+@query(ORACLE_SQL["tped_merge"].split("where chrom_num <= 22)", 1)[1])
+def tped_text(spark, sf_dir):
+    path = scratch(spark, "tped-text")
+    sinks.write_lines(merge.merge_tped(autosomal(spark, sf_dir), N), sinks.tped_line(ref=True), path, by_chromosome=True)
+    return vcf.read_tped(spark, path).withColumn("genotypes", F.array_join("genotypes", " "))
+
+
+@query(f"""select chrom_num, string_agg('##fileformat=VCFv4.2', ' ') filter (rn = 1) version, '#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT 1 2 3 4 5 6 7' title, count(distinct pos) loci
+ from (select *, row_number() over (partition by chrom_num) rn from autosomal) group by chrom_num""")
+def vcf_folders(spark, sf_dir):
+    """Per-chromosome VCF folders with their header: version, title line and number of loci of each."""
+    path = scratch(spark, "vcf-folders")
+    header = sinks.vcf_header(sinks.sample_names(N))
+    sinks.write_lines(merge.merge_vcf(autosomal(spark, sf_dir), N), sinks.vcf_line(), path, by_chromosome=True, compression="gzip", header=header)
+    v = spark.read.text(path)
+    of = lambda test: F.array_join(F.collect_list(F.when(test, F.translate("value", "\t", " "))), " ")
+    return v.groupBy("chrom_num").agg(of(F.col("value").startswith("##")).alias("version"), of(F.col("value").startswith("#CHROM")).alias("title"), F.count(F.when(~F.col("value").startswith("#"), 1)).alias("loci"))
+
+
+@query(f"select {BASIC} from calls where chrom_num between 4 and 9 and pos between 20 and 400")
+def store_scan(spark, sf_dir):
+    """Folders are pruned by chromosome, row groups by position."""
+    path = scratch(spark, "store")
+    sinks.write_store(calls(spark, sf_dir), path)
+    return basic(filters.by_chromosome(vcf.read_store(spark, path), 4, 9).where("pos between 20 and 400"))
+
+
+TAB = "chr(9)"
+
+
+@query(f"""
+ , s as (select 'S'||cast(sample_id as varchar) sample, * from calls)
+ select sample, 'chr'||({NAME})||{TAB}||pos||{TAB}||rs||{TAB}||ref||{TAB}||alt||{TAB}||qual||{TAB}||flt||{TAB}||'N/A'||{TAB}||fmt||{TAB}||gt as value from s
+ union all select distinct sample, array_to_string(['#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', sample], {TAB}) from s""")
+def sample_text(spark, sf_dir):
+    """One bz2 folder for each sample, all chromosomes stacked below one header."""
+    path = scratch(spark, "sample-text")
+    name = F.concat(F.lit("chr"), V.chrom_name(F.col("chrom_num")))
+    r = rows(spark, sf_dir).select(F.concat(F.lit("S"), F.col("sample_id").cast("string")).alias("sample"), "chrom_num", "pos", name.alias("chrom"), F.col("rs").alias("id"), "ref", "alt", "qual", F.col("flt").alias("filter"), "info", F.col("fmt").alias("format"), "gt")
+    sinks.write_samples(reshape.sample_lines(reshape.split_samples(r)), path)
+    return spark.read.text(path).select("sample", "value")
+
+
+CUTS = LOCI + ", cuts as (select chrom_num, pos from loci where (size + 1) // 4 > 0 and rn % ((size + 1) // 4) = 0 and rn // ((size + 1) // 4) < 4)"
+
+
+@query(CUTS + f"""
+ select chrom_num, pos, 'chr'||({NAME})||':'||cast(coalesce((select max(c.pos) from cuts c where c.chrom_num = l.chrom_num and c.pos <= l.pos), 1) as varchar)||'-' region from loci l""")
+def region_text(spark, sf_dir):
+    """Merged rows in one folder for each part of a chromosome, named by it."""
+    path = scratch(spark, "region-text")
+    c = calls(spark, sf_dir)
+    sinks.write_regions(partition.in_parts(merge.merge_tped(c, N), partition.split_points(c, 4)), sinks.tped_line(ref=True), path)
+    f = F.split("value", "\t")
+    return spark.read.text(path).select(f[0].cast("int").alias("chrom_num"), f[3].cast("long").alias("pos"), "region")
+
+
+@query("select chrom_num, pos, sample_id, rn from (select *, row_number() over (partition by chrom_num order by pos, sample_id) rn from calls) where rn % 5 = 0")
+def interval_sample(spark, sf_dir):
+    return partition.interval_sample(calls(spark, sf_dir), 5)
+
+
+@query(ORACLE_SQL["split_points"].split("where chrom_num <= 22)", 1)[1])
+def sampled_points(spark, sf_dir):
+    """A sample of rate 1 cuts as all calls do."""
+    return partition.split_or_sampled(calls(spark, sf_dir), 4, 1.0)
+
+
+@query("select chrom_num, pos, count(distinct case when sample_id = 7 and pos % 2 = 0 then 'N' else ref end) > 1 ref_conflict from calls group by chrom_num, pos")
+def ref_conflict(spark, sf_dir):
+    c = calls(spark, sf_dir).withColumn("ref", F.when((F.col("sample_id") == 7) & (F.col("pos") % 2 == 0), "N").otherwise(F.col("ref")))
+    return merge.merge_vcf(c, N, flag=True).select("chrom_num", "pos", "ref_conflict")
+
+
+@query(f"select {BASIC} from calls where (pos % 20 <= 5 and pos < 200) or (chrom_num = 5 and pos >= 150)")
+def many_regions(spark, sf_dir):
+    """More regions than one filter expression holds."""
+    wanted = [f"{c}:{20 * k}-{20 * k + 5}" for c in range(1, 27) for k in range(10)]
+    return basic(filters.by_regions(calls(spark, sf_dir), [*wanted, "chr5:150"]))
+
+
+READING = "substr('+- ', cast(event_id % 3 as int) + 1, 1)"
+
+
+@query(f"""
+ select station, time, temp, quality from (select lpad(cast(user_id as varchar), 6, '0')||'-00000' station, strftime(ts, '%Y%m%d%H%M') time, {READING} sign,
+  cast(event_id % 10000 as int) * case {READING} when '-' then -1 else 1 end temp, substr('0123456789', cast(user_id % 10 as int) + 1, 1) quality from events)
+ where sign <> ' ' and temp <> 9999 and quality in ('0', '1', '4', '5', '9')""")
+def weather_text(spark, sf_dir):
+    """Fixed-width records, written and read back; those whose value has no sign are malformed."""
+    path = scratch(spark, "weather")
+    value = F.concat(F.lit("0" * 4), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit("00000"), F.date_format("ts", "yyyyMMddHHmm"), F.lit("0" * 60), F.expr(READING), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0"), (F.col("user_id") % 10).cast("string"))
+    table(spark, sf_dir, "events").select(value.alias("value")).write.text(path)
+    return filters.valid_reading(vcf.read_weather(spark, path)).select("station", F.date_format("ts", "yyyyMMddHHmm").alias("time"), "temp", "quality")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.variant import chrom_name
 
+from ..functions.variant import chrom_name, encode
 
-def tped_line(genotype_sep: str = " ", names: bool = False) -> Column:
+
+def tped_line(genotype_sep: str = " ", names: bool = False, ref: bool = False) -> Column:
+    """ref: the form between merges, which has the reference as its fifth column (see vcf.read_tped)."""
     chrom = chrom_name(F.col("chrom_num")) if names else F.col("chrom_num").cast("string")
-    return F.concat_ws("\t", chrom, F.coalesce("rs", F.lit(".")), F.lit("0"), F.col("pos").cast("string"), F.array_join("genotypes", genotype_sep)).alias("value")
+    return F.concat_ws("\t", chrom, F.coalesce("rs", F.lit(".")), F.lit("0"), F.col("pos").cast("string"), *(["ref"] if ref else []), F.array_join("genotypes", genotype_sep)).alias("value")
 
 
 def vcf_line() -> Column:
@@ -23,10 +25,34 @@ def vcf_header(samples: list[str]) -> list[str]:
     return ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
 
 
-def write_lines(merged: DataFrame, line: Column, path: str, by_chromosome: bool = False, one_file: bool = False, compression: str | None = None) -> None:
-    """Text in the order of merged. by_chromosome: one folder per chromosome, and a rerun replaces only the folders it writes. one_file is for small results."""
+def sample_names(n: int, columns: int = 1) -> list[str]:
+    """The names of merged samples: their numbers, and the genotype column where a file has several."""
+    return [str(i) if columns == 1 else f"{i}.{k}" for i in range(1, n + 1) for k in range(1, columns + 1)]
+
+
+def finished(spark, path: str) -> list[int]:
+    """Chromosomes whose folders are there. A folder appears when its job has ended well, so these need not be written again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(x.removeprefix("chrom_num=")) for x in names if x.startswith("chrom_num="))
+
+
+def write_lines(merged: DataFrame, line: Column, path: str, by_chromosome: bool = False, one_file: bool = False, compression: str | None = None, header: list[str] | None = None) -> None:
+    """Text in the order of merged. by_chromosome: one folder per chromosome, and a rerun replaces only the folders it writes. one_file is for small results.
+
+    header: lines before all others (in every folder); they are the first part file, so parts joined by name are one file.
+    """
     out = merged.select(line, *(["chrom_num"] if by_chromosome else []))
-    w = (out.coalesce(1) if one_file else out).write.mode("overwrite")
+    if header:
+        head = merged.sparkSession.createDataFrame([(x,) for x in header], "value string").coalesce(1)
+        if by_chromosome:
+            chroms = merged.groupBy("chrom_num").agg(F.array(*map(F.lit, header)).alias("h")).coalesce(1)
+            head = chroms.select(F.explode("h").alias("value"), "chrom_num")
+        out = head.union(out)
+    if one_file:  # one task may take the parts in any order, so it sorts them by their place
+        out = out.withColumn("_at", F.monotonically_increasing_id()).coalesce(1).sortWithinPartitions("_at").drop("_at")
+    w = out.write.mode("overwrite")
     if compression:
         w = w.option("compression", compression)
     if by_chromosome:
@@ -35,13 +61,26 @@ def write_lines(merged: DataFrame, line: Column, path: str, by_chromosome: bool
 
 
 def write_samples(split: DataFrame, path: str, stacked: bool = True, compression: str = "bzip2") -> None:
-    """split: sample, chrom_num, pos and value (see operators.reshape.sample_lines); one folder per sample, or per sample and chromosome."""
+    """split: sample, chrom_num, pos and value (see operators.reshape.sample_lines); one folder per sample, or per sample and chromosome. Its parts joined by name are one file with its header first."""
     keys = ["sample"] if stacked else ["sample", "chrom_num"]
-    out = split.repartition(*keys) if not stacked else split.repartition("sample", "chrom_num")
     order = ["sample", "chrom_num", "pos"]
+    out = split.repartitionByRange(*order)
     out.sortWithinPartitions(*order).select("value", *keys).write.mode("overwrite").option("compression", compression).partitionBy(*keys).text(path)
 
 
+def write_calls(calls: DataFrame, path: str, compression: str = "bzip2") -> None:
+    """Calls as per-sample text, one folder (sample_id=...) for each sample, with genotypes against the call's own alleles (vcf.read_vcf(numbered="folder") reads them)."""
+    own = F.transform("gts", lambda g: encode(g, F.col("ref"), F.col("alts")))
+    out = calls.withColumn("genotypes", own).repartitionByRange("sample_id", "chrom_num", "pos").sortWithinPartitions("sample_id", "chrom_num", "pos")
+    out.select(vcf_line(), "sample_id").write.mode("overwrite").option("compression", compression).partitionBy("sample_id").text(path)
+
+
+def write_regions(merged: DataFrame, line: Column, path: str, compression: str | None = None) -> None:
+    """One folder for each region (operators.partition.in_parts), named by it; in it the lines are in order."""
+    w = merged.select(line, "region").write.mode("overwrite").partitionBy("region")
+    (w.option("compression", compression) if compression else w).text(path)
+
+
 def write_store(calls: DataFrame, path: str, batch: int = 0, mode: str = "append") -> None:
     """Add calls to the store: folders by chromosome, files sorted by position for row-group pruning."""
     calls.withColumn("batch", F.lit(batch)).repartitionByRange("chrom_num", "pos").sortWithinPartitions("chrom_num", "pos", "sample_id").write.mode(mode).partitionBy("chrom_num").parquet(path)

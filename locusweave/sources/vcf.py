@@ -26,6 +26,27 @@ def trailing_number(file_name: Column) -> Column:
     return F.regexp_extract(file_name, r"([1-9][0-9]*)\.bz2$", 1).try_cast("int")
 
 
+#: How a file's name gives its sample.
+NUMBERED = {"leading": sample_of, "trailing": trailing_number}
+
+
+def sample_files(spark: SparkSession, path: str | list[str], numbered: str = "leading", glob: str | None = None) -> DataFrame:
+    """file_name, sample_id of the files to be read; only names are listed."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob or "*")
+    names = reader.load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    return names.select("file_name", NUMBERED[numbered](F.col("file_name")).alias("sample_id"))
+
+
+def check_samples(spark: SparkSession, path: str | list[str], n: int, numbered: str = "leading", absent: bool = False, glob: str | None = None) -> None:
+    """ValueError where a file has no number or one outside 1 to n, or (unless absent is allowed) a sample has no file. One short row for each file goes to the driver."""
+    files = sample_files(spark, path, numbered, glob).collect()
+    if odd := sorted(r["file_name"] for r in files if r["sample_id"] is None or not 1 <= r["sample_id"] <= n):
+        raise ValueError(f"files that are no sample of 1 to {n}: {', '.join(odd[:20])}")
+    if missing := sorted(set(range(1, n + 1)) - {r["sample_id"] for r in files}):
+        if not absent:
+            raise ValueError(f"samples without a file: {', '.join(map(str, missing[:20]))}")
+
+
 def parse_calls(text: DataFrame, columns: tuple[int, ...] = (9,)) -> DataFrame:
     """Lines with sample_id to calls. columns: the genotype columns (0-based). Headers, empty lines, unknown contigs and rows without a position are left out."""
     f = F.split(F.trim(F.col("value")), r"\s+")
@@ -40,14 +61,30 @@ def parse_calls(text: DataFrame, columns: tuple[int, ...] = (9,)) -> DataFrame:
     return typed.withColumn("gts", F.transform("_g", lambda g: decode(g, F.col("ref"), F.col("alts")))).select(*CALL_COLUMNS)
 
 
-def read_vcf(spark: SparkSession, path: str | list[str], columns: tuple[int, ...] = (9,), glob: str | None = None) -> DataFrame:
-    """Per-sample files; the sample is the number that begins the file's name."""
-    return parse_calls(lines(spark, path, glob).select("value", sample_of(F.col("file_name")).alias("sample_id")), columns)
+def read_vcf(spark: SparkSession, path: str | list[str], columns: tuple[int, ...] = (9,), glob: str | None = None, numbered: str = "leading") -> DataFrame:
+    """Per-sample files; the sample is the number that begins the file's name, or ends its stem (numbered="trailing"), or the folder's, as written by Spark (numbered="folder": sample_id=7/)."""
+    if numbered == "folder":
+        return parse_calls(spark.read.text(path).select("value", F.col("sample_id").cast("int")), columns)
+    return parse_calls(lines(spark, path, glob).select("value", NUMBERED[numbered](F.col("file_name")).alias("sample_id")), columns)
 
 
-def wide_path(directory: str, chrom: str, version: str = "v5a.20130502.genotypes.vcf.gz") -> str:
-    """Path of one chromosome's multi-sample file in the usual public naming."""
-    return f"{directory.rstrip('/')}/ALL.chr{chrom}.phase3*{version}"
+def read_tped(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """chrom_num, rs, pos, ref, genotypes (allele pairs) of merged blocks with the reference column (sinks.tped_line(ref=True)), to be merged further.
+
+    Folders by chromosome are read as well. Rows of another shape are left out.
+    """
+    f, g = F.split(F.trim("value"), "\t"), F.split(F.get("f", F.lit(5)), " ")
+    rows = spark.read.text(path).select(f.alias("f")).where(F.size("f") == 6).select("f", g.alias("g")).where(F.size("g") % 2 == 0)
+    at = lambda k: F.get("f", F.lit(k))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("g") / 2 - 1).cast("int")), lambda i: F.concat_ws(" ", F.get("g", 2 * i), F.get("g", 2 * i + 1)))
+    out = rows.select(chrom_num(at(0)).alias("chrom_num"), at(1).alias("rs"), at(3).try_cast("long").alias("pos"), at(4).alias("ref"), pairs.alias("genotypes"))
+    return out.where("chrom_num is not null and pos is not null")
+
+
+def wide_paths(directory: str, first: int, last: int) -> list[str]:
+    """Globs of the multi-sample files of chromosomes first to last in the usual public naming; X, Y and M have versions of their own, and M is called MT."""
+    names = {23: "X", 24: "Y", 25: "XY", 26: "MT"}
+    return [f"{directory.rstrip('/')}/ALL.chr{names.get(c, c)}.*.vcf.gz" for c in range(first, last + 1)]
 
 
 def read_wide(spark: SparkSession, path: str | list[str], names: list[str] | None = None, first: int | None = None) -> DataFrame:
@@ -85,12 +122,15 @@ def read_family(spark: SparkSession, info: str, names: str) -> tuple[DataFrame,
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
     """Fixed-width weather records: station, time, temperature, quality."""
     cut = lambda a, b: F.substring("value", a + 1, b - a)
-    value = F.when(cut(87, 88) == "+", cut(88, 92)).otherwise(cut(87, 92))
+    value = F.when(cut(87, 88) == "+", cut(88, 92)).when(cut(87, 88) == "-", cut(87, 92))  # a value without a sign is malformed
     return spark.read.text(path).select(
         F.concat_ws("-", cut(4, 10), cut(10, 15)).alias("station"), F.try_to_timestamp(cut(15, 27), F.lit("yyyyMMddHHmm")).alias("ts"), value.try_cast("int").alias("temp"), cut(92, 93).alias("quality")
     )
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The call store; filters on chrom_num prune its folders, those on pos its row groups."""
+    """The call store; filters on chrom_num prune its folders, those on pos its row groups.
+
+    It takes the place of an index over text: load once, then regions are read without a scan of all the rest.
+    """
     return spark.read.parquet(path)
