@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from locusweave.llm import content_sort, jaccard, language, packing, quality
-from locusweave.llm.common import stash, table
+from locusweave.llm.common import drop, stash, table
 from locusweave.llm.queries import SIZE, tokenizer
 
 
@@ -51,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stash(stage(spark, docs, sf_dir), name)
+        drop(before)
     return docs

@@ -26,6 +26,8 @@ def trailing_number(file_name: Column) -> Column:
     return F.regexp_extract(file_name, r"([1-9][0-9]*)\.bz2$", 1).try_cast("int")
 
 
+#: Files whose headers are broadcast at most; with more the join is Spark's choice.
+BROADCAST_FILES = 2_000
 #: How a file's name gives its sample.
 NUMBERED = {"leading": sample_of, "trailing": trailing_number}
 
@@ -90,8 +92,8 @@ def wide_paths(directory: str, first: int, last: int) -> list[str]:
 def read_wide(spark: SparkSession, path: str | list[str], names: list[str] | None = None, first: int | None = None) -> DataFrame:
     """Multi-sample text in long form: one row for each record and chosen sample, with its genotype text.
 
-    names: chosen samples; first: the first so many of the header. Columns are found by name in each file's own header, which is broadcast:
-    it is one row for each file.
+    names: chosen samples; first: the first so many of the header. Columns are found by name in each file's own header: one row for each
+    file, broadcast for up to BROADCAST_FILES files.
     """
     text = lines(spark, path)
     head = text.where(F.col("value").startswith("#CHROM")).select("file_name", F.slice(F.split(F.trim("value"), r"\s+"), 10, 1_000_000).alias("names"))
@@ -100,7 +102,9 @@ def read_wide(spark: SparkSession, path: str | list[str], names: list[str] | Non
         picked = F.filter(picked, lambda p: p["name"].isin(*names))
     if first is not None:
         picked = F.slice(picked, 1, first)
-    head = F.broadcast(head.select("file_name", picked.alias("picked")))
+    head = head.select("file_name", picked.alias("picked"))
+    if sample_files(spark, path).count() <= BROADCAST_FILES:
+        head = F.broadcast(head)
     f = F.split(F.trim(F.col("value")), r"\s+")
     body = text.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select("file_name", f.alias("f")).join(head, "file_name")
     at = lambda k: F.get(F.col("f"), F.lit(k))
