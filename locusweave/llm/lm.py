@@ -22,47 +22,29 @@ empty result; extra columns are ignored. A null id has fold crc32("").
 
 from __future__ import annotations
 
-from functools import lru_cache
 from math import isqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, partitions, small_batches, stash
+from .common import drop, expand, fold_of, forget, held as kept, partitions, sliced, squeeze, stash
 
-#: Least number of head words; how often other words must be seen to be put into a class of the head.
-HEAD, MIN_COUNT = 800, 5
+#: Least and most head words (the driver holds a table of head x head numbers: 128 MB at most); how often other words must be seen to be put into a class of the head.
+HEAD, MOST_HEAD, MIN_COUNT = 800, 4_000, 2
+#: Numbers in the arrays that are weighed at once; bins of word counts for each doubling.
+WEIGHED, BINS = 1_500_000, 64
 #: Spelling classes: 4 lengths times 8 kinds of last character; a chunk's text bytes.
 SHAPES, CHUNK_BYTES = 32, 12_000_000
 ENDINGS = {c: i for i, cs in enumerate(("aàáâä", "eéèê", "ioíóöu", "nmñ", "rsß", "dt", ".,;:!?")) for c in cs.encode()}
 
 
 def sizes(tokens: int) -> tuple[int, int]:
-    """Head words and classes for so many training tokens: by their cube root, so that the head's table stays on the driver (3,000 words at 1 billion tokens, 72 MB)."""
-    head = max(HEAD, int(3 * tokens ** (1 / 3)))
+    """Head words and classes for so many training tokens: by their cube root, up to MOST_HEAD words. Words outside the head are classed too, on the executors."""
+    head = min(MOST_HEAD, max(HEAD, int(3 * tokens ** (1 / 3))))
     return head, isqrt(3 * head)
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """Numbers as compressed bytes: first the lowest byte of each, and so on."""
-    import pyarrow as pa
-
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
-    return len(a).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b"")
-
-
-def expand(cell: bytes, kind=np.int32) -> np.ndarray:
-    """What squeeze() was given."""
-    import pyarrow as pa
-
-    n, width = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(cell[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
-
-
 def shape(word: bytes) -> int:
     """The spelling class of a word."""
     n = len(word)
@@ -84,8 +66,6 @@ def chunks(docs: DataFrame, ident: str, text: str, of: int, test: int) -> DataFr
     """One row for each chunk of documents: token numbers of all documents, and the chunk's distinct words (as hashes) with their training counts."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
-
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
@@ -96,10 +76,12 @@ def chunks(docs: DataFrame, ident: str, text: str, of: int, test: int) -> DataFr
             train = np.repeat(~np.array(held, bool), n)
             counts = np.bincount(tok[train], minlength=len(words)).astype(np.int32)
             cells = [np.array(ids, np.int64).tobytes(), n.tobytes(), np.array(held, bool).tobytes(), squeeze(tok), words.view(np.int64).tobytes(), squeeze(counts)]
-            return pa.RecordBatch.from_pydict({k: [c] for (k, _), c in zip(CHUNK_FIELDS, cells)} | {"null_id": pa.array([null], pa.int32())})
+            sums = {"null_id": pa.array([null], pa.int32()), "train_docs": [len(held) - sum(held)], "train_words": [int(n[~np.array(held, bool)].sum())]}
+            return pa.RecordBatch.from_pydict({k: [c] for (k, _), c in zip(CHUNK_FIELDS, cells)} | sums)
 
+        forget()
         ids, held, tokens, number, size, null = [], [], [], _Words(), 0, -1
-        for b in batches:
+        for b in sliced(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = (t or b"").lower().split()
                 held.append(fold_of(i, of) == test)
@@ -114,7 +96,7 @@ def chunks(docs: DataFrame, ident: str, text: str, of: int, test: int) -> DataFr
             yield out()
 
     src = docs.select(F.col(ident).cast("long"), F.col(text).cast("binary"))
-    made = src.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in CHUNK_FIELDS) + ", null_id int")
+    made = src.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in CHUNK_FIELDS) + ", null_id int, train_docs long, train_words long")
     return stash(made.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
 
 
@@ -128,7 +110,7 @@ def word_counts(table: DataFrame, buckets: int, head: int) -> DataFrame:
     import pyarrow as pa
 
     def send(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             for words, counts in zip(*(x.to_pylist() for x in b.columns)):
                 w, n = np.frombuffer(words, np.int64), expand(counts)
                 w, n = w[n > 0], n[n > 0]
@@ -146,11 +128,11 @@ def word_counts(table: DataFrame, buckets: int, head: int) -> DataFrame:
         low = c < MIN_COUNT
         kinds = np.array([np.bincount(w[some] & 31, weights, SHAPES) for some, weights in ((low, c[low]), (low, None), (c == 1, None), (c == 2, None))]).astype(np.int64)
         top = np.lexsort((w, -c))[:head]
-        return pa.table({"words": [w[top].tobytes()], "c": [c[top].tobytes()], "tokens": [int(c.sum())], "distinct": [len(w)], "kinds": [kinds.tobytes()]}, schema=schema)
+        return pa.table({"words": [w[top].tobytes()], "c": [c[top].tobytes()], "tokens": [int(c.sum())], "distinct": [len(w)], "kinds": [kinds.ravel().tolist()]}, schema=schema)
 
-    schema = pa.schema([("words", pa.binary()), ("c", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("kinds", pa.binary())])
+    schema = pa.schema([("words", pa.binary()), ("c", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("kinds", pa.list_(pa.int64()))])
     sent = table.select("words", "counts").mapInArrow(send, "bucket long, words binary, n binary")
-    return stash(sent.groupBy("bucket").applyInArrow(add, "words binary, c binary, tokens long, distinct long, kinds binary"), "lm-counts")
+    return stash(sent.groupBy("bucket").applyInArrow(add, "words binary, c binary, tokens long, distinct long, kinds array<long>"), "lm-counts")
 
 
 def most_frequent(counted: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +143,20 @@ def most_frequent(counted: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray
             for words, c in zip(*(x.to_pylist() for x in b.columns)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["word", "c"])
 
-    top = counted.select("words", "c").mapInArrow(run, "word long, c long").orderBy(F.desc("c"), "word").limit(head).toArrow()
+    rows = counted.select("words", "c").mapInArrow(run, "word long, c long").withColumn("bin", F.floor(F.log2("c") * BINS))
+    # Bins of counts come first, so that only about `head` rows are sorted, however many buckets there are.
+    least, have = 0, 0
+    for r in sorted(rows.groupBy("bin").count().collect(), reverse=True):
+        least, have = r["bin"], have + r["count"]
+        if have >= head:
+            break
+    top = rows.where(F.col("bin") >= least).orderBy(F.desc("c"), "word").limit(head).select("word", "c").toArrow()
     return top.column("word").to_numpy(), top.column("c").to_numpy().astype(np.float64)
 
 
 def f(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1e-300)) * (x > 0)
+    """n log n of counts."""
+    return x * np.log(np.maximum(x, 1.0))
 
 
 def weigh(n: np.ndarray, rows: np.ndarray, cols: np.ndarray, classes: int, r: np.ndarray, c: np.ndarray, own: float, total: tuple[float, float]) -> np.ndarray:
@@ -237,6 +227,31 @@ def exchange(t: np.ndarray, head: int, classes: int) -> tuple[np.ndarray, np.nda
     return of, n
 
 
+def weigh_many(n: np.ndarray, rows: np.ndarray, cols: np.ndarray, classes: int, home: np.ndarray, before: np.ndarray, after: np.ndarray, own: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """weigh() for many words outside the head: (words, classes). Each is first taken out of its spelling class, `home`.
+
+    before, after: (words, symbols) how often each class, spelling class or end stands before and after the word; own: the word before itself; total: all its tokens.
+    """
+    t = total[:, None].astype(np.float64)
+    gain = f(rows[:classes]) - f(rows[:classes] + t) + f(cols[:classes]) - f(cols[:classes] + t)
+    for table, counts, others in ((n[:classes].T, after, before), (n[:, :classes], before, after)):
+        word, symbol = np.nonzero(counts)
+        if not len(word):
+            continue
+        cell = table[symbol].astype(np.float64)
+        at = np.flatnonzero(symbol == home[word])
+        cell[at] -= others[word[at], :classes]  # what the word itself adds to its spelling class
+        more = f(cell + counts[word, symbol][:, None]) - f(cell)
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        gain[word[starts]] += np.add.reduceat(more, starts, axis=0)
+    # Inside a class the pairs of the word with the class meet in one cell.
+    r, c, both = after[:, :classes], before[:, :classes], np.diagonal(n)[:classes]
+    word, d = np.nonzero(((r > 0) & (c > 0)) | (own > 0)[:, None])
+    r, c, both = r[word, d], c[word, d], both[d]
+    gain[word, d] += f(both + r + c + own[word]) - f(both + r) - f(both + c) + f(both)
+    return gain
+
+
 def find(head: np.ndarray, values: np.ndarray, words: np.ndarray, default) -> np.ndarray:
     """The value of each word that is in the head (sorted), and else the default."""
     if not len(head):
@@ -255,7 +270,7 @@ def assigned(table: DataFrame, buckets: int, head: np.ndarray, head_class: np.nd
     rows, cols = n.sum(axis=1), n.sum(axis=0)
 
     def send(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             for chunk, held, lengths, tokens, words, counts in zip(*(x.to_pylist() for x in b.columns)):
                 words, counts = np.frombuffer(words, np.int64), expand(counts)
                 to = bucket_of(words, buckets)
@@ -295,18 +310,17 @@ def assigned(table: DataFrame, buckets: int, head: np.ndarray, head_class: np.nd
         times = np.bincount(where, times, len(keys))
         first = np.searchsorted(keys, todo * (2 * kinds))
         last = np.searchsorted(keys, (todo + 1) * (2 * kinds))
-        for i, x, y in zip(todo.tolist(), first.tolist(), last.tolist()):
-            cells = np.zeros(2 * kinds)
-            cells[keys[x:y] - i * (2 * kinds)] = times[x:y]
-            before, own, after, s = cells[: end + 1], cells[kinds - 1], cells[kinds : kinds + end + 1], cls[i]
-            # Without the word: what it adds to the row and the column of its spelling class.
-            n[s] -= after
-            n[:, s] -= before
-            n[s, s] -= own
-            cls[i] = weigh(n, rows, cols, classes, after, before, own, (c[i], c[i])).argmax()
-            n[s] += after
-            n[:, s] += before
-            n[s, s] += own
+        cost = (np.cumsum(last - first) * max(1, classes) + np.arange(len(todo)) * 2 * kinds) // WEIGHED
+        for part in np.split(np.arange(len(todo)), np.flatnonzero(np.diff(cost)) + 1) if len(todo) and classes else []:
+            words = todo[part]
+            some = slice(first[part[0]], last[part[-1]])
+            whose = keys[some] // (2 * kinds)
+            row = np.minimum(np.searchsorted(words, whose), len(words) - 1)
+            mine = words[row] == whose  # rarer words lie between them
+            cells = np.zeros((len(words), 2 * kinds))
+            cells[row[mine], keys[some][mine] % (2 * kinds)] = times[some][mine]
+            gain = weigh_many(n, rows, cols, classes, cls[words], cells[:, : end + 1], cells[:, kinds : kinds + end + 1], cells[:, kinds - 1], c[words])
+            cls[words] = gain.argmax(axis=1)
         cut = np.cumsum([len(x) for x in parts])[:-1]
         back = np.split(at, cut)
         return pa.table({"chunk": got["chunk"], "at": got["at"], "c": [squeeze(c[i]) for i in back], "class": [squeeze(cls[i].astype(np.int16)) for i in back]}, schema=schema)
@@ -360,11 +374,10 @@ class Model:
         return np.log10(np.where(counts > 0, np.maximum(seen, 1e-30), np.minimum(fresh, 1.0)))
 
 
-@lru_cache(maxsize=2)
 def _loaded(packed: bytes) -> Model:
     import pickle
 
-    return pickle.loads(packed)
+    return kept("lm", packed, lambda: pickle.loads(packed))
 
 
 def bigrams(symbol: np.ndarray, tokens: bytes, lengths: bytes, held: bytes, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,7 +396,7 @@ def transitions(table: DataFrame, size: int, symbols) -> np.ndarray:
     block = max(1, (1 << 18) // size)  # rows of the table that are added up together
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             for held, lengths, tokens, *rest in zip(*(x.to_pylist() for x in b.columns)):
                 codes, n = bigrams(symbols(*rest), tokens, lengths, held, size - 1)
                 ends = np.searchsorted(codes, np.arange(0, size + block, block) * size)
@@ -412,14 +425,13 @@ def with_ends(symbols: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
 def clustered(parts: DataFrame):
     """Chunks with counts and classes of their words, number of classes, the spelling classes' counts, word tokens and distinct words in training."""
     spark = parts.sparkSession
-    many = parts.count()
+    many, tokens = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("train_words"), F.lit(0))).first()
     buckets = max(min(partitions(spark), 4 * many), many // 2, 1)
-    tokens = sum(sum(expand(bytes(r[0])).tolist()) for r in parts.select("counts").toLocalIterator())
     n_head, n_classes = sizes(tokens)
     counted = word_counts(parts, buckets, n_head)
-    small_batches(spark, 4)
     distinct = counted.agg(F.sum("distinct")).first()[0] or 0
-    shapes = sum((np.frombuffer(bytes(r[0]), np.int64).reshape(4, SHAPES) for r in counted.select("kinds").toLocalIterator()), np.zeros((4, SHAPES), np.int64))
+    sums = counted.agg(*[F.coalesce(F.sum(F.get("kinds", F.lit(i))), F.lit(0)) for i in range(4 * SHAPES)]).first()
+    shapes = np.array(sums, np.int64).reshape(4, SHAPES)
     head, head_counts = most_frequent(counted, n_head)
     for w, c in zip(head.tolist(), head_counts.tolist()):
         if c < MIN_COUNT:
@@ -432,6 +444,7 @@ def clustered(parts: DataFrame):
     rows = assigned(parts, buckets, ordered, of[: len(head)][order], n, n_classes)
     m = max(2 * spark.sparkContext.defaultParallelism, partitions(spark))
     classed = stash(parts.drop("words", "counts").repartition(m, "chunk").join(by_chunk(rows), "chunk", "left"), "lm-classed")
+    drop(counted)
     return classed, n_classes, {s: tuple(map(int, shapes[:, s])) for s in range(SHAPES)}, tokens, distinct
 
 
@@ -442,9 +455,9 @@ def score_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     import pyarrow as pa
 
     parts = chunks(docs, ident, text, of, test)
-    small_batches(docs.sparkSession, 4)  # a row is a chunk of documents
-    trained = sum(int((~np.frombuffer(bytes(r[0]), bool)).sum()) for r in parts.select("held").toLocalIterator())
+    trained = parts.agg(F.coalesce(F.sum("train_docs"), F.lit(0))).first()[0]
     classed, n_classes, shapes, tokens, distinct = clustered(parts)
+    drop(parts)
     none = squeeze(np.zeros(0, np.int16))
     t = transitions(classed.select("held", "lengths", "tokens", "class"), n_classes + SHAPES + 1, lambda c: expand(c or none, np.int16).astype(np.int64))
     model = pickle.dumps(Model(t, shapes, tokens + trained, distinct + (trained > 0)))  # ends are tokens too
@@ -452,7 +465,7 @@ def score_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
     def run(batches):
         m = _loaded(model)
-        for b in batches:
+        for b in sliced(batches, 1):
             for ids, lengths, held, tokens, count, cls, null in zip(*(x.to_pylist() for x in b.columns)):
                 lengths = np.frombuffer(lengths, np.int64)
                 count, cls = expand(count or none, np.int64), expand(cls or none, np.int16).astype(np.int64)
