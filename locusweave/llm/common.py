@@ -57,11 +57,24 @@ def drop(*tables: DataFrame | None) -> None:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most `rows` rows and, by their mean, about SLICE_BYTES bytes."""
+    """The batches in parts of at most `rows` rows and, by their mean, about SLICE_BYTES bytes. Behind the last one the worker gives back what it has freed."""
     for b in batches:
         per = max(1, min(rows, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
         for at in range(0, b.num_rows, per):
             yield b.slice(at, per)
+    b = None
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: workers live on between tasks and stages, and their allocators would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
 
 
 def threshold(want: int, total: int) -> int:
@@ -107,14 +120,16 @@ _HELD: dict = {}
 def held(name: str, key, make):
     """What make() gives, kept in the worker for the next task with this key. A worker holds one such thing, whatever operators it has run."""
     if _HELD.get("key") != (name, key):
-        _HELD.clear()
+        forget()
         _HELD["value"], _HELD["key"] = make(), (name, key)
     return _HELD["value"]
 
 
 def forget() -> None:
     """Operators that keep nothing in a worker free what others have kept."""
-    _HELD.clear()
+    if _HELD:
+        _HELD.clear()
+        give_back()
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -152,9 +167,3 @@ def fold_of(ident: int | None, of: int = 5) -> int:
 
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound Arrow batches by rows: documents may be long, and a worker holds a whole batch."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,8 +2,9 @@
 
 1. Signatures: the set of word shingles of each whole text (64-bit hashes), its size, its digest, a few min-hashes. Texts with
    equal sets are one representative from here on.
-2. Star links: of the documents with a common min-hash the pivot is the one whose min-hashes are the most common, which is the middle
-   of a group of near copies. Each document is compared with the one pivot that shares the most min-hashes with it; pairs that
+2. Star links: of the documents with a common min-hash the pivot is the one whose min-hashes are the most common, which is near the middle
+   of a group of near copies; equals are told apart at random for each of the HASHES functions, so a group has a few pivots. Each document is compared by bitmaps (see step 4)
+   with its pivots that share SHARED min-hashes with it, and then on the texts with the one whose bitmap is nearest; pairs that
    reach the threshold are links. Where many documents of a large group are left without a link, further rounds take further pivots as long as
    they link a good share of what they ask. This puts groups of near copies together in a number of comparisons linear in
    their size. It finds links early and decides nothing: step 3 misses none.
@@ -44,7 +45,7 @@ HASHES, SHARED = 8, 3
 #: Further rounds of step 2: open documents that a min-hash must have, and the share of what a round asks that it must link for another one.
 HOT_GROUP, WORTH = 50, 0.125
 #: The largest l; cost of a row in a bucket and of a candidate against a shingle that is sent; weight of a shingle at a place where only smaller partners count.
-LONGEST, ROW_COST, PAIR_COST, BEHIND = 8, 1.0, 8.0, 0.25
+LONGEST, ROW_COST, PAIR_COST, BEHIND = 8, 1.0, 4.0, 0.25
 #: Least and most counters of the frequency table (a power of 2; one byte each), shingles for each, and counters of one row of partial counts.
 LEAST_LOG, MOST_LOG, PER_SLOT, CHUNK = 16, 24, 16, 1 << 16
 #: Shingles that a task holds before it hands its counts or its packed prefixes on; shingles of a bucket; components with one shingle in one bucket.
@@ -120,18 +121,18 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def room(a: bytes, b: bytes, n: int, m: int) -> bool:
-    """Whether sets of n and m shingles with these bitmaps may reach the threshold."""
+def room(a: bytes, b: bytes, n: int, m: int) -> int | None:
+    """In how many bits these bitmaps of sets of n and m shingles differ; None where the sets can't reach the threshold."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     while len(x) != len(y):  # the larger one is folded
         x, y = (x, y) if len(x) > len(y) else (y, x)
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     differ = int(np.bitwise_count(x ^ y).sum())
-    return differ <= n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
+    return differ if differ <= n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT)) else None
 
 
 def near(sig: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents whose bitmaps leave room for a link. pairs: a written table."""
+    """The pairs (a, b) of documents whose bitmaps leave room for a link, and in how many bits they differ. pairs: a written table."""
     import pyarrow as pa
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
@@ -142,10 +143,11 @@ def near(sig: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches):
         forget()
         for b in sliced(batches):
-            ok = [room(x, y, n, m) for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            differ = pa.array([room(x, y, n, m) for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)))], pa.int64())
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), differ], ["a", "b", "differ"])
+            yield out.filter(differ.is_valid())
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long, differ long")
 
 
 def table_log(shingles: int) -> int:
@@ -288,23 +290,25 @@ def star_links(docs: DataFrame, ident: str, text: str, sig: DataFrame, reps: Dat
     sizes = stash(each.groupBy("j", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("size", F.col("c")), "sizes")
     crowd = join_groups(each, sizes, ["j", "h"]).where("size is not null")
     crowd = stash(crowd.groupBy("doc").agg(F.first("n").alias("n"), F.sum("size").alias("popular"), F.collect_list(F.struct("j", "h", "size")).alias("at")), "crowd")
+    shares = F.transform("at", lambda x: F.xxhash64(x["j"], x["h"]))
     links, used, asking = [], None, crowd
     while True:
         free = crowd if used is None else crowd.join(used, "doc", "left_anti")
         place = lambda t, *cols: t.select("doc", "n", *cols, F.explode("at").alias("_")).select("doc", "n", *cols, "_.*")
-        best = F.max(F.struct("popular", (-F.col("doc")).alias("less"), "n")).alias("p")
-        pivots = place(free, "popular").groupBy("j", "h").agg(best, F.max("size").alias("c")).select("j", "h", (-F.col("p.less")).alias("pivot"), F.col("p.n").alias("pn"), "c")
+        best = F.max(F.struct("popular", F.xxhash64("doc", "j").alias("draw"), "doc", "n", "keys")).alias("p")
+        pivots = place(free.withColumn("keys", shares), "popular", "keys").groupBy("j", "h").agg(best, F.max("size").alias("c"))
+        pivots = pivots.select("j", "h", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.keys").alias("other"), "c")
         if used is not None:
             pivots = pivots.join(place(asking).groupBy("j", "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HOT_GROUP).select("j", "h"), ["j", "h"], "left_semi")
         pivots = stash(pivots, "pivots")
-        pairs = join_groups(place(asking), pivots, ["j", "h"]).where("pivot <> doc").where(f"100 * least(n, pn) >= {PERCENT} * greatest(n, pn)")
-        pairs = pairs.groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARED)
-        pairs = stash(pairs.groupBy("doc").agg(F.max(F.struct("c", (-F.col("pivot")).alias("less"))).alias("p")).select("doc", (-F.col("p.less")).alias("pivot")), "star")
-        asked = pairs.count()
+        pairs = join_groups(place(asking.withColumn("keys", shares), "keys"), pivots, ["j", "h"]).where("pivot <> doc").where(f"100 * least(n, pn) >= {PERCENT} * greatest(n, pn)")
+        pairs = pairs.where(F.size(F.array_intersect("keys", "other")) >= SHARED)
+        told = stash(pairs.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
+        asked = told.select("a").distinct().count()
         if not asked:
             break
-        told = pairs
-        pairs = stash(near(sig, told.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))).select(F.col("a").alias("doc"), F.col("b").alias("pivot")), "near")
+        nearest = F.min(F.struct("differ", "b")).alias("p")
+        pairs = stash(near(sig, told).groupBy("a").agg(nearest).select(F.col("a").alias("doc"), F.col("p.b").alias("pivot")), "near")
         blocks = stash(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).select("pivot", "c", F.ceil(F.col("c") / QUERY_BLOCK).cast("int").alias("blocks")), "blocks")
         key = lambda block: F.struct(F.col("pivot").alias("base"), F.lit(0).alias("part"), block.alias("block"))
         large = blocks.where("blocks > 1")
@@ -317,7 +321,7 @@ def star_links(docs: DataFrame, ident: str, text: str, sig: DataFrame, reps: Dat
         # Another round asks the documents without a link, where many of them share a min-hash.
         linked = links[-1].select(F.explode(F.array("a", "b")).alias("doc"))
         asking = stash(asking.join(linked, "doc", "left_anti"), "open")
-        new = told.select(F.col("pivot").alias("doc"))
+        new = told.select(F.col("b").alias("doc"))
         used = stash((new if used is None else used.unionByName(new)).distinct(), "used")
         if place(asking).groupBy("j", "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HOT_GROUP).isEmpty():
             break
@@ -482,7 +486,7 @@ def cross_links(docs: DataFrame, ident: str, text: str, sig: DataFrame, pairs: D
     sized = stash(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left"), "sized")
     # Components of one document each are compared by bitmaps first.
     single = F.coalesce("sa", "sb").isNull()
-    alone = near(sig, stash(sized.where(single).select("a", "b"), "single"))
+    alone = near(sig, stash(sized.where(single).select("a", "b"), "single")).select("a", "b").distinct()
     sized = sized.where(~single).unionByName(alone, allowMissingColumns=True)
     sa, sb = F.coalesce("sa", F.lit(1)), F.coalesce("sb", F.lit(1))
     pick = lambda x, y: F.when(sb > sa, y).otherwise(x)

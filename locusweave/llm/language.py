@@ -6,7 +6,7 @@ training sample hold. LANDMARKS rows of the sample span the Nystroem map K(x, L)
 regression is fitted. Scoring a batch is one presence matrix times the landmarks' matrix, then two small matrix products.
 
 Learns from text and non-null language of rows whose fold is not 0, on a bounded sample (SAMPLE, in expectation;
-rows are picked by a hash of the id).
+rows are picked by a hash of id and text).
 
 Defined results: texts that are null or have no letter are `und` with score 0; without any training row all are `und`; a score is
 (f + 1) / 2 of the best regression value f, cut to 0..1; ties go to the first language in order; repeated rows are scored alike; an
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, held, sampled, sliced
 
 SAMPLE, LANDMARKS, RIDGE, ORDERS = 3_000, 96, 1e-2, (1, 2, 3)
 #: Documents that score less than this are rejected in a filtering stage, as is `und`.
@@ -106,7 +106,7 @@ class Kernel:
         if not hasattr(self, "_tables"):
             self._tables = {}
             for n in ORDERS:
-                t = np.full(1 << 8 * n, len(self.vocab[n]), np.int32)
+                t = np.full(1 << 8 * n, len(self.vocab[n]), np.uint16 if len(self.vocab[n]) < 1 << 16 else np.int32)
                 t[self.vocab[n]] = np.arange(len(self.vocab[n]))
                 self._tables[n] = t
         return self._tables
@@ -139,28 +139,21 @@ class Kernel:
         return langs, score
 
 
-_LAST: list = []
-
-
 def _unpacked(model: bytes) -> Kernel:
-    """One model stays unpacked in a worker."""
+    """The model, kept in the worker."""
     import pickle
 
-    if not _LAST or _LAST[0] != model:
-        _LAST[:] = [model, pickle.loads(model)]
-    return _LAST[1]
+    return held("language", model, lambda: pickle.loads(model))
 
 
 def learn(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang") -> Kernel:
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(ident)) != 0))
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64(F.col(ident), F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * share)).select(F.col(lang).cast("string"), F.col(text).cast("binary"), F.xxhash64(F.col(ident), F.lit(13)).alias("o"))
+    some = sampled(rows, SAMPLE, rows.count(), ident, text, seed=3).select(F.col(lang).cast("string"), F.col(text).cast("binary"), F.xxhash64(F.col(ident), F.lit(13)).alias("o"))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = {n: [] for n in ORDERS}
             for t in b.column(1).to_pylist():
                 codes, _ = grams([t])
@@ -180,12 +173,11 @@ def identify(docs: DataFrame, model: Kernel, ident: str = "doc_id", text: str =
 
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     packed = pickle.dumps(model)
 
     def run(batches):
         k = _unpacked(packed)
-        for b in batches:
+        for b in sliced(batches):
             langs, score = k.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(score)], [ident, "lang_pred", "score"])
 
@@ -199,12 +191,11 @@ def accept(docs: DataFrame, model: Kernel, text: str = "text", least: float = AC
 
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     packed, at = pickle.dumps(model), docs.columns.index(text)
 
     def run(batches):
         k = _unpacked(packed)
-        for b in batches:
+        for b in sliced(batches):
             langs, score = k.predict(b.column(at).to_pylist())
             yield b.filter(pa.array((score >= least) & (np.array(langs, object) != UNDEFINED), pa.bool_()))
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, sampled, sliced
 
 #: Labelled rows that the trees are fitted on at most (in expectation; rows are picked by a hash of the id).
 SAMPLE = 20_000
@@ -138,14 +138,12 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     """Fit on a bounded sample of the labelled rows whose fold is not 0."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     rows = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull() & (fold(F.col(ident)) != 0)).select(F.col(ident).alias("_id"), F.col(label).cast("int").alias("_y"))
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share))
+    some = sampled(rows, SAMPLE, rows.count(), "_id", seed=5)
     picked = docs.select(F.col(ident).alias("_id"), F.col(text).cast("binary").alias("_t")).join(F.broadcast(some), "_id")  # SAMPLE rows at most
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             s = statistics(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in s], pa.binary())], ["_id", "_y", "s"])
 
@@ -159,10 +157,8 @@ def score(docs: DataFrame, trees: Trees, ident: str = "doc_id", text: str = "tex
     """ident, score; one row for each input row."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
-
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees.score(statistics(b.column(1).to_pylist())), pa.float64())], [ident, "score"])
 
     src = docs.select(ident, F.col(text).cast("binary"))
@@ -173,11 +169,10 @@ def accept(docs: DataFrame, trees: Trees, text: str = "text", least: float = ACC
     """The rows of docs, with all their columns, that score at least `least`."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array(trees.score(statistics(b.column(at).cast(pa.binary()).to_pylist())) >= least))
 
     return docs.mapInArrow(run, docs.schema)
