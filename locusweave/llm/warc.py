@@ -1,10 +1,11 @@
 """WARC archives compressed record by record with an embedded Zstandard dictionary.
 
 Every archive is one file: a leading skippable frame (magic 0x184D2A5D) holds the dictionary, then each record is a Zstandard
-frame of its own, so a reader can begin at any record. The dictionary is built once from archived records (a bounded,
-documented sample) and goes into every archive. Spark's text writer puts the frames into files on any file system
-that Spark can reach: its line separator is itself an empty skippable frame, which every Zstandard reader passes over.
-Archives are read back whole from those files; the dictionary comes from the file's own first frame.
+frame of its own, so a reader can begin at any record. The dictionary is built once from archived records (about
+DICT_RECORDS records, at most DICT_SAMPLE_BYTES bytes, each with the same share of them) and goes into every archive. An archive ends when it has
+ARCHIVE_BYTES bytes, so tasks of any size write many archives, and each is read back as one row of bounded size. Spark's text writer
+puts them into files on any file system that Spark can reach: its line separator is itself an empty skippable
+frame, which every Zstandard reader passes over. The dictionary comes from the file's own first frame.
 
 Records with equal payloads of at least MIN_REVISIT bytes: the one with the smallest id is the response, the others are
 revisits without payload that refer to it. Payloads count as equal by SHA-256.
@@ -22,11 +23,13 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches
+from .common import drop, join_groups, sampled, scratch, sliced, stash
 
 MIN_REVISIT = 100
-#: Bytes of the dictionary; records (in expectation) and bytes of records it is built from at most; salts of a group of equal payloads.
-DICT_BYTES, DICT_RECORDS, DICT_SAMPLE_BYTES, SALTS = 65_536, 1_000, 4_000_000, 16
+#: Bytes of an archive, after which the next one begins.
+ARCHIVE_BYTES = 16_000_000
+#: Bytes of the dictionary; records (in expectation) and bytes of records it is built from at most.
+DICT_BYTES, DICT_RECORDS, DICT_SAMPLE_BYTES = 65_536, 1_000, 4_000_000
 #: The magic numbers of a dictionary frame, of an empty skippable frame (also as the separator) and of a compressed frame.
 DICT_MAGIC, EMPTY_FRAME, ZSTD_MAGIC = 0x184D2A5D, b"P*M\x18\0\0\0\0", 0xFD2FB528
 DATE = "2024-01-01T00:00:00Z"
@@ -97,66 +100,67 @@ def train(samples: list[bytes]) -> bytes:
         return b""
 
 
-def decisions(pages: DataFrame, ident: str, payload: str, url: str) -> DataFrame:
-    """_id, _url, _payload, _digest, _first (the response's id where the record revisits it)."""
+def decisions(pages: DataFrame, ident: str, payload: str, url: str) -> tuple[DataFrame, DataFrame]:
+    """_id, _url, _payload, _digest, _first (the response's id where the record revisits it), and the written table of digests that it reads."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     base = pages.select(F.col(ident).alias("_id"), F.coalesce(F.col(url), F.lit("")).alias("_url"), body.alias("_payload"), F.sha2(body, 256).alias("_digest"))
-    # Only digests that occur more than once are joined; each is there once for each salt, so a large group is dealt out.
-    twice = base.where(F.length("_payload") >= MIN_REVISIT).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    twice = twice.select("_digest", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = base.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(twice, ["_digest", "_salt"], "left").drop("_salt")
-    return joined.withColumn("_first", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")))
+    # Only digests that occur more than once are joined.
+    twice = base.where(F.length("_payload") >= MIN_REVISIT).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    twice = stash(twice, "twice")
+    joined = join_groups(base, twice, ["_digest"])
+    return joined.withColumn("_first", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first"))), twice
+
+
+def dictionary_of(pages: DataFrame, ident: str, payload: str, url: str) -> bytes:
+    """The dictionary, from about DICT_RECORDS records picked by a hash; of each the first bytes, the same number of all."""
+    some = sampled(pages, DICT_RECORDS, pages.count(), ident, payload, seed=11)
+    share = DICT_SAMPLE_BYTES // DICT_RECORDS
+    cut = F.substring(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 1, share)
+    samples, size = [], 0
+    for i, u, body in some.select(F.col(ident).alias("i"), F.coalesce(F.col(url), F.lit("")).alias("u"), cut.alias("b")).toLocalIterator():
+        samples.append(record(i, u[:share], bytes(body), hashlib.sha256(body).hexdigest(), None))
+        size += len(samples[-1])
+        if size > 2 * DICT_SAMPLE_BYTES:
+            break  # far more rows than expected: a table whose rows have few distinct hashes
+    return train(samples)
 
 
-def write(pages: DataFrame, path: str, ident: str = "page_id", payload: str = "html", url: str = "url") -> None:
-    """Write the archives, one for each task, to the folder at path."""
+def write(pages: DataFrame, path: str, ident: str = "page_id", payload: str = "html", url: str = "url", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the archives to the folder at path."""
     import pyarrow as pa
 
-    spark = pages.sparkSession
-    small_batches(spark)
-    made = decisions(pages, ident, payload, url)
-    # About DICT_RECORDS records picked by a hash of the id, and of each at most 20,000 characters.
-    share = int(1_000_000 * min(1.0, DICT_RECORDS / max(1, pages.count())))
-    some = pages.where(F.pmod(F.xxhash64(F.col(ident), F.lit(11)), F.lit(1_000_000)) < share).select(F.col(ident), F.coalesce(F.col(url), F.lit("")), F.substring(F.coalesce(F.col(payload), F.lit("")), 1, 20_000))
-    samples, size = [], 0
-    for r in some.toLocalIterator():
-        if size < DICT_SAMPLE_BYTES:
-            body = r[2].encode("utf-8", "replace")
-            samples.append(record(r[0], r[1], body, hashlib.sha256(body).hexdigest(), None))
-            size += len(samples[-1])
-    dictionary = train(samples)
+    made, twice = decisions(pages, ident, payload, url)
+    dictionary = dictionary_of(pages, ident, payload, url)
 
     def run(batches):
         import zstandard
 
         c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         head = struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary
-        for b in batches:
-            out, size = ([head] if head else []), 0
-            head = b""
-            for i, u, p, d, f in zip(*(x.to_pylist() for x in b.columns)):
-                out.append(c.compress(record(i, u, p, d, f)))
+        out, size = [], 0
+        for b in sliced(batches):
+            for row in zip(*(x.to_pylist() for x in b.columns)):
+                out.append(c.compress(record(*row)))
                 size += len(out[-1])
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(out)], pa.binary())], ["archive"])
                     out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(out)], pa.binary())], ["archive"])
 
-    frame = made.select("_id", "_url", "_payload", "_digest", "_first").mapInArrow(run, "frame binary")
-    frame.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode()).text(path)
+    archives = made.select("_id", "_url", "_payload", "_digest", "_first").mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", 1).text(path)  # a row is an archive
+    drop(twice)
 
 
 def read(spark, path: str, id_type: str = "long") -> DataFrame:
     """Each record of the archives below path: id, record_type, refers_to, url, digest, payload_bytes, body."""
     import pyarrow as pa
 
-    small_batches(spark, 1)  # a batch is one archive
-
     def run(batches):
         names = ["id", "record_type", "refers_to", "url", "digest", "payload_bytes", "body"]
         kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        for b in batches:
+        for b in sliced(batches, 1):
             for data in b.column(0).to_pylist():
                 rows, size = [], 0
                 for raw in frames(data):
@@ -179,9 +183,9 @@ def read(spark, path: str, id_type: str = "long") -> DataFrame:
     return got.withColumn("id", own("id")).withColumn("refers_to", own("refers_to"))
 
 
-def archive(pages: DataFrame, ident: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
+def archive(pages: DataFrame, ident: str = "page_id", payload: str = "html", url: str = "url", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives into the shared folder and read every record back."""
     spark = pages.sparkSession
     path = scratch(spark, "warc")
-    write(pages, path, ident, payload, url)
+    write(pages, path, ident, payload, url, archive_bytes)
     return read(spark, path, pages.schema[ident].dataType.simpleString())
