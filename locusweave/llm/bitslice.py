@@ -12,7 +12,7 @@ block's number.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; every other vector does, and sums
 are as wide as they need be. A quantised component or a resulting score that doesn't fit a long is an error, never a row left out; shorter vectors count as filled with zeros up to the longest; a row never answers a query
-with its own id; repeated rows are rows of their own; fewer than k candidates give fewer results; null ids take no part.
+with its own id; repeated rows are rows of their own, as candidates and as queries, each with its own ranks; fewer than k candidates give fewer results; null ids take no part.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stash
+from .common import partitions, sliced, stash
 
 #: Rows of a block (a bitmap is then 2 KB) and queries of a chunk.
-BLOCK_ROWS, CHUNK = 16_384, 128
+BLOCK_ROWS, CHUNK = 16_384, 1_024
 #: Sums that a long need not hold are compared in three parts of so many bits.
 PART = 60
 
@@ -142,7 +142,6 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_id"
     import pyarrow as pa
 
     spark = rows.sparkSession
-    small_batches(spark)
     q = quantised(rows, ident, vector, scale)
 
     def build(batches):
@@ -163,7 +162,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_id"
             return pa.RecordBatch.from_pydict({"ids": [ids[order].tobytes()], "dims": [dims], "bits": [bits], "low": [low], "slices": [index.tobytes()]}, schema=shape)
 
         shape = pa.schema([("ids", pa.binary()), ("dims", pa.int32()), ("bits", pa.int32()), ("low", pa.int64()), ("slices", pa.binary())])
-        for b in batches:
+        for b in sliced(batches):
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 left_ids.append(i)
                 left_q.append(x)
@@ -173,29 +172,33 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_id"
             yield block()
 
     index = stash(q.mapInArrow(build, "ids binary, dims int, bits int, low long, slices binary").withColumn("block", F.monotonically_increasing_id()), "bitslices")
-    n_chunks = queries.count() // CHUNK + 1
-    chunks = quantised(queries, ident, vector, scale).withColumn("chunk", F.pmod(F.xxhash64("_id"), F.lit(n_chunks)))
-    chunks = chunks.groupBy("chunk").agg(F.collect_list(F.struct("_id", "q")).alias("queries"))  # about CHUNK queries each
+    # A chunk has about CHUNK queries, or fewer where few blocks would leave cores idle. Rows are numbered, so repeated queries are told apart.
+    n_chunks = max(queries.count() // CHUNK + 1, -(-2 * spark.sparkContext.defaultParallelism // max(1, index.count())))
+    asked = quantised(queries, ident, vector, scale).withColumn("_row", F.monotonically_increasing_id())
+    chunks = asked.withColumn("chunk", F.pmod(F.xxhash64("_id", "_row"), F.lit(n_chunks)))
+    chunks = stash(chunks.groupBy("chunk").agg(F.collect_list(F.struct("_id", "_row", "q")).alias("queries")), "queries")
     # Every chunk meets every block once: an equi-join on the chunk's number.
     wanted = index.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk"))
     pairs = wanted.join(chunks, "chunk").join(index, "block").repartition(4 * partitions(spark), "block", "chunk")
 
     def search(batches):
-        for b in batches:
-            out = {"query_id": [], "id": [], "score": [], "high": [], "mid": [], "least": []}
+        for b in sliced(batches, 1):
+            out = {"query_id": [], "row": [], "id": [], "score": [], "high": [], "mid": [], "least": []}
             for r in b.to_pylist():
                 ids = np.frombuffer(r["ids"], np.int64)
                 slc = np.frombuffer(r["slices"], np.uint64).reshape(r["dims"], r["bits"], -1)
                 asked = [(x["_id"], np.array(x["q"], np.int64)) for x in r["queries"]]
-                for qid, found, score in search_block(ids, slc, r["bits"], -r["low"], asked, k):
+                rows_ = [x["_row"] for x in r["queries"]]
+                for row, (qid, found, score) in zip(rows_, search_block(ids, slc, r["bits"], -r["low"], asked, k)):
                     out["query_id"] += [qid] * len(found)
+                    out["row"] += [row] * len(found)
                     out["id"] += found.tolist()
                     out["score"] += [x if -(1 << 63) <= x < 1 << 63 else None for x in score]
                     for part, down in (("high", 2 * PART), ("mid", PART), ("least", 0)):
                         out[part] += [x >> down if part == "high" else x >> down & (1 << PART) - 1 for x in score]
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
 
-    near = pairs.select("ids", "dims", "bits", "low", "slices", "queries").mapInArrow(search, "query_id long, id long, score long, high long, mid long, least long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("high").desc(), F.col("mid").desc(), F.col("least").desc(), F.col("id")))
+    near = pairs.select("ids", "dims", "bits", "low", "slices", "queries").mapInArrow(search, "query_id long, row long, id long, score long, high long, mid long, least long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.col("high").desc(), F.col("mid").desc(), F.col("least").desc(), F.col("id")))
     score = F.coalesce("score", F.raise_error(F.lit("top_k: a score doesn't fit a long")).cast("long"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(ident), score.alias("score"))
