@@ -5,8 +5,13 @@ builder: elements with implied end tags (a paragraph ends at the next block, lis
 sisters) and implied ends at a parent's end tag; unknown end tags are ignored and open elements end with the page. Rendering: all
 visible text in document order, with white space collapsed as in a browser. Blocks begin on lines of their own, paragraphs
 and headings stand between blank lines, list items have a bullet or their number and are indented by depth, preformatted text keeps its
-lines, and a table's cells are padded to the width of their column. Hidden are: head parts without text, hidden elements
-(the attribute, display:none or visibility:hidden in style, aria-hidden="true", hidden inputs), templates, closed details.
+lines, and a table's cells stand in the columns of its grid (colspan and rowspan), padded to the column's width as shown (wide letters count twice, combining marks
+not at all). Boxes in a line (buttons, fields) stand apart from the text beside them.
+
+Visibility: not shown are head parts, elements with the attribute hidden or with display:none in their style, templates, closed details and dialogs, scripts,
+and what browsers show in place of other content (video, audio, canvas, iframe). visibility:hidden or collapse is inherited and ended by visibility:visible
+further down. Pages are read without scripts and plugins, so noscript and an object's content are shown, and so are the texts of svg
+(without title, desc, metadata, defs and symbols) and math (without annotations). aria-hidden hides nothing from the eye. Fields show their value, or else their placeholder.
 
 The tree is walked with a stack of its own, so depth isn't bounded by Python's; the cost is linear in the page, and a page is all
 that a task holds beside its batch.
@@ -19,20 +24,25 @@ from __future__ import annotations
 
 import html as _html
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import sliced
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 #: Fixed values of the markup language, in groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noembed noframes iframe xmp textarea title".split())
-UNSEEN = frozenset("script style noembed noframes iframe title head template noscript object svg math canvas audio video datalist".split())
+UNSEEN = frozenset("script style noembed noframes iframe title head template canvas audio video datalist desc metadata defs symbol annotation annotation-xml".split())
+BOXES = frozenset("button select textarea meter progress svg object".split())
+#: Types of inputs that show no text of their own.
+SILENT = frozenset("hidden password checkbox radio file range color image".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure hr fieldset".split())
 #: What a new tag ends, and the elements beyond which it doesn't look.
@@ -169,7 +179,41 @@ def hidden(node: Node) -> bool:
         return True
     if not a:
         return False
-    return "hidden" in a or a.get("aria-hidden", "").strip().lower() == "true" or bool(HIDING.search(a.get("style", ""))) or (node.tag == "dialog" and "open" not in a)
+    return "hidden" in a or bool(HIDING.search(a.get("style", ""))) or (node.tag == "dialog" and "open" not in a)
+
+
+def width_of(text: str) -> int:
+    """Columns that a text takes in a line."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in ("W", "F") else 1 for c in text)
+
+
+class Table:
+    """Rows of cells, and for each column how many further rows a cell from above takes."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[str]] = []
+        self.taken: dict[int, int] = {}
+        self.here: dict[int, int] = {}
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.here = {k: n for k, n in self.taken.items() if n > 0}
+        self.taken = {k: n - 1 for k, n in self.here.items()}
+
+    def section(self) -> None:
+        """Cells don't reach beyond their group of rows."""
+        self.taken = {}
+
+    def cell(self, text: str, across: int, down: int) -> None:
+        row = self.rows[-1]
+        while self.here.get(len(row)):
+            row.append("")
+        for k in range(len(row), len(row) + across):
+            if down > 1:
+                self.taken[k] = down - 1
+        row.extend([text] + [""] * (across - 1))
 
 
 class Canvas:
@@ -249,11 +293,12 @@ def aligned(rows: list[list[str]]) -> list[str]:
             if k == len(width):
                 width.append(0)
             if k < len(r) - 1:
-                width[k] = max(width[k], max(map(len, c)))
+                width[k] = max(width[k], max(map(width_of, c)))
     out = []
     for r in cells:
         for i in range(max(map(len, r), default=0)):
-            out.append("  ".join((c[i] if i < len(c) else "").ljust(width[k]) if k < len(r) - 1 else (c[i] if i < len(c) else "") for k, c in enumerate(r)).rstrip())
+            parts = [c[i] if i < len(c) else "" for c in r]
+            out.append("  ".join(x + " " * (width[k] - width_of(x)) if k < len(r) - 1 else x for k, x in enumerate(parts)).rstrip())
     return out
 
 
@@ -262,7 +307,8 @@ class Renderer:
 
     def __init__(self) -> None:
         self.canvas = [Canvas()]
-        self.tables: list[list[list[str]]] = []
+        self.tables: list[Table] = []
+        self.visible = True
         self.lists: list[list] = []  # [ordered, next number]
         self.pre = 0
         self.todo: list[tuple] = []
@@ -278,6 +324,8 @@ class Renderer:
         return self.canvas[0].text()
 
     def _text(self, value: str) -> None:
+        if not self.visible:
+            return
         value = _html.unescape(value).replace("\0", "")
         c = self.canvas[-1]
         if self.pre:
@@ -298,16 +346,19 @@ class Renderer:
         tag, c = n.tag, self.canvas[-1]
         if hidden(n):
             return
+        if n.attrs and (seen := VISIBILITY.findall(n.attrs.get("style", ""))):
+            self.todo.append(("sight", self.visible))
+            self.visible = seen[-1].lower() == "visible"
         if tag == "br":
             return c.br()
         if tag == "hr":
             c.gap(2)
             return
         if tag == "img":
-            return c.word(" " + n.attrs["alt"] + " ") if n.attrs.get("alt", "").strip() else None
+            return c.word(" " + n.attrs["alt"] + " ") if self.visible and n.attrs.get("alt", "").strip() else None
         if tag == "input":
-            kind = n.attrs.get("type", "text").lower()
-            return c.word(" " + n.attrs["value"] + " ") if kind in ("submit", "button", "reset", "text", "search") and n.attrs.get("value", "").strip() else None
+            shown = next((x for k in ("value", "placeholder") if (x := n.attrs.get(k, "")).strip()), "")
+            return c.word(" " + shown + " ") if self.visible and shown and n.attrs.get("type", "text").strip().lower() not in SILENT else None
         if tag in VOID:
             return None
         kids = n.children
@@ -317,18 +368,24 @@ class Renderer:
             return self._block(n, kids, 1)
         if tag == "table":
             c.gap(2)
-            self.tables.append([])
+            self.tables.append(Table())
             self.todo.append(("close_table", n))
             # Text straight inside a table has no cell: it is shown before it.
         elif tag == "tr":
-            self.tables[-1].append([])
+            self.tables[-1].row()
         elif tag in ("td", "th"):
-            if not self.tables[-1]:
-                self.tables[-1].append([])
+            if not self.tables[-1].rows:
+                self.tables[-1].row()
             self.canvas.append(Canvas())
             self.todo.append(("close_cell", n))
-        elif tag in ("thead", "tbody", "tfoot", "colgroup"):
-            pass
+        elif tag in ("thead", "tbody", "tfoot"):
+            if self.tables:
+                self.tables[-1].section()
+        elif tag in BOXES or (tag == "text" and c.now):
+            c.word(" ")
+            self.todo.append(("close_box", n))
+            if tag == "textarea" and not "".join(k for k in kids if isinstance(k, str)).strip() and n.attrs.get("placeholder"):
+                kids = [_html.escape(n.attrs["placeholder"])]
         elif tag == "caption":
             return self._block(n, kids, 1)
         elif tag in ("ul", "ol", "menu", "dir"):
@@ -391,16 +448,19 @@ class Renderer:
         self.pre -= 1
         self.canvas[-1].gap(2)
 
+    def _sight(self, before: bool) -> None:
+        self.visible = before
+
+    def _close_box(self, _n: Node) -> None:
+        self.canvas[-1].word(" ")
+
     def _close_cell(self, n: Node) -> None:
-        cell = self.canvas.pop().text()
-        row = self.tables[-1][-1]
-        row.append(cell)
-        span = n.attrs.get("colspan", "")
-        if re.fullmatch(r"[0-9]{1,3}", span):
-            row.extend([""] * (int(span) - 1))
+        across, down = (int(x) if re.fullmatch(r"[0-9]{1,5}", x := n.attrs.get(k, "").strip()) else 1 for k in ("colspan", "rowspan"))
+        # As in browsers: a colspan is at most 1000, and a rowspan of 0 goes to the end of the rows' group.
+        self.tables[-1].cell(self.canvas.pop().text(), max(1, across if across <= 1000 else 1000), down or 65_534)
 
     def _close_table(self, _n: Node) -> None:
-        rows = self.tables.pop()
+        rows = self.tables.pop().rows
         c = self.canvas[-1]
         for line in aligned([r for r in rows if any(r)]):
             c.line(line)
@@ -416,10 +476,8 @@ def extract(pages: DataFrame, ident: str = "page_id", html: str = "html") -> Dat
     """ident, text; one row for each input row. One narrow pass, no shuffle."""
     import pyarrow as pa
 
-    small_batches(pages.sparkSession)
-
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_of(x) for x in b.column(1).to_pylist()], pa.string())], [ident, "text"])
 
     src = pages.select(ident, html)
