@@ -8,7 +8,7 @@ in several buckets are put together by their SHA-256, at most one such run at th
 
 Defined results: a null text counts as empty; empty texts are equal to each other; repeated rows (same id, same text)
 count in group_size, and exactly one of them is kept; null ids sort lowest; an empty table gives an empty result;
-extra columns are ignored by content_groups and carried along by keep_one (columns that start with "_cs_" are reserved).
+extra columns are ignored by content_groups and carried along by keep_one (columns that start with "_cs_" are refused).
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def _splitters(keyed: DataFrame, ident: str, buckets: int) -> list[str]:
     """buckets - 1 sort keys from a sample of at most about SAMPLED_PER_BUCKET x buckets rows (the only rows the driver sees)."""
     total = keyed.count()
     want = SAMPLED_PER_BUCKET * buckets
-    share = 1_000_000 if total <= want else max(1, int(1_000_000 * want / total))
-    rows = keyed.where(F.pmod(F.xxhash64(F.col(ident), F.lit(7)), F.lit(1_000_000)) < share).select("_cs_key").collect()
+    # By a random number: equal rows are equally likely. Any splitters give right results.
+    rows = (keyed if total <= want else keyed.where(F.rand(7) < want / total)).select("_cs_key").collect()
     keys = sorted((r[0] for r in rows), key=lambda k: k.encode("utf-8"))
     return sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)}, key=lambda k: k.encode("utf-8")) if keys else []
 
@@ -56,6 +56,8 @@ def _runs(df: DataFrame, text: str, ident: str, normalise, keep: str, buckets: i
     sha = F.coalesce(F.sha2(norm.cast("binary"), 256), F.lit(""))
     lead = F.base64(F.substring(norm.cast("binary"), 1, LEAD))
     key = F.concat_ws("|", F.hex(F.unbase64(lead)), F.col("_cs_sha"), F.lpad(F.coalesce(F.col(ident).cast("string"), F.lit("")), 20, "0"))
+    if clash := [c for c in df.columns if c.lower().startswith("_cs_")]:
+        raise ValueError(f"columns that start with _cs_ are reserved: {clash}")
     keyed = df.withColumn("_cs_text", norm).withColumn("_cs_sha", sha).withColumn("_cs_key", key)
     splitters = _splitters(keyed, ident, buckets)
     # The normalised text is made again behind the shuffle, which then carries each text once.
