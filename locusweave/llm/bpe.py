@@ -15,19 +15,20 @@ decoding; bytes that are no UTF-8 decode to U+FFFD.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import held, sliced
 
-#: Pieces that the cache of one worker holds in each of its two generations.
-CACHE_PIECES = 400_000
+#: Bytes that the cache of one worker holds in each of its two generations; what an entry takes beside its letters and ids; letters of the longest piece that is kept.
+CACHE_BYTES, ENTRY_BYTES, LONGEST_PIECE = 64_000_000, 150, 200
 #: The split patterns of the two tokenizer kinds, written with the Unicode White_Space property.
 SPACED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 BARE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -73,6 +74,8 @@ class Bpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.cached = 0
+        self.marks: dict[str, bytes] = {}
         self.path = path
 
     @cached_property
@@ -157,23 +160,34 @@ class Bpe:
 
     def learn(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces that are not in the cache, which then holds them; a full cache becomes the older generation."""
-        if len(self.cache) + len(pieces) > CACHE_PIECES:
-            self.older, self.cache = self.cache, {}
+        if self.cached > CACHE_BYTES:
+            self.older, self.cache, self.cached = self.cache, {}, 0
         found = list(map(self.older.get, pieces))
         fresh = [i for i, ids in enumerate(found) if ids is None]
+        space = " " if self.spaced else ""
         for at in range(0, len(fresh), 8_000):
             some = fresh[at : at + 8_000]
-            split = [self._words(pieces[i]) for i in some]
-            distinct: dict[str, int] = {}
-            for ws in split:
-                for w in ws:
-                    distinct.setdefault(w, len(distinct))
-            ids = self.merge([w.encode("utf-8", "replace") for w in distinct])
+            split = [(space + p,) if p.isalpha() else self._ended(p) or self._words(p) for p in map(pieces.__getitem__, some)]
+            words = dict.fromkeys(w for w in itertools.chain.from_iterable(split) if type(w) is str)
+            ids = dict(zip(words, self.merge([w.encode("utf-8", "replace") for w in words])))
             for i, ws in zip(some, split):
-                found[i] = ids[distinct[ws[0]]] if len(ws) == 1 else b"".join([ids[distinct[w]] for w in ws])
-        self.cache.update(zip(pieces, found))
+                found[i] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] if type(w) is str else w for w in ws])
+        if pieces and len(max(pieces, key=len)) > LONGEST_PIECE:
+            kept = [(p, x) for p, x in zip(pieces, found) if len(p) <= LONGEST_PIECE]
+        else:
+            kept = list(zip(pieces, found))
+        self.cache.update(kept)
+        self.cached += sum(ENTRY_BYTES + len(p) + len(x) for p, x in kept)
         return found
 
+    def _ended(self, piece: str) -> tuple | None:
+        """Of a piece that is a known word and a closing mark: the ids of both."""
+        if piece[-1:] not in CLOSING or (word := self.cache.get(piece[:-1])) is None or not piece[:-1].isalpha():
+            return None
+        if (mark := self.marks.get(piece[-1])) is None:
+            mark = self.marks[piece[-1]] = self.merge([piece[-1].encode()])[0]
+        return word, mark
+
     def _pieces(self, text: str) -> list[str]:
         """Cut a text without special tokens where a cut is always a word border."""
         plain = text.replace("\n", "").isprintable() and latin(text)
@@ -206,16 +220,16 @@ class Bpe:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
         out = []
         for at in range(0, len(texts), 256):
-            get = self.cache.get
             cut = [self.pieces(t or "") for t in texts[at : at + 256]]
-            ids = [list(map(get, ps)) for ps in cut]
-            holes = [(d, i) for d, have in enumerate(ids) if None in have for i, x in enumerate(have) if x is None]
-            missing = dict.fromkeys(p for d, i in holes if type(p := cut[d][i]) is str)
-            new = dict(zip(missing, self.learn(list(missing))))
-            for d, i in holes:
-                p = cut[d][i]
-                ids[d][i] = new[p] if type(p) is str else p.to_bytes(4, "little")
-            out += map(b"".join, ids)
+            distinct = set().union(*cut)
+            have = dict(zip(distinct, map(self.cache.get, distinct)))
+            missing = [p for p, ids in have.items() if ids is None]
+            if self.special and (known := [p for p in missing if type(p) is int]):
+                have.update((p, p.to_bytes(4, "little")) for p in known)
+                missing = [p for p in missing if type(p) is str]
+            have.update(zip(missing, self.learn(missing)))
+            get = have.__getitem__
+            out += [b"".join(map(get, ps)) for ps in cut]
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -242,20 +256,18 @@ def latin(text: str) -> bool:
     return True
 
 
-@lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    """The tokenizer, kept in the worker."""
+    return held("bpe", path, lambda: Bpe(path))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """ident, ids (little-endian unsigned 32-bit), decoded text; one row for each input row."""
     import pyarrow as pa
 
-    small_batches(df.sparkSession)
-
     def run(batches):
         tok = load(path)
-        for b in batches:
+        for b in sliced(batches):
             ids = tok.encode_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([tok.decode(x) for x in ids], pa.string())], [ident, "ids", "decoded"])
 
@@ -267,11 +279,9 @@ def digests(df: DataFrame, path: str, text: str = "text", ident: str = "doc_id")
     """ident, n_tokens, ids_sha256, decoded_sha256: the digests of what round_trip gives, without carrying it."""
     import pyarrow as pa
 
-    small_batches(df.sparkSession)
-
     def run(batches):
         tok = load(path)
-        for b in batches:
+        for b in sliced(batches):
             n, a, d = [], [], []
             for ids in tok.encode_batch(b.column(1).to_pylist()):
                 listed = np.frombuffer(ids, "<u4").tolist()

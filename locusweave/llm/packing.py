@@ -21,24 +21,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .common import partitions, small_batches, stash
+from .common import sliced, stash
 
 #: The id that ends each document.
 END = 1
-#: Widest gap for which triples are searched by all their largest members; each is one lookup in the pair index.
-TRIPLE_TRIES = 64
 
 
 def pieces(df: DataFrame, path: str, size: int, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """ident, piece, start, length, ids_crc32 of each piece."""
     import pyarrow as pa
 
-    small_batches(df.sparkSession)
-
     def run(batches):
         tok = load(path)
         end = END.to_bytes(4, "little")
-        for b in batches:
+        for b in sliced(batches):
             rows, no, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(tok.encode_batch(b.column(1).to_pylist())):
                 ids += end
@@ -58,45 +54,67 @@ def pieces(df: DataFrame, path: str, size: int, text: str = "text", ident: str =
 
 
 class Plan:
-    """Bins of capacity `size` for a histogram of lengths, in bulk: a pattern is a tuple of lengths, used some number of times."""
+    """Bins of capacity `size` for a histogram of lengths, in bulk: a pattern is a tuple of lengths, used some number of times.
+
+    The index: `left` has how many pieces of each length are available (singles), `pairs` for each sum how many pairs
+    of available lengths make it. A triple is a length whose rest has a pair. Both are kept up as lengths run out.
+    """
 
     def __init__(self, counts: dict[int, int], size: int):
         self.size, self.left = size, np.zeros(size + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
+        self.pairs = np.zeros(size + 1, np.int64)
+        there = np.flatnonzero(self.left)
+        for x in there.tolist():
+            self._count_pairs(x, there[there > x], 1)
+            if self.left[x] > 1 and 2 * x <= size:
+                self.pairs[2 * x] += 1
         self.patterns: list[tuple[tuple[int, ...], int]] = []
         self._solve()
 
+    def _count_pairs(self, x: int, others: np.ndarray, by: int) -> None:
+        """Pairs of length x with other lengths come or go."""
+        self.pairs[x + others[others <= self.size - x]] += by
+
+    def _use(self, x: int, n: int) -> None:
+        """n pieces of length x are no longer available."""
+        before = int(self.left[x])
+        self.left[x] = after = before - n
+        if before > 1 >= after and 2 * x <= self.size:
+            self.pairs[2 * x] -= 1
+        if before > 0 == after:
+            self._count_pairs(x, np.flatnonzero(self.left), -1)
+
     def _take(self, lengths: tuple[int, ...], bins: int) -> int:
         """Use up the lengths for as many of the bins as the counts allow; how many that are."""
         need = {x: lengths.count(x) for x in lengths}
         n = min(bins, *(int(self.left[x]) // k for x, k in need.items()))
         for x, k in need.items():
-            self.left[x] -= n * k
+            self._use(x, n * k)
         return n
 
+    def _pairs_of(self, total: int) -> list[tuple[int, int]]:
+        """The available pairs with this sum; those with the longest length first."""
+        if total < 2 or not self.pairs[total]:
+            return []
+        here = self.left[: total] > 0
+        b = np.flatnonzero(here[1:] & here[:0:-1]) + 1  # b and total - b
+        b = b[(2 * b > total) | ((2 * b == total) & (self.left[b] > 1))]
+        return [(x, total - x) for x in b[::-1].tolist()]
+
     def _exact(self, gap: int) -> tuple[int, ...] | None:
-        """A single, pair or triple of lengths still there that sums to the gap; long lengths come first."""
-        left = self.left
-        if left[gap]:
+        """A single, pair or triple of available lengths that sums to the gap; long lengths come first."""
+        if self.left[gap]:
             return (gap,)
-        small = left[1:gap]
-        if gap < 2 or not small.any():
-            return None
-        both = (small > 0) & (small[::-1] > 0)  # both[i]: lengths i + 1 and gap - i - 1
-        if gap % 2 == 0 and left[gap // 2] < 2:
-            both[gap // 2 - 1] = False
-        if (at := np.flatnonzero(both)).size:
-            return (int(at[-1]) + 1, gap - int(at[-1]) - 1)
-        there = np.flatnonzero(small) + 1
-        for a in there[::-1][:TRIPLE_TRIES].tolist():
-            rest = gap - a
-            part = left[1:rest] > 0
-            two = part & part[::-1]
-            for b in np.flatnonzero(two)[::-1][:4].tolist():
-                trio = (a, b + 1, rest - b - 1)
-                if all(left[x] >= trio.count(x) for x in trio):
-                    return trio
+        if two := self._pairs_of(gap):
+            return two[0]
+        a = np.arange(gap - 2, 0, -1)
+        # Of the pairs that make the rest only the one with this length itself may ask for more pieces of it than there are.
+        for x in a[(self.left[a] > 0) & (self.pairs[gap - a] > 0)].tolist():
+            for two in self._pairs_of(gap - x)[:3]:
+                if self.left[x] >= 1 + two.count(x):
+                    return (x, *two)
         return None
 
     def _solve(self) -> None:
@@ -110,7 +128,7 @@ class Plan:
             # Bins that share their content so far; a bin needs its own opener, so identical openers are taken one by one in bulk.
             per = max(1, size // longest)
             bins = max(1, bins // per) if per > 1 else bins
-            left[longest] -= bins
+            self._use(longest, bins)
             self._fill((longest,), size - longest, bins)
 
     def _fill(self, content: tuple[int, ...], gap: int, bins: int) -> None:
@@ -132,7 +150,7 @@ class Plan:
                     break
                 best = int(fits[-1])
                 n = min(bins, int(self.left[best]))
-                self.left[best] -= n
+                self._use(best, n)
                 if n < bins:
                     todo.append((content, gap, bins - n))
                 content, gap, bins = (*content, best), gap - best, n
@@ -158,7 +176,6 @@ def pack(df: DataFrame, path: str, size: int = 4096, text: str = "text", ident:
     """ident, piece, start, length, ids_crc32, sequence_id, offset; one row for each piece."""
     import pyarrow as pa
 
-    spark = df.sparkSession
     cut = stash(pieces(df, path, size, text, ident).withColumn("_part", F.spark_partition_id()), "pieces")
     sums = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `size` rows
     plan = places(Plan({r["length"]: r["n"] for r in sums}, size).patterns)
@@ -171,7 +188,7 @@ def pack(df: DataFrame, path: str, size: int = 4096, text: str = "text", ident:
     keys = plan[:, 0] << 44 | plan[:, 1]  # a length is at most `size`, a rank below 2 ** 44
 
     def locate(batches):
-        for b in batches:
+        for b in sliced(batches):
             length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
             at = np.searchsorted(keys, length << 44 | rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(plan[at, 3] + rank - plan[at, 1]), pa.array(plan[at, 4])], [*b.schema.names[:5], "sequence_id", "offset"])
