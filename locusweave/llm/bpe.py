@@ -26,9 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import held, sliced
+from .shingle import words_of
 
 #: Bytes that the cache of one worker holds in each of its two generations; what an entry takes beside its letters and ids; letters of the longest piece that is kept.
-CACHE_BYTES, ENTRY_BYTES, LONGEST_PIECE = 64_000_000, 150, 200
+CACHE_BYTES, ENTRY_BYTES, LONGEST_PIECE = 48_000_000, 150, 200
+#: Words that are known by their hash before all are forgotten (some 80 MB); text bytes of a block that is encoded by hashes.
+KNOWN_WORDS, BLOCK_BYTES = 700_000, 1_000_000
 #: The split patterns of the two tokenizer kinds, written with the Unicode White_Space property.
 SPACED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 BARE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -76,6 +79,9 @@ class Bpe:
         self.older: dict[str, bytes] = {}
         self.cached = 0
         self.marks: dict[str, bytes] = {}
+        # Words known by their hash: their number, and the ids of all of them end to end with the ends of each.
+        self.place: dict[int, int] = {}
+        self.ids, self.ends = [np.zeros(0, np.uint32)], [0]
         self.path = path
 
     @cached_property
@@ -164,14 +170,8 @@ class Bpe:
             self.older, self.cache, self.cached = self.cache, {}, 0
         found = list(map(self.older.get, pieces))
         fresh = [i for i, ids in enumerate(found) if ids is None]
-        space = " " if self.spaced else ""
-        for at in range(0, len(fresh), 8_000):
-            some = fresh[at : at + 8_000]
-            split = [(space + p,) if p.isalpha() else self._ended(p) or self._words(p) for p in map(pieces.__getitem__, some)]
-            words = dict.fromkeys(w for w in itertools.chain.from_iterable(split) if type(w) is str)
-            ids = dict(zip(words, self.merge([w.encode("utf-8", "replace") for w in words])))
-            for i, ws in zip(some, split):
-                found[i] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] if type(w) is str else w for w in ws])
+        for i, ids in zip(fresh, self._ids([pieces[i] for i in fresh])):
+            found[i] = ids
         if pieces and len(max(pieces, key=len)) > LONGEST_PIECE:
             kept = [(p, x) for p, x in zip(pieces, found) if len(p) <= LONGEST_PIECE]
         else:
@@ -180,6 +180,16 @@ class Bpe:
         self.cached += sum(ENTRY_BYTES + len(p) + len(x) for p, x in kept)
         return found
 
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, without the cache."""
+        out, space = [], " " if self.spaced else ""
+        for at in range(0, len(pieces), 8_000):
+            split = [(space + p,) if p.isalpha() else self._ended(p) or self._words(p) for p in pieces[at : at + 8_000]]
+            words = dict.fromkeys(w for w in itertools.chain.from_iterable(split) if type(w) is str)
+            ids = dict(zip(words, self.merge([w.encode("utf-8", "replace") for w in words])))
+            out += [ids[ws[0]] if len(ws) == 1 and type(ws[0]) is str else b"".join([ids[w] if type(w) is str else w for w in ws]) for ws in split]
+        return out
+
     def _ended(self, piece: str) -> tuple | None:
         """Of a piece that is a known word and a closing mark: the ids of both."""
         if piece[-1:] not in CLOSING or (word := self.cache.get(piece[:-1])) is None or not piece[:-1].isalpha():
@@ -218,6 +228,51 @@ class Bpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
+        if self.spaced:
+            return self._encode(texts)
+        # Plain texts, whose words are what white space separates, go by the hashes of their words.
+        plain = [t is not None and t.replace("\n", "").isprintable() and latin(t) and not any(s in t for s in self.special) for t in texts]
+        others = iter(self._encode([t for t, p in zip(texts, plain) if not p]))
+        some, size, out = [], 0, []
+        for t, p in zip(texts, plain):
+            if p:
+                some.append(t.lower().encode())
+                size += len(t)
+                if size > BLOCK_BYTES:
+                    out += self._encode_plain(some)
+                    some, size = [], 0
+        known = iter(out + (self._encode_plain(some) if some else []))
+        return [next(known) if p else next(others) for p in plain]
+
+    def _encode_plain(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts by the 64-bit hashes of their words: each distinct word is looked up once, and the ids are put together by array operations."""
+        h, per, low, starts, lengths = words_of(texts)
+        distinct, first, word = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.place) > KNOWN_WORDS:
+            self.place.clear()
+            self.ids, self.ends = [np.zeros(0, np.uint32)], [0]
+        at = list(map(self.place.get, distinct.tolist()))
+        if fresh := [i for i, x in enumerate(at) if x is None]:
+            new = self._ids([low[starts[k] : starts[k] + lengths[k]].tobytes().decode() for k in first[fresh].tolist()])
+            n = len(self.ends) - 1
+            at_end = self.ends[-1] + np.cumsum([len(x) // 4 for x in new])
+            for j, i in enumerate(fresh):
+                at[i] = n + j
+            self.place.update(zip(distinct[fresh].tolist(), range(n, n + len(fresh))))
+            self.ends += at_end.tolist()
+            self.ids.append(np.frombuffer(b"".join(new), "<u4"))
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        ends = np.array(self.ends, np.int64)
+        at = np.array(at, np.int64)
+        begin, n = ends[at][word], (ends[at + 1] - ends[at])[word]
+        total = np.append(0, np.cumsum(n))
+        flat = self.ids[0][np.repeat(begin - total[:-1], n) + np.arange(total[-1])].astype("<u4").tobytes()
+        cut = (total[np.append(0, np.cumsum(per))] * 4).tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        """encode_batch() of texts of any kind."""
         out = []
         for at in range(0, len(texts), 256):
             cut = [self.pieces(t or "") for t in texts[at : at + 256]]

@@ -43,6 +43,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word of the texts laid end to end, and how many words each text has."""
+    return words_of(texts)[:2]
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes(), the texts' bytes in lower case, and where each word begins there and its length."""
     data = np.frombuffer(b" " + b" ".join(texts) + b" " * 9, np.uint8)
     low = _LOWER[data]
     space = low == 32
@@ -65,7 +70,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         from xxhash import xxh3_64_intdigest
 
         h[huge] = [xxh3_64_intdigest(low[a : a + n].tobytes()) for a, n in zip(starts[huge].tolist(), lengths[huge].tolist())]
-    return h, per
+    return h, per, low, starts, lengths
 
 
 def _block(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
