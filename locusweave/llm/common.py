@@ -47,13 +47,23 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path in its own type."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return fs.exists(at)
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete tables made by stash() that no plan reads any more."""
     for t in tables:
         if path := getattr(t, "stash_path", None):
-            spark = t.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = _file(t.sparkSession, path)
+            fs.delete(at, True)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -115,3 +115,12 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op5_html,)}
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES |= {f.__name__: f for f in (op13_token_counts,)}
