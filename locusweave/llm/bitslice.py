@@ -29,12 +29,12 @@ BLOCK_ROWS, CHUNK = 16_384, 1_024
 PART = 60
 
 
-def quantised(df: DataFrame, ident: str, vector: str, scale: int = 256) -> DataFrame:
-    """ident, q: array of long; rows that take no part are left out."""
+def quantised(df: DataFrame, ident: str, vector: str, scale: int = 256, more: tuple[str, ...] = ()) -> DataFrame:
+    """_id, q (array of long) and more columns; rows that take no part are left out."""
     wide = F.raise_error(F.lit("top_k: a quantised component doesn't fit a long"))
     x = F.transform(F.col(vector), lambda v: F.when(F.abs(v.cast("double") * scale) < 2.0**63, F.floor(v.cast("double") * scale)).otherwise(wide.cast("long")))
     good = F.forall(F.col(vector), lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))  # NaN is above all
-    return df.select(F.col(ident).cast("long").alias("_id"), F.when(good & (F.size(vector) > 0), x).alias("q")).where("_id is not null and q is not null")
+    return df.select(F.col(ident).cast("long").alias("_id"), F.when(good & (F.size(vector) > 0), x).alias("q"), *more).where("_id is not null and q is not null")
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, int]:
