@@ -146,3 +146,31 @@ ORACLE_SQL["op12_hard_negatives"] = """
                  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) rank
           FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
     SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_collocations,)}
+
+ORACLE_SQL["op11_collocations"] = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),
+    p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) piece FROM d),
+    w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') ws FROM p),
+    n AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) n FROM w GROUP BY lang),
+    g AS (SELECT lang, k, unnest(list_transform(range(1, CAST(len(ws) - k + 2 AS BIGINT)), lambda i: array_to_string(ws[i:i + k - 1], ' '))) phrase
+          FROM w, unnest(range(1, 6)) r(k) WHERE len(ws) >= k),
+    f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) a FROM g GROUP BY ALL HAVING count(*) >= 100),
+    c AS (SELECT lang, k, phrase, a FROM f WHERE k >= 2),
+    inner_ AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') phrase, max(a) b FROM c, unnest(range(2, 5)) s(m), unnest(range(1, 5)) t(i)
+               WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+    kept AS (SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase) WHERE inner_.b IS NULL OR 100 * inner_.b < 100 * c.a),
+    cuts AS (SELECT kept.*, i, array_to_string(string_split(phrase, ' ')[1:i], ' ') fst, array_to_string(string_split(phrase, ' ')[i + 1:], ' ') rst FROM kept, unnest(range(1, 5)) t(i) WHERE i < k),
+    s AS (SELECT cuts.lang, cuts.phrase, cuts.a, i, x.a l, y.a r, n.n, 1000 * cuts.a * n.n // (x.a * y.a) score
+          FROM cuts JOIN f x ON cuts.lang = x.lang AND fst = x.phrase JOIN f y ON cuts.lang = y.lang AND rst = y.phrase JOIN n ON cuts.lang = n.lang),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+    t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS "rank" FROM b)
+    SELECT lang, CAST("rank" AS BIGINT) AS "rank", phrase, CAST(a AS BIGINT) a, CAST(l AS BIGINT) l, CAST(r AS BIGINT) r, CAST(n AS BIGINT) n, CAST(score AS BIGINT) score FROM t WHERE "rank" <= 2000"""

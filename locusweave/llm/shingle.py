@@ -41,20 +41,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of the texts laid end to end, and how many words each text has."""
-    return words_of(texts)[:2]
-
-
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word_hashes(), the texts' bytes in lower case, and where each word begins there and its length."""
-    data = np.frombuffer(b" " + b" ".join(texts) + b" " * 9, np.uint8)
-    low = _LOWER[data]
-    space = low == 32
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)  # where each text's separator is
-    per = np.diff(np.append(0, np.searchsorted(starts, ends)))
+def hashes(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hash of each word in bytes that end with at least eight others."""
     eight = np.ndarray((len(low) - 7,), "<u8", low, 0, (1,))
     h = lengths.astype(np.uint64) * _ODD
     h ^= eight[starts] & _MASKS[np.minimum(lengths, 8)]
@@ -70,6 +58,24 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         from xxhash import xxh3_64_intdigest
 
         h[huge] = [xxh3_64_intdigest(low[a : a + n].tobytes()) for a, n in zip(starts[huge].tolist(), lengths[huge].tolist())]
+    return h
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts laid end to end, and how many words each text has."""
+    return words_of(texts)[:2]
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes(), the texts' bytes in lower case, and where each word begins there and its length."""
+    data = np.frombuffer(b" " + b" ".join(texts) + b" " * 9, np.uint8)
+    low = _LOWER[data]
+    space = low == 32
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)  # where each text's separator is
+    per = np.diff(np.append(0, np.searchsorted(starts, ends)))
+    h = hashes(low, starts, lengths)
     return h, per, low, starts, lengths
 
 
