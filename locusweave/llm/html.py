@@ -13,8 +13,8 @@ and what browsers show in place of other content (video, audio, canvas, iframe).
 further down. Pages are read without scripts and plugins, so noscript and an object's content are shown, and so are the texts of svg
 (without title, desc, metadata, defs and symbols) and math (without annotations). aria-hidden hides nothing from the eye. Fields show their value, or else their placeholder.
 
-The tree is walked with a stack of its own, so depth isn't bounded by Python's; the cost is linear in the page, and a page is all
-that a task holds beside its batch.
+The tree is walked with a stack of its own, so depth isn't bounded by Python's. The cost is linear in the page (times a logarithm of its depth, and the cells that rowspan and colspan
+make): no token walks the open elements, and tables and indents beyond a fixed depth add no more levels. A page is all that a task holds beside its batch.
 
 Defined results: null and empty pages give an empty text; broken markup gives the text that is there; repeated rows are rendered each; a
 null id is kept; an empty table gives an empty result; extra columns are ignored. NUL characters are dropped.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import html as _html
 import re
 import unicodedata
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -32,8 +33,7 @@ from .common import sliced
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 #: Fixed values of the markup language, in groups.
@@ -55,6 +55,9 @@ SISTERS = {
 }
 #: Elements an end tag doesn't close from within.
 WALLS = frozenset("table td th caption template button object marquee".split())
+IN_TABLE = frozenset("table tr tbody thead tfoot td th".split())
+#: Tables inside each other that have columns, and a quarter of the deepest indent; what lies deeper is shown as plain blocks or indented no further, as each level would carry all text once more.
+DEEPEST = 16
 #: The first of these ends an open head.
 IN_HEAD = frozenset("base link meta noscript script style template title html head".split())
 
@@ -74,50 +77,51 @@ def attributes(text: str) -> dict[str, str]:
 
 
 class Builder:
-    """The open elements of a page while its tokens come in."""
+    """The open elements of a page while its tokens come in. The places of each tag's open elements are kept apart, so no token walks down the stack."""
 
     def __init__(self) -> None:
         self.root = Node("#page", {})
         self.open = [self.root]
-        self.count: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
-            self.count[tag] = self.count.get(tag, 0) + 1
 
     def cut(self, at: int) -> None:
         """End the open elements from index `at` on."""
         for node in self.open[at:]:
-            self.count[node.tag] -= 1
+            self.places[node.tag].pop()
         del self.open[at:]
 
+    def innermost(self, tags) -> int:
+        """Where the innermost open element of these tags is; 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
     def end_up_to(self, tags, walls) -> None:
         """End the outermost open element of `tags` that lies inside the nearest of `walls`."""
-        if not any(self.count.get(t) for t in tags):
+        lists = [at for t in tags if (at := self.places.get(t))]
+        if not lists:
             return
-        hit = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                hit = i
-            elif self.open[i].tag in walls:
-                break
+        wall = self.innermost(walls - tags)
+        hit = min((at[k] for at in lists if (k := bisect_right(at, wall)) < len(at)), default=None)
         if hit is not None:
             self.cut(hit)
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
-        if tag in ("html", "body", "head") and self.count.get(tag):
+        if tag in ("html", "body", "head") and self.places.get(tag):
             return
-        if tag not in IN_HEAD and self.count.get("head"):
+        if tag not in IN_HEAD and self.places.get("head"):
             self.end_up_to({"head"}, {"template"})
         if tag in ENDS_PARAGRAPH or tag in ("li", "dd", "dt"):
             self.end_up_to({"p"}, WALLS)
         if tag in SISTERS:
             self.end_up_to(*SISTERS[tag])
         if tag == "td" or tag == "th":
-            if self.count.get("table") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            if self.places.get("table") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 self.push("tr", {})
         self.push(tag, attrs)
 
@@ -126,20 +130,14 @@ class Builder:
             return
         if tag == "br":
             return self.push("br", {})
-        if not self.count.get(tag):
+        if not (own := self.places.get(tag)):
             return self.push("br", {}) if tag == "p" else None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                return self.cut(i)
-            if self.open[i].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                return None
-            if self.open[i].tag == "table" and tag != "table":
-                return None
-        return None
+        if self.innermost({"table"} if tag in IN_TABLE else WALLS) <= own[-1]:
+            self.cut(own[-1])
 
     def text(self, value: str) -> None:
-        if self.count.get("head") and self.open[-1].tag == "head" and value.strip():
-            self.end_up_to({"head"}, ())
+        if self.places.get("head") and self.open[-1].tag == "head" and value.strip():
+            self.end_up_to({"head"}, frozenset())
         self.open[-1].children.append(value)
 
 
@@ -166,20 +164,28 @@ def parse(page: str) -> Node:
             if tag in RAW:
                 low = page.lower() if low is None else low
                 # Lower-casing changes the length of few letters; then the tag is searched as it is.
-                end = low.find("</" + tag, at) if len(low) == n else next((x.start() for x in re.finditer("</" + tag, page[at:], re.I)), -1 - at) + at
+                end = low.find("</" + tag, at) if len(low) == n else m.start() if (m := re.compile("</" + re.escape(tag), re.I).search(page, at)) else -1
                 end = n if end < 0 else end
                 b.text(page[at:end])
                 at = end
     return b.root
 
 
-def hidden(node: Node) -> bool:
+def declared(node: Node) -> dict[str, str]:
+    """What the style says of display and visibility: the last declaration counts, an important one before others."""
+    out: dict[str, str] = {}
+    important = set()
+    for m in DECLARATION.finditer(node.attrs.get("style", "")):
+        name = m[1].lower()
+        if m[3] or name not in important:
+            out[name] = m[2].lower()
+            important |= {name} if m[3] else set()
+    return out
+
+
+def hidden(node: Node, style: dict[str, str]) -> bool:
     a = node.attrs
-    if node.tag in UNSEEN:
-        return True
-    if not a:
-        return False
-    return "hidden" in a or bool(HIDING.search(a.get("style", ""))) or (node.tag == "dialog" and "open" not in a)
+    return node.tag in UNSEEN or bool(a) and ("hidden" in a or style.get("display") == "none") or (node.tag == "dialog" and "open" not in a)
 
 
 def width_of(text: str) -> int:
@@ -190,32 +196,33 @@ def width_of(text: str) -> int:
 
 
 class Table:
-    """Rows of cells, and for each column how many further rows a cell from above takes."""
+    """Rows of cells, and for each column the last row that a cell from above takes."""
 
     def __init__(self) -> None:
         self.rows: list[list[str]] = []
         self.taken: dict[int, int] = {}
-        self.here: dict[int, int] = {}
 
     def row(self) -> None:
         self.rows.append([])
-        self.here = {k: n for k, n in self.taken.items() if n > 0}
-        self.taken = {k: n - 1 for k, n in self.here.items()}
 
     def section(self) -> None:
         """Cells don't reach beyond their group of rows."""
         self.taken = {}
 
     def cell(self, text: str, across: int, down: int) -> None:
-        row = self.rows[-1]
-        while self.here.get(len(row)):
+        row, at = self.rows[-1], len(self.rows)
+        while self.taken.get(len(row), 0) >= at:
             row.append("")
         for k in range(len(row), len(row) + across):
             if down > 1:
-                self.taken[k] = down - 1
+                self.taken[k] = at + down - 1
         row.extend([text] + [""] * (across - 1))
 
 
+def deeper(indent: str, more: int) -> str:
+    return indent + " " * more if len(indent) < 4 * DEEPEST else indent
+
+
 class Canvas:
     """Lines of text with collapsed space, pending breaks and an indent."""
 
@@ -247,7 +254,7 @@ class Canvas:
             if self.blank > 1 and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.now.append(self.indent + self.mark)
-            self.indent += " " * len(self.mark)
+            self.indent = deeper(self.indent, len(self.mark))
             self.mark = ""
         elif self.space:
             self.now.append(" ")
@@ -260,7 +267,7 @@ class Canvas:
         if self.blank > 1 and self.lines and self.lines[-1]:
             self.lines.append("")
         self.lines.append((self.indent + self.mark + text).rstrip())
-        self.indent += " " * len(self.mark)
+        self.indent = deeper(self.indent, len(self.mark))
         self.mark, self.blank = "", 0
 
     def flush(self) -> None:
@@ -307,7 +314,7 @@ class Renderer:
 
     def __init__(self) -> None:
         self.canvas = [Canvas()]
-        self.tables: list[Table] = []
+        self.tables: list[Table | None] = []
         self.visible = True
         self.lists: list[list] = []  # [ordered, next number]
         self.pre = 0
@@ -344,11 +351,12 @@ class Renderer:
 
     def _enter(self, n: Node) -> None:
         tag, c = n.tag, self.canvas[-1]
-        if hidden(n):
+        style = declared(n) if "style" in n.attrs else {}
+        if hidden(n, style):
             return
-        if n.attrs and (seen := VISIBILITY.findall(n.attrs.get("style", ""))):
+        if (seen := style.get("visibility")) in ("visible", "hidden", "collapse"):
             self.todo.append(("sight", self.visible))
-            self.visible = seen[-1].lower() == "visible"
+            self.visible = seen == "visible"
         if tag == "br":
             return c.br()
         if tag == "hr":
@@ -364,8 +372,12 @@ class Renderer:
         kids = n.children
         if tag == "details" and "open" not in n.attrs:
             kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
-        if tag in ("tr", "td", "th") and not self.tables:
+        if tag in ("tr", "td", "th") and (not self.tables or self.tables[-1] is None):
             return self._block(n, kids, 1)
+        if tag == "table" and len(self.tables) >= DEEPEST:
+            self.tables.append(None)
+            self.todo.append(("leave_table", n))
+            return self._block(n, kids, 2)
         if tag == "table":
             c.gap(2)
             self.tables.append(Table())
@@ -379,7 +391,7 @@ class Renderer:
             self.canvas.append(Canvas())
             self.todo.append(("close_cell", n))
         elif tag in ("thead", "tbody", "tfoot"):
-            if self.tables:
+            if self.tables and self.tables[-1]:
                 self.tables[-1].section()
         elif tag in BOXES or (tag == "text" and c.now):
             c.word(" ")
@@ -393,7 +405,7 @@ class Renderer:
             self.lists.append([tag == "ol", int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
             c.gap(1 if len(self.lists) > 1 else 2)
             self.todo.append(("close_list", c.indent))
-            c.indent += "  " if len(self.lists) > 1 and not c.mark and not c.indent else ""
+            c.indent = deeper(c.indent, 2) if len(self.lists) > 1 and not c.mark and not c.indent else c.indent
         elif tag == "li":
             c.gap(1)
             mark = "* "
@@ -403,11 +415,11 @@ class Renderer:
                 mark = f"{self.lists[-1][1]}. "
                 self.lists[-1][1] += 1
             self.todo.append(("close_item", (c.indent, c.mark)))
-            c.indent, c.mark = c.indent + " " * len(c.mark), mark
+            c.indent, c.mark = deeper(c.indent, len(c.mark)), mark
         elif tag in ("blockquote", "dd"):
             c.gap(2 if tag == "blockquote" else 1)
             self.todo.append(("close_indent", (c.indent, 2 if tag == "blockquote" else 1)))
-            c.indent += "  "
+            c.indent = deeper(c.indent, 2)
         elif tag == "pre" or tag == "xmp":
             c.gap(2)
             self.pre += 1
@@ -459,6 +471,9 @@ class Renderer:
         # As in browsers: a colspan is at most 1000, and a rowspan of 0 goes to the end of the rows' group.
         self.tables[-1].cell(self.canvas.pop().text(), max(1, across if across <= 1000 else 1000), down or 65_534)
 
+    def _leave_table(self, _n: Node) -> None:
+        self.tables.pop()
+
     def _close_table(self, _n: Node) -> None:
         rows = self.tables.pop().rows
         c = self.canvas[-1]
