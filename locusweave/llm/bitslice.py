@@ -7,12 +7,13 @@ bitmap arithmetic, which gives the slices of all scores at once. The k best rows
 significant slice downward; where the boundary value is shared by too many rows, the smallest ids among them are taken,
 so ties are exact. The best k of all blocks meet per query.
 
-Queries are a stated set against all rows, in blocks: each chunk of queries meets each block once, by a join on the
-block's number.
+Queries are a stated set against all rows, in blocks: each chunk of queries meets each block once, on a grid of cells (see grid), whose bytes grow with the
+square root of the cells; a task keeps the best k of each query over all blocks of its cell.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; every other vector does, and sums
 are as wide as they need be. A quantised component or a resulting score that doesn't fit a long is an error, never a row left out; shorter vectors count as filled with zeros up to the longest; a row never answers a query
-with its own id; repeated rows are rows of their own, as candidates and as queries, each with its own ranks; fewer than k candidates give fewer results; null ids take no part.
+with its own id; repeated rows are rows of their own, as candidates and as queries, each with its own ranks; fewer than k candidates give fewer results; null ids take no part; an empty table, of rows or of queries,
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, sliced, stash
+from . import grid
+from .common import sliced, stash
 
 #: Rows of a block (a bitmap is then 2 KB) and queries of a chunk.
 BLOCK_ROWS, CHUNK = 16_384, 1_024
@@ -171,34 +173,57 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_id"
         if left_ids:
             yield block()
 
-    index = stash(q.mapInArrow(build, "ids binary, dims int, bits int, low long, slices binary").withColumn("block", F.monotonically_increasing_id()), "bitslices")
-    # A chunk has about CHUNK queries, or fewer where few blocks would leave cores idle. Rows are numbered, so repeated queries are told apart.
-    n_chunks = max(queries.count() // CHUNK + 1, -(-2 * spark.sparkContext.defaultParallelism // max(1, index.count())))
-    asked = quantised(queries, ident, vector, scale).withColumn("_row", F.monotonically_increasing_id())
-    chunks = asked.withColumn("chunk", F.pmod(F.xxhash64("_id", "_row"), F.lit(n_chunks)))
-    chunks = stash(chunks.groupBy("chunk").agg(F.collect_list(F.struct("_id", "_row", "q")).alias("queries")), "queries")
-    # Every chunk meets every block once: an equi-join on the chunk's number.
-    wanted = index.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk"))
-    pairs = wanted.join(chunks, "chunk").join(index, "block").repartition(4 * partitions(spark), "block", "chunk")
+    tasks = spark.sparkContext.defaultParallelism
+    index = stash(q.coalesce(max(tasks, rows.count() // BLOCK_ROWS)).mapInArrow(build, "ids binary, dims int, bits int, low long, slices binary").withColumn("block", F.monotonically_increasing_id()), "bitslices")
+    # Rows are numbered, so repeated queries are told apart. A chunk has CHUNK queries, or fewer where few blocks would leave cores idle.
+    asked = stash(quantised(queries, ident, vector, scale).withColumn("_row", F.monotonically_increasing_id()), "asked")
+    n, (blocks, dims) = asked.count(), index.agg(F.count(F.lit(1)), F.coalesce(F.max("dims"), F.lit(1))).first()
+    each = max(1, min(CHUNK, n * blocks // (4 * tasks)))
+
+    def group(batches):
+        ids, places, vectors = [], [], []
+
+        def chunk():
+            v = np.zeros((len(ids), max(map(len, vectors))), np.int64)
+            for i, x in enumerate(vectors):
+                v[i, : len(x)] = x
+            return pa.RecordBatch.from_pydict({"asked": [np.array(ids, np.int64).tobytes()], "places": [np.array(places, np.int64).tobytes()], "vectors": [v.tobytes()]})
+
+        for b in sliced(batches):
+            for i, place, x in zip(*(c.to_pylist() for c in b.columns)):
+                ids.append(i)
+                places.append(place)
+                vectors.append(x)
+                if len(ids) == each:
+                    yield chunk()
+                    ids, places, vectors = [], [], []
+        if ids:
+            yield chunk()
+
+    chunks = asked.select("_id", "_row", "q").coalesce(max(1, n // each)).mapInArrow(group, "asked binary, places binary, vectors binary").withColumn("chunk", F.monotonically_increasing_id())
+    pairs = grid.pairs(index, stash(chunks, "queries"), BLOCK_ROWS * dims, 8 * each * dims)
 
     def search(batches):
-        for b in sliced(batches, 1):
-            out = {"query_id": [], "row": [], "id": [], "score": [], "high": [], "mid": [], "least": []}
-            for r in b.to_pylist():
+        names = ["query_id", "row", "id", "score", "high", "mid", "least"]
+        for _, met in grid.cells(batches):
+            best: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+            for r in met:
                 ids = np.frombuffer(r["ids"], np.int64)
                 slc = np.frombuffer(r["slices"], np.uint64).reshape(r["dims"], r["bits"], -1)
-                asked = [(x["_id"], np.array(x["q"], np.int64)) for x in r["queries"]]
-                rows_ = [x["_row"] for x in r["queries"]]
-                for row, (qid, found, score) in zip(rows_, search_block(ids, slc, r["bits"], -r["low"], asked, k)):
-                    out["query_id"] += [qid] * len(found)
-                    out["row"] += [row] * len(found)
-                    out["id"] += found.tolist()
-                    out["score"] += [x if -(1 << 63) <= x < 1 << 63 else None for x in score]
-                    for part, down in (("high", 2 * PART), ("mid", PART), ("least", 0)):
-                        out[part] += [x >> down if part == "high" else x >> down & (1 << PART) - 1 for x in score]
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
-
-    near = pairs.select("ids", "dims", "bits", "low", "slices", "queries").mapInArrow(search, "query_id long, row long, id long, score long, high long, mid long, least long")
+                wanted, places = np.frombuffer(r["asked"], np.int64), np.frombuffer(r["places"], np.int64)
+                vectors = np.frombuffer(r["vectors"], np.int64).reshape(len(wanted), -1)
+                for place, (qid, found, score) in zip(places.tolist(), search_block(ids, slc, r["bits"], -r["low"], list(zip(wanted.tolist(), vectors)), k)):
+                    have = best[place][1] if place in best else []
+                    best[place] = qid, sorted(have + list(zip(found.tolist(), score)), key=lambda x: (-x[1], x[0]))[:k]
+            out = {x: [] for x in names}
+            for place, (qid, found) in best.items():
+                for i, x in found:
+                    cells = (qid, place, i, x if -(1 << 63) <= x < 1 << 63 else None, x >> 2 * PART, x >> PART & (1 << PART) - 1, x & (1 << PART) - 1)
+                    for name, value in zip(names, cells):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(x, pa.int64()) for x in names]))
+
+    near = pairs.select("cell", "ids", "dims", "bits", "low", "slices", "asked", "places", "vectors").mapInArrow(search, "query_id long, row long, id long, score long, high long, mid long, least long")
     rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.col("high").desc(), F.col("mid").desc(), F.col("least").desc(), F.col("id")))
     score = F.coalesce("score", F.raise_error(F.lit("top_k: a score doesn't fit a long")).cast("long"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(ident), score.alias("score"))
