@@ -9,7 +9,8 @@ the ids of each piece are kept in a bounded cache, so a piece that occurs often
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty text; the strings of
 special tokens inside a text become their ids, as the tokenizers library does; ids outside the vocabulary are skipped in
-decoding; bytes that are no UTF-8 decode to U+FFFD.
+decoding; bytes that are no UTF-8 decode to U+FFFD; repeated rows are encoded each and keep their ids, null ones too; an empty
+table gives an empty result; other columns are ignored, whatever their names; very long texts are whole: a row has to fit a task's memory.
 """
 
 from __future__ import annotations
@@ -81,6 +82,7 @@ class Bpe:
         self.marks: dict[str, bytes] = {}
         # Words known by their hash: their number, and the ids of all of them end to end with the ends of each.
         self.place: dict[int, int] = {}
+        self.spelled: list[bytes] = []
         self.ids, self.ends = [np.zeros(0, np.uint32)], [0]
         self.path = path
 
@@ -250,10 +252,21 @@ class Bpe:
         distinct, first, word = np.unique(h, return_index=True, return_inverse=True)
         if len(self.place) > KNOWN_WORDS:
             self.place.clear()
+            self.spelled.clear()
             self.ids, self.ends = [np.zeros(0, np.uint32)], [0]
+        # A hash stands for a word only where the bytes are the same: inside the block, and with the word that is known by it.
+        total = np.cumsum(lengths)
+        at_byte = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - lengths, lengths)
+        rep = first[word]
+        if not ((lengths == lengths[rep]).all() and (low[np.repeat(starts, lengths) + at_byte] == low[np.repeat(starts[rep], lengths) + at_byte]).all()):
+            return self._encode([t.decode() for t in texts])
+        spelled = [low[a : a + n].tobytes() for a, n in zip(starts[first].tolist(), lengths[first].tolist())]
         at = list(map(self.place.get, distinct.tolist()))
+        if any(x is not None and self.spelled[x] != w for x, w in zip(at, spelled)):
+            return self._encode([t.decode() for t in texts])
         if fresh := [i for i, x in enumerate(at) if x is None]:
-            new = self._ids([low[starts[k] : starts[k] + lengths[k]].tobytes().decode() for k in first[fresh].tolist()])
+            new = self._ids([spelled[i].decode() for i in fresh])
+            self.spelled += [spelled[i] for i in fresh]
             n = len(self.ends) - 1
             at_end = self.ends[-1] + np.cumsum([len(x) // 4 for x in new])
             for j, i in enumerate(fresh):
