@@ -92,11 +92,16 @@ def threshold(want: int, total: int) -> int:
     return max(1, min(1 << 63, (want << 63) // max(1, total)))
 
 
-def sampled(df: DataFrame, want: int, total: int, *cols: Column | str, seed: int) -> DataFrame:
-    """About `want` rows of a table of `total`, picked by a hash of these columns; all rows where there are no more."""
-    if total <= want:
-        return df
-    return df.where(F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 1) < F.lit(threshold(want, total)))
+def sampled(df: DataFrame, want: int, *cols: Column | str, seed: int) -> DataFrame:
+    """Rows with about 0.9 * want of the distinct values of these columns, or with all where there are no more, and `_sample`, a hash of the value.
+
+    Values are picked, not rows, so neither is a table of one repeated row left without a sample nor is a sample larger than `want`, once the caller
+    has dropped copies by `_sample` behind whatever makes the rows small. The number of distinct values is estimated to 2 %.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 1)
+    total = df.agg(F.approx_count_distinct(h, 0.02)).first()[0]
+    out = df.withColumn("_sample", h)
+    return out if total <= 0.9 * want else out.where(F.col("_sample") < F.lit(threshold(9 * want // 10, total)))
 
 
 #: Rows of a group that one task may get; groups that may be broadcast at most; rows of a table of a few numbers that is broadcast at most (some 20 MB).

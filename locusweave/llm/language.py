@@ -5,7 +5,7 @@ letters. k(x, y) is the mean over n of |Gn(x) & Gn(y)| / sqrt(|Gn(x)| |Gn(y)|),
 training sample hold. LANDMARKS rows of the sample span the Nystroem map K(x, L) K(L, L)^(-1/2), on which one-versus-rest kernel ridge
 regression is fitted. Scoring a batch is one presence matrix times the landmarks' matrix, then two small matrix products.
 
-Learns from text and non-null language of rows whose fold is not 0, on a bounded sample (SAMPLE, in expectation;
+Learns from text and non-null language of rows whose fold is not 0, on a bounded sample (at most SAMPLE distinct pairs of language and text;
 rows are picked by a hash of id and text).
 
 Defined results: texts that are null or have no letter are `und` with score 0; without any training row all are `und`; a score is
@@ -149,8 +149,8 @@ def _unpacked(model: bytes) -> Kernel:
 def learn(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang") -> Kernel:
     import pyarrow as pa
 
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(ident)) != 0))
-    some = sampled(rows, SAMPLE, rows.count(), ident, text, seed=3).select(F.col(lang).cast("string"), F.col(text).cast("binary"), F.xxhash64(F.col(ident), F.lit(13)).alias("o"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(ident)) != 0)).select(F.col(lang).cast("string").alias("l"), F.col(text).cast("binary").alias("t"))
+    some = sampled(rows, SAMPLE, "l", "t", seed=3).select("l", "t", F.col("_sample").alias("o"))
 
     def run(batches):
         for b in sliced(batches):
@@ -162,7 +162,8 @@ def learn(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
                     out[n].append(np.unique(c[_inside(c, n)]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(out[n], pa.binary()) for n in ORDERS)], ["lang", "o", *(f"g{n}" for n in ORDERS)])
 
-    got = some.mapInArrow(run, "lang string, o long, " + ", ".join(f"g{n} binary" for n in ORDERS)).collect()
+    sets = [f"g{n}" for n in ORDERS]
+    got = some.mapInArrow(run, "lang string, o long, " + ", ".join(f"{g} binary" for g in sets)).groupBy("o", "lang").agg(*[F.min(g).alias(g) for g in sets]).collect()
     got = [r for r in sorted(got, key=lambda r: (r["o"], r["lang"], bytes(r["g3"]))) if len(r["g1"])]
     return Kernel([{n: np.frombuffer(bytes(r[f"g{n}"]), np.int32) for n in ORDERS} for r in got], [r["lang"] for r in got])
 

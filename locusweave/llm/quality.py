@@ -4,8 +4,8 @@ Statistics of a whole text (bytes by kind, word and line shapes, repetition, ent
 trees are fitted in numpy on the driver from the statistics of a bounded sample of labelled rows (SAMPLE), and scoring walks
 all trees at once: they are complete binary trees flattened into arrays, so one step of the walk is one gather.
 
-Defined results: null and empty texts have statistics (all zero) and a score; documents without a label are scored; several
-labels of a document are rows of their own; null labels are left out; without any labelled row every score is 0.5;
+Defined results: null and empty texts have statistics (all zero) and a score; documents without a label are scored; different
+labels of a document are rows of their own, equal ones count once, and of rows with one id that with the smallest statistics is learned from; null labels are left out; without any labelled row every score is 0.5;
 repeated rows are scored alike; an empty table gives an empty result; extra columns are ignored by score() and carried
 along by accept().
 """
@@ -138,8 +138,8 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     """Fit on a bounded sample of the labelled rows whose fold is not 0."""
     import pyarrow as pa
 
-    rows = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull() & (fold(F.col(ident)) != 0)).select(F.col(ident).alias("_id"), F.col(label).cast("int").alias("_y"))
-    some = sampled(rows, SAMPLE, rows.count(), "_id", seed=5)
+    rows = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull() & (fold(F.col(ident)) != 0)).select(F.col(ident).alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
+    some = sampled(rows, SAMPLE, "_id", "_y", seed=5).drop("_sample")
     picked = docs.select(F.col(ident).alias("_id"), F.col(text).cast("binary").alias("_t")).join(F.broadcast(some), "_id")  # SAMPLE rows at most
 
     def run(batches):
@@ -148,7 +148,9 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in s], pa.binary())], ["_id", "_y", "s"])
 
     kind = picked.schema["_id"].dataType.simpleString()
-    got = sorted((r for r in picked.select("_id", "_t", "_y").mapInArrow(run, f"_id {kind}, _y int, s binary").collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
+    # Of repeated ids one row for each label.
+    got = picked.select("_id", "_t", "_y").mapInArrow(run, f"_id {kind}, _y int, s binary").groupBy("_id", "_y").agg(F.min("s").alias("s"))
+    got = sorted(got.collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
     x = np.array([np.frombuffer(bytes(r[2]), np.float32) for r in got]).reshape(len(got), N_STATS)
     return fit(x, np.array([float(r[1] > 0) for r in got]))
 

@@ -112,17 +112,12 @@ def decisions(pages: DataFrame, ident: str, payload: str, url: str) -> tuple[Dat
 
 
 def dictionary_of(pages: DataFrame, ident: str, payload: str, url: str) -> bytes:
-    """The dictionary, from about DICT_RECORDS records picked by a hash; of each the first bytes, the same number of all."""
-    some = sampled(pages, DICT_RECORDS, pages.count(), ident, payload, seed=11)
+    """The dictionary, from DICT_RECORDS distinct payloads at most, picked by a hash; of each the first bytes, the same number of all."""
     share = DICT_SAMPLE_BYTES // DICT_RECORDS
-    cut = F.substring(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 1, share)
-    samples, size = [], 0
-    for i, u, body in some.select(F.col(ident).alias("i"), F.coalesce(F.col(url), F.lit("")).alias("u"), cut.alias("b")).toLocalIterator():
-        samples.append(record(i, u[:share], bytes(body), hashlib.sha256(body).hexdigest(), None))
-        size += len(samples[-1])
-        if size > 2 * DICT_SAMPLE_BYTES:
-            break  # far more rows than expected: a table whose rows have few distinct hashes
-    return train(samples)
+    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    some = sampled(pages.select(F.col(ident).alias("i"), F.coalesce(F.col(url), F.lit("")).alias("u"), body.alias("b")), DICT_RECORDS, "b", seed=11)
+    cut = some.groupBy("_sample").agg(F.min(F.struct("i", F.substring("u", 1, share).alias("u"), F.substring("b", 1, share).alias("b"))).alias("r"))
+    return train([record(r["i"], r["u"], bytes(r["b"]), hashlib.sha256(r["b"]).hexdigest(), None) for _, r in sorted(cut.collect(), key=lambda x: x["_sample"])])
 
 
 def write(pages: DataFrame, path: str, ident: str = "page_id", payload: str = "html", url: str = "url", archive_bytes: int = ARCHIVE_BYTES) -> None:
