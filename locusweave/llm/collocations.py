@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import drop, expand, held as kept, partitions, sliced, small, squeeze, stash
 from .shingle import hashes
 
-#: Text bytes of a part; hashes of a broadcast (32 MB); rows and bytes of a level table that is broadcast.
-PART_BYTES, MOST_KNOWN, SMALL_BYTES = 4_000_000, 4_000_000, 16_000_000
+#: Text bytes of a part; parts that a task reads; rows that a task of the last pass sums before it gives them on.
+PART_BYTES, TASK_PARTS, SUMMED = 2_000_000, 64, 300_000
+#: Hashes of a broadcast (32 MB); bytes of a level table that is broadcast.
+MOST_KNOWN, SMALL_BYTES = 4_000_000, 16_000_000
 #: Words of the longest phrase.
 LONGEST = 5
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -127,6 +129,11 @@ def packed(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return stash(rows.mapInArrow(run, PART), "packed-words")
 
 
+def in_tasks(parts: DataFrame) -> DataFrame:
+    """The parts, about TASK_PARTS in a task, so that each task sums its counts over much text before they are shuffled."""
+    return parts.coalesce(max(2 * parts.sparkSession.sparkContext.defaultParallelism, parts.count() // TASK_PARTS))
+
+
 class Known:
     """A set of hashes: a small table rules most others out, binary search decides."""
 
@@ -243,6 +250,17 @@ def level_tables(parts: DataFrame, levels: list[DataFrame], least: int) -> DataF
         known = broadcast_share(union, share, of)
 
         def run(batches, known=known):
+            some: list = []
+            for rows in phrases(batches, known):
+                some.append(rows)
+                if sum(x.num_rows for x in some) > SUMMED:
+                    some = [summed(some)]
+                    if some[0].num_rows > SUMMED // 2:
+                        yield from some.pop().to_batches(max_chunksize=100_000)
+            if some:
+                yield from summed(some).to_batches(max_chunksize=100_000)
+
+        def phrases(batches, known):
             have = kept("known grams", known.id, lambda: Known(known.value))
             for b in sliced(batches, 1):
                 names, blob, lang, word, codes = (b.column(i)[0].as_py() for i in range(5))
@@ -261,13 +279,21 @@ def level_tables(parts: DataFrame, levels: list[DataFrame], least: int) -> DataF
 
                         phrase = pc.binary_join_element_wise(*columns, " ")
                     of_lang = pa.array(names, pa.string()).take(pa.array(lang[rows[:, 0]]))
-                    yield pa.RecordBatch.from_arrays([of_lang, pa.array(np.full(len(rows), k, np.int32)), phrase, pa.array(n)], schema=schema)
+                    yield pa.Table.from_arrays([of_lang, pa.array(np.full(len(rows), k, np.int32)), phrase, pa.array(n)], schema=schema)
 
         one = parts.select("langs", "words", "lang", "hash", "codes").mapInArrow(run, "lang string, k int, phrase string, f long")
         found = one if found is None else found.unionByName(one)
     return stash(found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "level-tables")
 
 
+def summed(some: list):
+    """Tables of phrases with their counts as one, each phrase once."""
+    import pyarrow as pa
+
+    schema = some[0].schema
+    return pa.concat_tables(some).group_by(schema.names[:-1], use_threads=False).aggregate([(schema.names[-1], "sum")]).select([*schema.names[:-1], "f_sum"]).rename_columns(schema.names)
+
+
 def distinct_grams(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows (word numbers) and how often each is there. g: their hashes, which only speed it up."""
     _, first, inverse, n = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
@@ -303,12 +329,13 @@ def score_cuts(table: DataFrame, words: DataFrame, top: int) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
     """The `top` best phrases of 2 to `longest` words of each language that are seen `least` times or more: lang, rank, phrase, a, l, r, n, score."""
-    parts = packed(docs, text, lang)
+    made = packed(docs, text, lang)
+    parts = in_tasks(made)
     levels = [count_level(parts, 1, None, least)]
     for k in range(2, longest + 1):
         levels.append(count_level(parts, k, levels[-1], least))
     table = level_tables(parts, levels, least)
     both = F.explode(F.arrays_zip("at_langs", "at_words")).alias("x")
-    words = stash(parts.select(both).groupBy(F.col("x.at_langs").alias("lang")).agg(F.sum("x.at_words").alias("n")), "words-of-languages")
-    drop(parts, *levels)
+    words = stash(made.select(both).groupBy(F.col("x.at_langs").alias("lang")).agg(F.sum("x.at_words").alias("n")), "words-of-languages")
+    drop(made, *levels)
     return score_cuts(table, words, top)
