@@ -128,7 +128,7 @@ def run(spark: SparkSession, args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     if a.command in ("vcf", "tped"):
         vcf.check_samples(spark, a.input, a.samples, a.numbered, a.absent)
-        write_merged(chosen_calls(vcf.read_vcf(spark, a.input, a.genotypes, numbered=a.numbered), a), a, a.command, len(a.genotypes))
+        write_merged(chosen_calls(vcf.read_vcf(spark, a.input, a.genotypes, numbered=a.numbered, decoded=False), a), a, a.command, len(a.genotypes))
     elif a.command == "blocks":
         blocks = [vcf.read_tped(spark, p) for p in a.blocks]
         sizes = [row["n"] if (row := b.select(F.size("genotypes").alias("n")).first()) else 0 for b in blocks]

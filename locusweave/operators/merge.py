@@ -1,7 +1,8 @@
 """The merge of per-sample calls by locus, as VCF or TPED rows, with one exchange.
 
 `best` says which of several calls of one sample and locus stays (sort columns), `keep` filters what stayed. Both work behind the one exchange, so
-raw calls with duplicates can be given. Calls are range-partitioned by (chrom_num, pos), never by sample, so a locus lies in one partition; removing duplicates, grouping
+raw calls with duplicates can be given. So does decoding: calls may have their genotypes as text (`texts`, see sources.vcf.parse_calls) instead of
+decoded (`gts`), and then only the rows that stay are decoded. Calls are range-partitioned by (chrom_num, pos), never by sample, so a locus lies in one partition; removing duplicates, grouping
 and the global order then reuse that partitioning. A locus holds at most n samples after duplicates went.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.variant import allele_pair, encode, half_up
+from ..functions.variant import allele_pair, decode, encode, half_up
 
 LOCUS = ["chrom_num", "pos"]
 
@@ -21,16 +22,26 @@ def by_locus(calls: DataFrame) -> DataFrame:
 
 def distinct_calls(calls: DataFrame, best: list[Column] | None = None) -> DataFrame:
     """One call for each sample and locus: the first by `best`, or else largest QUAL (null last), then genotype, then INFO."""
-    order = best or [F.col(c).desc_nulls_last() for c in ("qual", "gts", "info")]
+    order = best or [F.col(c).desc_nulls_last() for c in ("qual", "texts" if "texts" in calls.columns else "gts", "info")]
     first = Window.partitionBy(*LOCUS, "sample_id").orderBy(*order)
     return calls.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
-def _loci(calls: DataFrame, n: int, columns: list[str], best: list[Column] | None, keep: Column | None) -> DataFrame:
-    """chrom_num, pos and c: the calls of the locus by sample."""
+def decoded(calls: DataFrame) -> DataFrame:
+    """Calls with `gts`, decoded from `texts` where they are still text."""
+    if "texts" not in calls.columns:
+        return calls
+    return calls.withColumn("gts", F.transform("texts", lambda g: decode(g, F.col("ref"), F.col("alts")))).drop("texts")
+
+
+def _loci(calls: DataFrame, n: int, columns: list[str], best: list[Column] | None, keep: Column | None, column: int | None = None) -> DataFrame:
+    """chrom_num, pos and c: the calls of the locus by sample. column: the genotype that becomes g."""
     one = distinct_calls(by_locus(calls.where(F.col("sample_id").between(1, n))), best)
     if keep is not None:
         one = one.where(keep)
+    one = decoded(one)
+    if column is not None:
+        one = one.withColumn("g", F.get("gts", F.lit(column)))
     return one.groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("sample_id", *columns))).alias("c"))
 
 
@@ -44,7 +55,7 @@ def dense(cells: Column, n: int, default: Column) -> Column:
 
 def merge_tped(calls: DataFrame, n: int, column: int = 0, best: list[Column] | None = None, keep: Column | None = None) -> DataFrame:
     """chrom_num, rs, pos, ref, genotypes (n allele pairs), ordered by locus. An absent or uncalled sample has the reference twice."""
-    loci = _loci(calls.withColumn("g", F.get("gts", F.lit(column))), n, ["id", "ref", "g"], best, keep).withColumn("ref", F.col("c")[0]["ref"])
+    loci = _loci(calls, n, ["id", "ref", "g"], best, keep, column).withColumn("ref", F.col("c")[0]["ref"])
     cells = F.transform("c", lambda x: F.struct(x["sample_id"].alias("sample_id"), allele_pair(x["g"], F.col("ref")).alias("v")))
     out = loci.select(*LOCUS, F.col("c")[0]["id"].alias("rs"), "ref", cells.alias("cells"))
     return out.select("chrom_num", "rs", "pos", "ref", dense(F.col("cells"), n, F.concat_ws(" ", "ref", "ref")).alias("genotypes")).orderBy(*LOCUS)

@@ -65,9 +65,29 @@ def interval_sample(calls: DataFrame, every: int) -> DataFrame:
     return _numbered(calls.select("chrom_num", "pos", "sample_id"), "sample_id").where(F.col("rn") % every == 0).select("chrom_num", "pos", "sample_id", F.col("rn").cast("long").alias("rn"))
 
 
+def by_digest(calls: DataFrame, rate: float, seed: int = 42) -> DataFrame:
+    """About this share of the calls, picked by a digest of (seed, chrom_num, pos, sample_id): the same calls on any engine and however they are partitioned."""
+    key = F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("chrom_num", "pos", "sample_id")])
+    return calls.where(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") < int(rate * (1 << 32)))
+
+
+#: Of the sketch of positions: ranks are off by at most 1 / ACCURACY of a chromosome's calls.
+ACCURACY = 10_000
+
+
+def sketch_points(calls: DataFrame, regions: int, accuracy: int = ACCURACY) -> DataFrame:
+    """Positions that cut each chromosome's calls into `regions` parts, from one mergeable quantile sketch for each chromosome: one pass, and only sketches are shuffled.
+
+    A cut's rank among the chromosome's calls is off by at most their number / accuracy. Calls are counted, not distinct loci as in split_points().
+    """
+    shares = [k / regions for k in range(1, regions)]
+    cuts = calls.groupBy("chrom_num").agg(F.percentile_approx("pos", shares, accuracy).alias("_cuts"))
+    return cuts.select("chrom_num", F.posexplode("_cuts").alias("part", "pos")).select("chrom_num", (F.col("part") + 1).alias("part"), "pos")
+
+
 def split_or_sampled(calls: DataFrame, regions: int, rate: float, seed: int = 42) -> DataFrame:
     """Split points from a sample of the calls; where the sample cuts no chromosome, from all calls."""
-    points = split_points(bernoulli(calls, rate, seed), regions)
+    points = split_points(by_digest(calls, rate, seed), regions)
     return points if not points.isEmpty() else split_points(calls, regions)
 
 

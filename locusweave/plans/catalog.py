@@ -5,7 +5,7 @@ Calls are derived from lineitem (n = 7 samples) by one SQL text for both engines
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import variant as V
@@ -33,21 +33,21 @@ def rows(spark: SparkSession, sf_dir: str, sql: str = CALLS) -> DataFrame:
     return spark.sql(sql.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def calls(spark: SparkSession, sf_dir: str, sql: str = CALLS, more: tuple[str, ...] = ()) -> DataFrame:
-    """The derived rows in the engine's call schema."""
+def calls(spark: SparkSession, sf_dir: str, sql: str = CALLS, more: tuple[str, ...] = (), decoded: bool = True) -> DataFrame:
+    """The derived rows in the engine's call schema; decoded: genotypes as structs, else as text."""
     r = rows(spark, sf_dir, sql)
     alts = F.array("alt")
     gt = F.concat_ws(":", "gt", F.col("dp").cast("string"))
     name = F.concat(F.lit("chr"), V.chrom_name(F.col("chrom_num")))
     return r.select(
         "sample_id", name.alias("chrom"), "chrom_num", "pos", F.col("rs").alias("id"), "ref", alts.alias("alts"), F.col("qual").cast("double").alias("qual"),
-        F.col("flt").alias("filter"), "info", F.col("fmt").alias("format"), F.array(V.decode(gt, F.col("ref"), alts)).alias("gts"), *more,
+        F.col("flt").alias("filter"), "info", F.col("fmt").alias("format"), F.array(V.decode(gt, F.col("ref"), alts)).alias("gts") if decoded else F.array(gt).alias("texts"), *more,
     )
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw rows, for merges that remove duplicates behind their one exchange."""
-    return calls(spark, sf_dir, RAW, ("p", "x", "y"))
+    return calls(spark, sf_dir, RAW, ("p", "x", "y"), decoded=False)
 
 
 def best() -> list:
@@ -371,10 +371,33 @@ def interval_sample(spark, sf_dir):
     return partition.interval_sample(calls(spark, sf_dir), 5)
 
 
-@query(ORACLE_SQL["split_points"].split("where chrom_num <= 22)", 1)[1])
+PICKED = "('0x' || substr(md5(concat_ws('-', '42', chrom_num, pos, sample_id)), 1, 8))::bigint < {} and "
+
+
+@query(LOCI.replace("from calls", "from calls where " + PICKED.format(1288490188)[:-5]) + " select chrom_num, cast(rn // ((size + 1) // 4) as int) part, pos from loci where (size + 1) // 4 > 0 and rn % ((size + 1) // 4) = 0 and rn // ((size + 1) // 4) < 4")
 def sampled_points(spark, sf_dir):
-    """A sample of rate 1 cuts as all calls do."""
-    return partition.split_or_sampled(calls(spark, sf_dir), 4, 1.0)
+    """Three calls of ten, picked by a digest."""
+    return partition.split_or_sampled(calls(spark, sf_dir), 4, 0.3)
+
+
+@query(ORACLE_SQL["split_points"].split("where chrom_num <= 22)", 1)[1])
+def fallback_points(spark, sf_dir):
+    """A sample too small to cut any chromosome: all calls are taken."""
+    return partition.split_or_sampled(calls(spark, sf_dir), 4, 1e-9)
+
+
+@query("""select chrom_num, k part, (select min(pos) from (select pos, row_number() over (order by pos) rn from calls c where c.chrom_num = s.chrom_num) where rn >= ceil(size * k / 4.0)) pos
+ from (select chrom_num, count(*) size from calls group by all) s cross join unnest(range(1, 4)) r(k)""".replace("select chrom_num, k part,", "select chrom_num, cast(k as int) part,"))
+def sketch_points(spark, sf_dir):
+    """With fewer calls in a chromosome than the sketch's accuracy its cuts are exact."""
+    return partition.sketch_points(calls(spark, sf_dir), 4)
+
+
+@query("select chrom_num, count(*) calls from calls group by all")
+def load_counts(spark, sf_dir):
+    """Calls of each chromosome, counted by the tasks that load the store."""
+    counts = sinks.write_store_counted(calls(spark, sf_dir), scratch(spark, "store"))
+    return spark.createDataFrame(list(counts.items()), "chrom_num int, calls long")
 
 
 @query("select chrom_num, pos, count(distinct case when sample_id = 7 and pos % 2 = 0 then 'N' else ref end) > 1 ref_conflict from calls group by chrom_num, pos")
@@ -403,3 +426,49 @@ def weather_text(spark, sf_dir):
     value = F.concat(F.lit("0" * 4), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit("00000"), F.date_format("ts", "yyyyMMddHHmm"), F.lit("0" * 60), F.expr(READING), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0"), (F.col("user_id") % 10).cast("string"))
     table(spark, sf_dir, "events").select(value.alias("value")).write.text(path)
     return filters.valid_reading(vcf.read_weather(spark, path)).select("station", F.date_format("ts", "yyyyMMddHHmm").alias("time"), "temp", "quality")
+
+
+# Order of written text: line numbers within a folder, over its files in the order of their names.
+
+
+def numbered(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """folder, line (from 1) and value of the written lines."""
+    files = spark.read.text(path, wholetext=True).select(folder, F.col("_metadata.file_name").alias("name"), F.split(F.regexp_replace("value", "\n$", ""), "\n").alias("l"))
+    before = F.coalesce(F.sum(F.size("l")).over(Window.partitionBy(folder).orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("before", before).select(folder, "before", F.posexplode("l").alias("i", "value")).select(folder, (F.col("before") + F.col("i") + 1).alias("line"), "value")
+
+
+@query("select chrom_num, row_number() over (partition by chrom_num order by pos) + 2 line, pos from (select distinct chrom_num, pos from autosomal)")
+def vcf_lines(spark, sf_dir):
+    """Line numbers of the loci in per-chromosome VCF folders, below two header lines."""
+    path = scratch(spark, "vcf-lines")
+    sinks.write_lines(merge.merge_vcf(autosomal(spark, sf_dir), N), sinks.vcf_line(), path, by_chromosome=True, header=sinks.vcf_header(sinks.sample_names(N)))
+    return numbered(spark, path, "chrom_num").where(~F.col("value").startswith("#")).select("chrom_num", "line", F.split("value", "\t")[1].cast("long").alias("pos"))
+
+
+@query(CUTS + f"""
+ , named as (select 'chr'||({NAME})||':'||cast(coalesce((select max(c.pos) from cuts c where c.chrom_num = l.chrom_num and c.pos <= l.pos), 1) as varchar)||'-' region, pos from loci l)
+ select region, row_number() over (partition by region order by pos) line, pos from named""")
+def region_lines(spark, sf_dir):
+    """Line numbers of the loci in region-named folders."""
+    path = scratch(spark, "region-lines")
+    c = calls(spark, sf_dir)
+    sinks.write_regions(partition.in_parts(merge.merge_tped(c, N), partition.split_points(c, 4)), sinks.tped_line(ref=True), path)
+    return numbered(spark, path, "region").select("region", "line", F.split("value", "\t")[3].cast("long").alias("pos"))
+
+
+BAD_LINE = """case cast(pos % 6 as int) when 0 then concat('chrUn_', cast(chrom_num as varchar(3)), {t}, cast(pos as varchar(12)), {t}, 'x', {t}, ref, {t}, alt, {t}, '9', {t}, flt, {t}, info, {t}, fmt, {t}, gt)
+ when 1 then concat(cast(chrom_num as varchar(3)), {t}, 'p', {t}, 'x', {t}, ref, {t}, alt, {t}, '9', {t}, flt, {t}, info, {t}, fmt, {t}, gt)
+ when 2 then concat(cast(chrom_num as varchar(3)), {t}, cast(pos as varchar(12)), {t}, ref) else concat(cast(chrom_num as varchar(3)), {t}, cast(pos as varchar(12)), {t}, 'x', {t}, ref, {t}, alt, {t}, '9', {t}, flt, {t}, info, {t}, fmt, {t}, gt) end"""
+
+
+@query(f"""select case cast(pos % 6 as int) when 0 then 'contig' when 1 then 'position' when 2 then 'fields' else 'sample' end reason, {BAD_LINE.format(t=TAB)} "value", count(*) n
+ from calls where pos % 6 < 3 or sample_id = 7 group by all""")
+def rejected_lines(spark, sf_dir):
+    """Lines that are no call go to a second output with their reason: bad contigs, positions and field counts, and a folder without a sample's number."""
+    path, rejects = scratch(spark, "mixed-text"), scratch(spark, "rejects")
+    text = rows(spark, sf_dir).select(F.expr(BAD_LINE.format(t="'\t'").replace("varchar(3)", "string").replace("varchar(12)", "string")).alias("value"), F.when(F.col("sample_id") == 7, "none").otherwise(F.col("sample_id").cast("string")).alias("s"))
+    text.write.partitionBy("s").text(path)
+    read = spark.read.schema("value string, s string").text(path).select("value", F.col("s").try_cast("int").alias("sample_id"), F.col("_metadata.file_name").alias("file_name"))
+    sinks.write_rejects(vcf.rejected(read), rejects)
+    return spark.read.text(rejects).select("reason", F.regexp_extract("value", "(?s)^[^\t]*\t(.*)$", 1).alias("value")).groupBy("reason", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -39,17 +39,21 @@ def finished(spark, path: str) -> list[int]:
 
 
 def write_lines(merged: DataFrame, line: Column, path: str, by_chromosome: bool = False, one_file: bool = False, compression: str | None = None, header: list[str] | None = None) -> None:
-    """Text in the order of merged. by_chromosome: one folder per chromosome, and a rerun replaces only the folders it writes. one_file is for small results.
+    """Text in the order of merged (chrom_num, pos). by_chromosome: one folder per chromosome, and a rerun replaces only the folders it writes. one_file is for small results.
 
-    header: lines before all others (in every folder); they are the first part file, so parts joined by name are one file.
+    header: lines before all others (in every folder); they are the first part file, so parts joined by name are one file. Folders are written in an order
+    that the sort states in full (folder, line of the header, position): the writer's own order by folder is a prefix of it, so nothing is sorted again.
     """
-    out = merged.select(line, *(["chrom_num"] if by_chromosome else []))
+    folder = ["chrom_num"] if by_chromosome else []
     if header:
-        head = merged.sparkSession.createDataFrame([(x,) for x in header], "value string").coalesce(1)
-        if by_chromosome:
-            chroms = merged.groupBy("chrom_num").agg(F.array(*map(F.lit, header)).alias("h")).coalesce(1)
-            head = chroms.select(F.explode("h").alias("value"), "chrom_num")
-        out = head.union(out)
+        lines = F.posexplode(F.array(*map(F.lit, header))).alias("_line", "value")
+        heads = merged.select("chrom_num").distinct() if by_chromosome else merged.sparkSession.range(1)
+        head = heads.select(*folder, lines, F.lit(-1).cast("long").alias("pos")).coalesce(1)
+        out = head.unionByName(merged.select(*folder, F.lit(len(header)).alias("_line"), line, F.col("pos").cast("long").alias("pos")))
+        out = out.sortWithinPartitions(*folder, "_line", "pos") if by_chromosome else out.sortWithinPartitions("_line") if one_file else out
+    else:
+        out = merged
+    out = out.select(line if out is merged else "value", *folder)
     if one_file:  # one task may take the parts in any order, so it sorts them by their place
         out = out.withColumn("_at", F.monotonically_increasing_id()).coalesce(1).sortWithinPartitions("_at").drop("_at")
     w = out.write.mode("overwrite")
@@ -76,11 +80,26 @@ def write_calls(calls: DataFrame, path: str, compression: str = "bzip2") -> None
 
 
 def write_regions(merged: DataFrame, line: Column, path: str, compression: str | None = None) -> None:
-    """One folder for each region (operators.partition.in_parts), named by it; in it the lines are in order."""
-    w = merged.select(line, "region").write.mode("overwrite").partitionBy("region")
+    """One folder for each region (operators.partition.in_parts), named by it; in it the lines are in order. The last sort begins with the folder, as the writer asks for."""
+    w = merged.sortWithinPartitions("region", "pos").select(line, "region").write.mode("overwrite").partitionBy("region")
     (w.option("compression", compression) if compression else w).text(path)
 
 
+def write_rejects(lines: DataFrame, path: str, batch: int = 0) -> None:
+    """lines: file_name, value and reason (vcf.rejected); a folder for each batch and reason, which a rerun replaces."""
+    out = lines.select(F.concat_ws("\t", "file_name", "value").alias("value"), F.lit(batch).alias("batch"), "reason")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "reason").text(path)
+
+
+def write_store_counted(calls: DataFrame, path: str, batch: int = 0, mode: str = "append") -> dict[int, int]:
+    """write_store(), and how many calls of each chromosome were written: counted by the tasks that write, so the input is read no further time."""
+    seen = Observation()
+    each = [F.count(F.when(F.col("chrom_num") == c, 1)).alias(str(c)) for c in range(1, 27)]
+    out = calls.withColumn("batch", F.lit(batch)).repartitionByRange("chrom_num", "pos").observe(seen, *each)
+    out.sortWithinPartitions("chrom_num", "pos", "sample_id").write.mode(mode).partitionBy("chrom_num").parquet(path)
+    return {int(c): n for c, n in seen.get.items() if n}
+
+
 def write_store(calls: DataFrame, path: str, batch: int = 0, mode: str = "append") -> None:
     """Add calls to the store: folders by chromosome, files sorted by position for row-group pruning."""
     calls.withColumn("batch", F.lit(batch)).repartitionByRange("chrom_num", "pos").sortWithinPartitions("chrom_num", "pos", "sample_id").write.mode(mode).partitionBy("chrom_num").parquet(path)

@@ -49,10 +49,38 @@ def check_samples(spark: SparkSession, path: str | list[str], n: int, numbered:
             raise ValueError(f"samples without a file: {', '.join(map(str, missing[:20]))}")
 
 
-def parse_calls(text: DataFrame, columns: tuple[int, ...] = (9,)) -> DataFrame:
-    """Lines with sample_id to calls. columns: the genotype columns (0-based). Headers, empty lines, unknown contigs and rows without a position are left out."""
-    f = F.split(F.trim(F.col("value")), r"\s+")
-    rows = text.where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).select("sample_id", f.alias("f"))
+def body_lines(text: DataFrame) -> DataFrame:
+    """Without headers and empty lines, and with the fields f."""
+    return text.where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).withColumn("f", F.split(F.trim(F.col("value")), r"\s+"))
+
+
+def fault(columns: tuple[int, ...] = (9,)) -> Column:
+    """Why a line with sample_id and fields f is no call: too few fields, a contig outside the table, a position that is no number, no sample; null for a call."""
+    at = lambda k: F.get(F.col("f"), F.lit(k))
+    short = F.size("f") <= max(columns)
+    return (
+        F.when(short, "fields").when(chrom_num(at(0)).isNull(), "contig").when(at(1).try_cast("long").isNull(), "position")
+        .when(F.col("sample_id").isNull(), "sample")
+    )
+
+
+def rejected(text: DataFrame, columns: tuple[int, ...] = (9,)) -> DataFrame:
+    """The lines that parse_checked() leaves out, with their reason; the other columns of text are kept."""
+    return body_lines(text).withColumn("reason", fault(columns)).where("reason is not null").drop("f")
+
+
+def parse_checked(text: DataFrame, columns: tuple[int, ...] = (9,), decoded: bool = True) -> DataFrame:
+    """parse_calls() of the lines without a fault; rejected() has all others."""
+    good = body_lines(text).where(fault(columns).isNull()).drop("f")
+    return parse_calls(good, columns, decoded)
+
+
+def parse_calls(text: DataFrame, columns: tuple[int, ...] = (9,), decoded: bool = True) -> DataFrame:
+    """Lines with sample_id to calls. columns: the genotype columns (0-based). Headers, empty lines, unknown contigs and rows without a position are left out.
+
+    decoded: genotypes as structs (gts); else as they are (texts), for merges, which decode what stays.
+    """
+    rows = body_lines(text).select("sample_id", "f")
     at = lambda k: F.get(F.col("f"), F.lit(k))
     typed = rows.select(
         "sample_id", at(0).alias("chrom"), chrom_num(at(0)).alias("chrom_num"), at(1).try_cast("long").alias("pos"), at(2).alias("id"), at(3).alias("ref"),
@@ -60,14 +88,16 @@ def parse_calls(text: DataFrame, columns: tuple[int, ...] = (9,)) -> DataFrame:
         F.array(*[at(k) for k in columns]).alias("_g"),
     )
     typed = typed.where("chrom_num is not null and pos is not null")
+    if not decoded:
+        return typed.withColumnRenamed("_g", "texts")
     return typed.withColumn("gts", F.transform("_g", lambda g: decode(g, F.col("ref"), F.col("alts")))).select(*CALL_COLUMNS)
 
 
-def read_vcf(spark: SparkSession, path: str | list[str], columns: tuple[int, ...] = (9,), glob: str | None = None, numbered: str = "leading") -> DataFrame:
+def read_vcf(spark: SparkSession, path: str | list[str], columns: tuple[int, ...] = (9,), glob: str | None = None, numbered: str = "leading", decoded: bool = True) -> DataFrame:
     """Per-sample files; the sample is the number that begins the file's name, or ends its stem (numbered="trailing"), or the folder's, as written by Spark (numbered="folder": sample_id=7/)."""
     if numbered == "folder":
-        return parse_calls(spark.read.text(path).select("value", F.col("sample_id").cast("int")), columns)
-    return parse_calls(lines(spark, path, glob).select("value", NUMBERED[numbered](F.col("file_name")).alias("sample_id")), columns)
+        return parse_calls(spark.read.text(path).select("value", F.col("sample_id").cast("int")), columns, decoded)
+    return parse_calls(lines(spark, path, glob).select("value", NUMBERED[numbered](F.col("file_name")).alias("sample_id")), columns, decoded)
 
 
 def read_tped(spark: SparkSession, path: str | list[str]) -> DataFrame:

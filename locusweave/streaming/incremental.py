@@ -11,15 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import by_locus
-from ..sources.sinks import write_store
-from ..sources.vcf import parse_calls, sample_of
+from ..sources.sinks import write_rejects, write_store
+from ..sources.vcf import parse_checked, rejected, sample_of
 
 
-def follow(spark: SparkSession, incoming: str, store: str, checkpoint: str, columns: tuple[int, ...] = (9,)) -> StreamingQuery:
-    """Add each new file of a folder to the store, then stop (availableNow)."""
-    text = spark.readStream.text(incoming).select("value", sample_of(F.col("_metadata.file_name")).alias("sample_id"))
-    calls = parse_calls(text, columns)
-    return calls.writeStream.foreachBatch(lambda df, i: write_store(df, store, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def follow(spark: SparkSession, incoming: str, store: str, checkpoint: str, columns: tuple[int, ...] = (9,), rejects: str | None = None) -> StreamingQuery:
+    """Add each new file of a folder to the store, then stop (availableNow).
+
+    Lines that are no call, and all lines of files without a sample number, never reach the store. rejects: a second output for them: text folders by batch and reason,
+    each line after its file's name. A batch that is run again replaces its own folders.
+    """
+    text = spark.readStream.text(incoming).select("value", F.col("_metadata.file_name").alias("file_name"), sample_of(F.col("_metadata.file_name")).alias("sample_id"))
+
+    def add(batch: DataFrame, i: int) -> None:
+        write_store(parse_checked(batch, columns), store, i)
+        if rejects:
+            write_rejects(rejected(batch, columns), rejects, i)
+
+    return text.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(store: DataFrame) -> DataFrame:
