@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import drop, expand, held as kept, partitions, sliced, small, squeeze, stash
 from .shingle import hashes
 
-#: Text bytes of a part; parts that a task reads; rows that a task of the last pass sums before it gives them on.
-PART_BYTES, TASK_PARTS, SUMMED = 2_000_000, 64, 300_000
+#: Text bytes of a part; parts that a task reads; hashes and phrases that a task sums before it gives them on.
+PART_BYTES, TASK_PARTS, SUMMED_HASHES, SUMMED = 2_000_000, 64, 1_000_000, 300_000
 #: Hashes of a broadcast (32 MB); bytes of a level table that is broadcast.
 MOST_KNOWN, SMALL_BYTES = 4_000_000, 16_000_000
 #: Words of the longest phrase.
@@ -173,17 +173,47 @@ def gram_hashes(word: np.ndarray, codes: np.ndarray, most: int):
         yield g, places
 
 
+def sums(found):
+    """(hashes, counts) of pairs of arrays: each hash once, as far as SUMMED_HASHES of them are held at a time."""
+    h, n, size = [], [], 0
+
+    def merged():
+        flat = np.concatenate(h)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else order
+        return flat[starts], np.add.reduceat(np.concatenate(n)[order], starts) if len(starts) else np.zeros(0, np.int64)
+
+    for a, b in found:
+        h.append(a)
+        n.append(b.astype(np.int64))
+        size += len(a)
+        if size > 2 * SUMMED_HASHES:
+            one = merged()
+            h, n, size = [one[0]], [one[1]], len(one[0])
+            if size > SUMMED_HASHES:
+                yield one
+                h, n, size = [], [], 0
+    if h:
+        yield merged()
+
+
 def count_level(parts: DataFrame, k: int, frequent: DataFrame | None, least: int) -> DataFrame:
     """h: hashes of k-grams that are seen `least` times or more, as a written table. frequent: those of the level below."""
     import pyarrow as pa
 
     spark = parts.sparkSession
     out = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+
+    def given_on(found):
+        for h, n in sums(found):
+            for at in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], schema=out)
+
     if k == 1:
 
         def words(batches):
-            for b in sliced(batches, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(expand(b.column(0)[0].as_py(), np.int64)), pa.array(expand(b.column(1)[0].as_py(), np.int64))], schema=out)
+            yield from given_on((expand(b.column(0)[0].as_py(), np.uint64), expand(b.column(1)[0].as_py(), np.int64)) for b in sliced(batches, 1))
 
         counted = parts.select("hash", "count").mapInArrow(words, "h long, n long")
     else:
@@ -192,7 +222,10 @@ def count_level(parts: DataFrame, k: int, frequent: DataFrame | None, least: int
         for share in range(of):
             known = broadcast_share(frequent, share, of)
 
-            def grams(batches, known=known, share=share, of=of):
+            def grams(batches, known=known, of=of):
+                yield from given_on(counted_grams(batches, known, of))
+
+            def counted_grams(batches, known, of):
                 have = kept("known grams", known.id, lambda: Known(known.value))
                 for b in sliced(batches, 1):
                     word, codes = expand(b.column(0)[0].as_py(), np.uint64), expand(b.column(1)[0].as_py())
@@ -205,12 +238,12 @@ def count_level(parts: DataFrame, k: int, frequent: DataFrame | None, least: int
                     h[at] = g
                     last = last[last + (k - 1) < len(codes)]
                     last = last[codes[last + (k - 1)] >= 0]
-                    value, n = np.unique(longer(h[last], word[codes[last + (k - 1)]]) if len(last) else np.zeros(0, np.uint64), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], schema=out)
+                    yield np.unique(longer(h[last], word[codes[last + (k - 1)]]) if len(last) else np.zeros(0, np.uint64), return_counts=True)
 
             one = parts.select("hash", "codes").mapInArrow(grams, "h long, n long")
             counted = one if counted is None else counted.unionByName(one)
-    return stash(counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), f"grams-{k}")
+    # The tasks have summed their hashes, so these are dealt out as they are and summed once more.
+    return stash(counted.repartition(partitions(spark), "h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), f"grams-{k}")
 
 
 def shares(frequent: DataFrame) -> int:

@@ -190,3 +190,15 @@ def test_new_queries_have_their_columns(spark):
     assert queries.QUERIES["op13_token_counts"](spark, sf).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert queries.QUERIES["op12_hard_negatives"](spark, sf).dtypes == [("anchor_id", "bigint"), ("positive_id", "bigint"), ("rank", "int"), ("negative_id", "bigint"), ("positive_score", "bigint"), ("negative_score", "bigint")]
     assert [t for _, t in queries.QUERIES["op11_collocations"](spark, sf).dtypes] == ["string", "bigint", "string", *["bigint"] * 5]
+
+
+def test_sums_hold_a_bounded_number(monkeypatch):
+    monkeypatch.setattr(col, "SUMMED_HASHES", 50)
+    rng = np.random.default_rng(1)
+    found = [(np.unique(rng.integers(0, 120, 30)).astype(np.uint64),) for _ in range(40)]
+    want = Counter(x for (h,) in found for x in h.tolist())
+    got, parts = Counter(), list(col.sums((h, np.ones(len(h), np.int32)) for h, in found))
+    for h, n in parts:
+        assert len(h) <= 130 and len(set(h.tolist())) == len(h)
+        got.update(dict(zip(h.tolist(), n.tolist())))
+    assert got == want and len(parts) > 1
