@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import variant as V
-from ..operators import filters, merge, partition, reshape
+from ..operators import delta, filters, merge, partition, reshape
 from ..sources import sinks, vcf
 from ..sources.scratch import scratch
 
@@ -472,3 +472,33 @@ def rejected_lines(spark, sf_dir):
     read = spark.read.schema("value string, s string").text(path).select("value", F.col("s").try_cast("int").alias("sample_id"), F.col("_metadata.file_name").alias("file_name"))
     sinks.write_rejects(vcf.rejected(read), rejects)
     return spark.read.text(rejects).select("reason", F.regexp_extract("value", "(?s)^[^\t]*\t(.*)$", 1).alias("value")).groupBy("reason", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Merged results that are kept: by bucket and by bin.
+
+
+@query(ORACLE_SQL["tped_merge"].split("where chrom_num <= 22)", 1)[1])
+def stored_block_merge(spark, sf_dir):
+    """Samples 1-3 and 4-7 merged apart and stored alike by locus, then merged bucket by bucket."""
+    c, blocks = raw(spark, sf_dir).where("chrom_num <= 22"), []
+    for i, (low, high) in enumerate([(1, 3), (4, 7)]):
+        path, size = scratch(spark, f"block-{i}"), high - low + 1
+        one = c.where(F.col("sample_id").between(low, high)).withColumn("sample_id", F.col("sample_id") - (low - 1))
+        blocks.append((path.rsplit("/", 1)[1].replace("-", "_"), size))
+        merge.store_block(merge.merge_tped(one, size, best=best(), keep=filters.at_least("PASS")), blocks[-1][0], 8, path)
+    return merge.merge_stored(spark, blocks).withColumn("genotypes", F.array_join("genotypes", " "))
+
+
+#: A later batch: samples 4 to 7 at the low positions, those called before with another genotype.
+LATE = f"select sample_id, chrom_num, pos, rs, ref, alt, qual, flt, info, fmt, '1/1' gt, dp from ({CALLS}) late where sample_id >= 4 and pos <= 400"
+
+
+@query(", e as (select * replace (case when sample_id >= 4 and pos <= 400 then '1/1' else gt end as gt) from autosomal where sample_id <= 5 or pos <= 400)"
+       + ORACLE_SQL["tped_merge"].split("where chrom_num <= 22)", 1)[1].replace("autosomal", "e"))
+def delta_merge(spark, sf_dir):
+    """Samples 1-5 are merged; then the bins that a later batch touches are merged again."""
+    store, merged = scratch(spark, "binned-store"), scratch(spark, "binned-merge")
+    keep = filters.at_least("PASS") & F.col("chrom_num").between(1, 22)
+    delta.delta_merge(calls(spark, sf_dir).where("sample_id <= 5"), store, merged, N, 1, 256, keep)
+    delta.delta_merge(calls(spark, sf_dir, LATE), store, merged, N, 2, 256, keep)
+    return delta.read_merged(spark, merged).withColumn("genotypes", F.array_join("genotypes", " "))
