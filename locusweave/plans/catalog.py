@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variant as V
 from ..operators import delta, filters, merge, partition, reshape
-from ..sources import sinks, vcf
+from ..sources import bgzf, sinks, vcf
 from ..sources.scratch import scratch
 
 N = 7
@@ -502,3 +502,13 @@ def delta_merge(spark, sf_dir):
     delta.delta_merge(calls(spark, sf_dir).where("sample_id <= 5"), store, merged, N, 1, 256, keep)
     delta.delta_merge(calls(spark, sf_dir, LATE), store, merged, N, 2, 256, keep)
     return delta.read_merged(spark, merged).withColumn("genotypes", F.array_join("genotypes", " "))
+
+
+@query(ORACLE_SQL["region_filter"].split("where chrom_num <= 22)", 1)[1])
+def bgzf_region(spark, sf_dir):
+    """Regions of block-gzipped text, by its position index: only the blocks that the index names are read."""
+    path = scratch(spark, "bgzf")
+    c = calls(spark, sf_dir, decoded=False).withColumn("genotypes", F.col("texts"))
+    bgzf.write_bgzf(c.withColumn("info", F.concat("info", F.lit(";S="), F.col("sample_id").cast("string"))), sinks.vcf_line(), path)
+    got = bgzf.read_bgzf(spark, path, ["chr4:10-300", "chrX:100", "M"]).withColumn("sample_id", F.regexp_extract("value", ";S=([0-9]+)", 1).cast("int"))
+    return basic(vcf.parse_calls(got, decoded=False))
