@@ -27,7 +27,7 @@ from .common import drop, expand, held as kept, partitions, sliced, small, squee
 from .shingle import hashes
 
 #: Text bytes of a part; parts that a task reads; hashes and phrases that a task sums before it gives them on.
-PART_BYTES, TASK_PARTS, SUMMED_HASHES, SUMMED = 2_000_000, 64, 1_000_000, 300_000
+PART_BYTES, TASK_PARTS, SUMMED_HASHES, SUMMED = 1_000_000, 128, 400_000, 150_000
 #: Hashes of a broadcast (32 MB); bytes of a level table that is broadcast.
 MOST_KNOWN, SMALL_BYTES = 4_000_000, 16_000_000
 #: Words of the longest phrase.
