@@ -8,6 +8,8 @@ and the global order then reuse that partitioning. A locus holds at most n sampl
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,32 +85,35 @@ def merge_vcf(calls: DataFrame, n: int, columns: int = 1, best: list[Column] | N
     return out.select("chrom", *LOCUS, "id", "ref", "alts", "qual", "filter", "info", "format", genotypes.alias("genotypes"), *conflict).orderBy(*LOCUS)
 
 
-def store_block(block: DataFrame, table: str, buckets: int, path: str) -> None:
-    """Keep a TPED result as a table bucketed by locus, below path. Tables with the same number of buckets are merged without a shuffle (merge_stored)."""
-    by_bucket = block.select(*LOCUS, "rs", "ref", "genotypes").repartition(buckets, *LOCUS).sortWithinPartitions(*LOCUS)
-    by_bucket.write.bucketBy(buckets, *LOCUS).sortBy(*LOCUS).option("path", path).saveAsTable(table)
+def store_block(block: DataFrame, table: str, buckets: int, path: str, dealt: bool = False) -> None:
+    """Keep a TPED result as a table bucketed by locus, below path. dealt: its tasks are buckets already, as those of merge_stored() are, so nothing is shuffled."""
+    rows = block.select(*LOCUS, "rs", "ref", "genotypes")
+    rows = rows if dealt else rows.repartition(buckets, *LOCUS)
+    rows.sortWithinPartitions(*LOCUS).write.bucketBy(buckets, *LOCUS).sortBy(*LOCUS).option("path", path).saveAsTable(table)
+
 
+def merge_stored(spark: SparkSession, first: tuple[str, int], second: tuple[str, int]) -> DataFrame:
+    """merge_blocks() of two tables made by store_block() with one number of buckets: (name, samples) each.
 
-def merge_stored(spark: SparkSession, blocks: list[tuple[str, int]]) -> DataFrame:
-    """merge_blocks() of tables made by store_block() with one number of buckets: (name, samples) each. Every bucket is merged where it is, without an exchange; the rows are in no
-    order over buckets, so the result can be stored as a block again (again without a shuffle) and is sorted only when it is written as text."""
-    return _joined([(spark.table(name), size) for name, size in blocks], lambda rows: rows)
+    Bucket joins bucket where it is, without an exchange, so a block of new samples is added to a large result for the price of reading it. The rows are in no order over
+    buckets: the result can be stored as a block again and is sorted only when it is written as text.
+    """
+    (a, n), (b, m) = first, second
+    left = spark.table(a).select(*LOCUS, F.struct("rs", "ref", "genotypes").alias("a"))
+    both = left.join(spark.table(b).select(*LOCUS, F.struct("rs", "ref", "genotypes").alias("b")), LOCUS, "full")
+    ref = F.coalesce("a.ref", "b.ref")
+    part = lambda side, size: F.coalesce(F.col(f"{side}.genotypes"), F.array_repeat(F.concat_ws(" ", ref, ref), size))
+    rs = F.when(F.col("a").isNotNull(), F.col("a.rs")).otherwise(F.col("b.rs"))
+    return both.select("chrom_num", rs.alias("rs"), "pos", ref.alias("ref"), F.concat(part("a", n), part("b", m)).alias("genotypes"))
 
 
 def merge_blocks(blocks: list[tuple[DataFrame, int]]) -> DataFrame:
     """Merge TPED results of disjoint sample blocks, in block order: (rows, samples) each. One grouping, whatever the number of blocks."""
-    return _joined(blocks, by_locus).orderBy(*LOCUS)
-
-
-def _joined(blocks: list[tuple[DataFrame, int]], dealt) -> DataFrame:
-    tagged = [b.select(*LOCUS, F.struct(F.lit(i).alias("block"), "rs", "ref", "genotypes").alias("s")) for i, (b, _) in enumerate(blocks)]
-    rows = tagged[0]
-    for t in tagged[1:]:
-        rows = rows.unionByName(t)
-    loci = dealt(rows).groupBy(*LOCUS).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    tagged = [b.select(*LOCUS, F.lit(i).alias("block"), "rs", "ref", "genotypes") for i, (b, _) in enumerate(blocks)]
+    loci = by_locus(reduce(DataFrame.unionByName, tagged)).groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("block", "rs", "ref", "genotypes"))).alias("s"))
     loci = loci.select(*LOCUS, F.col("s")[0]["rs"].alias("rs"), F.col("s")[0]["ref"].alias("ref"), "s")
     part = lambda i, size: F.coalesce(F.get(F.filter("s", lambda x: x["block"] == i), F.lit(0))["genotypes"], F.array_repeat(F.concat_ws(" ", "ref", "ref"), size))
-    return loci.select("chrom_num", "rs", "pos", "ref", F.concat(*[part(i, size) for i, (_, size) in enumerate(blocks)]).alias("genotypes"))
+    return loci.select("chrom_num", "rs", "pos", "ref", F.concat(*[part(i, size) for i, (_, size) in enumerate(blocks)]).alias("genotypes")).orderBy(*LOCUS)
 
 
 def upsert(store: DataFrame, new: DataFrame) -> DataFrame:

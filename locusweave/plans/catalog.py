@@ -486,7 +486,7 @@ def stored_block_merge(spark, sf_dir):
         one = c.where(F.col("sample_id").between(low, high)).withColumn("sample_id", F.col("sample_id") - (low - 1))
         blocks.append((path.rsplit("/", 1)[1].replace("-", "_"), size))
         merge.store_block(merge.merge_tped(one, size, best=best(), keep=filters.at_least("PASS")), blocks[-1][0], 8, path)
-    return merge.merge_stored(spark, blocks).withColumn("genotypes", F.array_join("genotypes", " "))
+    return merge.merge_stored(spark, *blocks).withColumn("genotypes", F.array_join("genotypes", " "))
 
 
 #: A later batch: samples 4 to 7 at the low positions, those called before with another genotype.

@@ -239,7 +239,9 @@ class Reader(DataSourceReader):
             windows += [(c, a, z - 1) for a, z in zip(edges, edges[1:])] + [(c, edges[-1], end or (1 << LINEAR + 3 * LEVELS))]
         return [Span(scheme + f, *w) for f in sorted(found) for w in windows]
 
-    def read(self, partition: Span):
+    def read(self, partition: Span | None):
+        if partition is None:  # no file: Spark asks once all the same
+            return
         name = partition.uri.rsplit("/", 1)[1]
         for line in lines_of(partition):
             yield line.decode("utf-8", "replace"), name
@@ -295,6 +297,7 @@ class FileWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         files, at = opened(self.path)
+        files.create_dir(at)
         for name in (n for m in messages if m for n in m.names):
             for x in (name + ".tbi", name):
                 files.move(f"{at}/_{x}", f"{at}/{x}")

@@ -33,5 +33,5 @@ def follow(spark: SparkSession, incoming: str, store: str, checkpoint: str, colu
 
 def current(store: DataFrame) -> DataFrame:
     """The latest call for each sample and locus."""
-    last = Window.partitionBy("chrom_num", "pos", "sample_id").orderBy(F.col("batch").desc(), F.col("qual").desc_nulls_last(), F.col("gts").desc_nulls_last(), F.col("info").desc_nulls_last())
+    last = Window.partitionBy("chrom_num", "pos", "sample_id").orderBy(F.col("batch").desc(), F.col("qual").desc_nulls_last(), F.col("texts" if "texts" in store.columns else "gts").desc_nulls_last(), F.col("info").desc_nulls_last())
     return by_locus(store).withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "batch")
