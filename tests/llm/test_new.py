@@ -202,3 +202,114 @@ def test_sums_hold_a_bounded_number(monkeypatch):
         assert len(h) <= 130 and len(set(h.tolist())) == len(h)
         got.update(dict(zip(h.tolist(), n.tolist())))
     assert got == want and len(parts) > 1
+
+
+def lines_run(page):
+    """Lines of the HTML module that run for a page."""
+    import sys
+
+    from locusweave.llm import html
+
+    n, name = 0, html.__file__
+
+    def count(frame, event, arg):
+        nonlocal n
+        if frame.f_code.co_filename != name:
+            return None
+        n += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        html.text_of(page)
+    finally:
+        sys.settrace(None)
+    return n
+
+
+@pytest.mark.parametrize("page", [lambda n: "<p><button>" + "<div>" * n, lambda n: "<ul><li>" + "<b>" * n + "<p>" * n, lambda n: "<table><tr>" + "<td rowspan=0>x" * n + "<tr>" * n, lambda n: "<ul><li>x" * n, lambda n: "<table><tr><td>y" * n, lambda n: "<i>" * n + "</b>" * n + "</i>" * n])
+def test_html_steps_grow_with_the_page(page):
+    few, many = lines_run(page(1500)), lines_run(page(3000))
+    assert few > 1500 and many < 2.3 * few
+
+
+def test_html_last_declaration_counts():
+    from locusweave.llm import html
+
+    shown = lambda style: html.text_of(f'<p style="{style}">a')
+    assert [shown(x) for x in ("display:none;display:block", "display:block;display:none", "display:none !important;display:block", "DISPLAY : none", "visibility:hidden;visibility:visible", "visibility:hidden")] == ["a", "", "", "", "a", ""]
+    assert html.text_of("<table><tr><td>" * 40 + "deep" + "</table>" * 40 + "end").split() == ["deep", "end"]
+
+
+def test_samples_of_repeated_rows(spark, monkeypatch):
+    from locusweave.llm import common, language, quality, warc
+
+    docs = spark.createDataFrame([(1, "el perro come la carne en la casa", "es")], "doc_id long, text string, lang string").crossJoin(spark.range(9_000)).drop("id")
+    model = language.learn(docs)
+    assert model.langs == ["es"] and language.identify(docs.limit(3), model).first()["lang_pred"] == "es"
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int").crossJoin(spark.range(9_000)).drop("id")
+    asked = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: asked.append(len(y)))
+    quality.learn(docs, labels)
+    assert asked == [1]
+    pages = spark.createDataFrame([("x" * 3000,)], "html string").crossJoin(spark.range(500)).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), "html")
+    assert isinstance(warc.dictionary_of(pages, "page_id", "html", "url"), bytes)
+    # Between nothing and everything: about nine tenths of what is wanted, and never more than that.
+    many = spark.range(50_000).select((F.col("id") % 20_000).alias("k"))
+    n = common.sampled(many, 1_000, "k", seed=1).select("_sample").distinct().count()
+    assert 700 < n <= 1_000
+    assert common.sampled(many, 30_000, "k", seed=1).count() == 50_000
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from locusweave.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    real = bpe.words_of
+
+    def colliding(texts):
+        h, per, low, starts, lengths = real(texts)
+        return h % np.uint64(7), per, low, starts, lengths
+
+    monkeypatch.setattr(bpe, "words_of", colliding)
+    tok, lib = bpe.Bpe(path), Tokenizer.from_file(path)
+    for texts in (["some words here"], ["other words there", "and more of them again and again"], ["x"], ["some words"]):
+        want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert tok.encode_batch(texts) == want
+
+
+def test_language_kernel_and_regression_plainly():
+    """Kernel, landmarks and ridge regression of a few short texts against loops over their n-grams."""
+    from locusweave.llm import language
+
+    texts = {"de": ["der hund und die katze", "das haus und der baum", "die frau und das kind"], "en": ["the dog and the cat", "the house and the tree", "a woman and the child"]}
+    rows = [(lang, t) for lang, ts in texts.items() for t in ts]
+
+    def sets(text):
+        codes, owner = language.grams([text.encode()])
+        return {n: np.unique(codes[n][language._inside(codes[n], n)]).astype(np.int32) for n in language.ORDERS}
+
+    model = language.Kernel([sets(t) for _, t in rows], [lang for lang, _ in rows])
+    vocab = {n: [c for c, k in Counter(c for _, t in rows for c in sets(t)[n].tolist()).items() if k >= 2] for n in language.ORDERS}
+    have = lambda t, n: set(sets(t)[n].tolist()) & set(vocab[n])
+
+    def kernel(a, b):
+        return sum(len(have(a, n) & have(b, n)) / math.sqrt(max(1, len(have(a, n))) * max(1, len(have(b, n)))) for n in language.ORDERS) / len(language.ORDERS)
+
+    marks = [t for pair in zip(texts["de"], texts["en"]) for t in pair]
+    kmm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    val, vec = np.linalg.eigh(kmm)
+    root = vec[:, val > 1e-6 * val.max()] / np.sqrt(val[val > 1e-6 * val.max()])
+    a = np.array([[*(np.array([kernel(t, m) for m in marks]) @ root), 1.0] for _, t in rows])
+    for j, lang in enumerate(("de", "en")):
+        y = np.array([1.0 if g == lang else -1.0 for g, _ in rows])
+        w = np.linalg.solve(a.T @ a + language.RIDGE * np.eye(a.shape[1]), a.T @ y)
+        for text in ("der baum", "the tree and a cat"):
+            f = np.array([*(np.array([kernel(text, m) for m in marks]) @ root), 1.0]) @ w
+            got = model.predict([text])
+            if got[0] == [lang]:
+                assert abs(got[1][0] - min(1, max(0, (f + 1) / 2))) < 2e-3
+    assert model.predict(["der baum", "the tree and a cat", "1 2", ""])[0] == ["de", "en", "und", "und"]
