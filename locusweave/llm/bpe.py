@@ -31,8 +31,8 @@ from .shingle import words_of
 
 #: Bytes that the cache of one worker holds in each of its two generations; what an entry takes beside its letters and ids; letters of the longest piece that is kept.
 CACHE_BYTES, ENTRY_BYTES, LONGEST_PIECE = 48_000_000, 150, 200
-#: Words that are known by their hash before all are forgotten (some 80 MB); text bytes of a block that is encoded by hashes.
-KNOWN_WORDS, BLOCK_BYTES = 700_000, 1_000_000
+#: Words that are known by their hash before all are forgotten (some 60 MB); text bytes of a block that is encoded by hashes.
+KNOWN_WORDS, BLOCK_BYTES = 400_000, 1_000_000
 #: The split patterns of the two tokenizer kinds, written with the Unicode White_Space property.
 SPACED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 BARE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -80,10 +80,7 @@ class Bpe:
         self.older: dict[str, bytes] = {}
         self.cached = 0
         self.marks: dict[str, bytes] = {}
-        # Words known by their hash: their number, and the ids of all of them end to end with the ends of each.
-        self.place: dict[int, int] = {}
-        self.spelled: list[bytes] = []
-        self.ids, self.ends = [np.zeros(0, np.uint32)], [0]
+        self._forget_words()
         self.path = path
 
     @cached_property
@@ -247,43 +244,41 @@ class Bpe:
         return [next(known) if p else next(others) for p in plain]
 
     def _encode_plain(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of texts by the 64-bit hashes of their words: each distinct word is looked up once, and the ids are put together by array operations."""
+        """The ids of texts by the 64-bit hashes of their words: each distinct word is looked up once, and the ids are put together by array operations.
+
+        A hash stands for a word only where the bytes are the same, inside the block and in what is known by it; else the block goes the other way.
+        """
         h, per, low, starts, lengths = words_of(texts)
         distinct, first, word = np.unique(h, return_index=True, return_inverse=True)
         if len(self.place) > KNOWN_WORDS:
-            self.place.clear()
-            self.spelled.clear()
-            self.ids, self.ends = [np.zeros(0, np.uint32)], [0]
-        # A hash stands for a word only where the bytes are the same: inside the block, and with the word that is known by it.
-        total = np.cumsum(lengths)
-        at_byte = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - lengths, lengths)
-        rep = first[word]
-        if not ((lengths == lengths[rep]).all() and (low[np.repeat(starts, lengths) + at_byte] == low[np.repeat(starts[rep], lengths) + at_byte]).all()):
-            return self._encode([t.decode() for t in texts])
-        spelled = [low[a : a + n].tobytes() for a, n in zip(starts[first].tolist(), lengths[first].tolist())]
-        at = list(map(self.place.get, distinct.tolist()))
-        if any(x is not None and self.spelled[x] != w for x, w in zip(at, spelled)):
+            self._forget_words()
+        at = np.fromiter((self.place.get(x, -1) for x in distinct.tolist()), np.int64, len(distinct))
+        known, rep = np.flatnonzero(at >= 0), first[word]
+        spelled = self.word_ends
+        if not (same_bytes(low, starts, lengths, low, starts[rep], lengths[rep]) and same_bytes(low, starts[first[known]], lengths[first[known]], self.words_known, spelled[at[known]], spelled[at[known] + 1] - spelled[at[known]])):
             return self._encode([t.decode() for t in texts])
-        if fresh := [i for i, x in enumerate(at) if x is None]:
-            new = self._ids([spelled[i].decode() for i in fresh])
-            self.spelled += [spelled[i] for i in fresh]
-            n = len(self.ends) - 1
-            at_end = self.ends[-1] + np.cumsum([len(x) // 4 for x in new])
-            for j, i in enumerate(fresh):
-                at[i] = n + j
-            self.place.update(zip(distinct[fresh].tolist(), range(n, n + len(fresh))))
-            self.ends += at_end.tolist()
-            self.ids.append(np.frombuffer(b"".join(new), "<u4"))
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        ends = np.array(self.ends, np.int64)
-        at = np.array(at, np.int64)
-        begin, n = ends[at][word], (ends[at + 1] - ends[at])[word]
+        if len(fresh := np.flatnonzero(at < 0)):
+            begin, n = starts[first[fresh]], lengths[first[fresh]]
+            new = self._ids([low[i : i + k].tobytes().decode() for i, k in zip(begin.tolist(), n.tolist())])
+            have = len(self.ends) - 1
+            at[fresh] = np.arange(have, have + len(fresh))
+            self.place.update(zip(distinct[fresh].tolist(), range(have, have + len(fresh))))
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(x) // 4 for x in new]))
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(new), "<u4"))
+            self.words_known = np.append(self.words_known, low[spread(begin, n)])
+            self.word_ends = np.append(spelled, spelled[-1] + np.cumsum(n))
+        begin, n = self.ends[at][word], (self.ends[at + 1] - self.ends[at])[word]
+        flat = self.ids[spread(begin, n)].astype("<u4").tobytes()
         total = np.append(0, np.cumsum(n))
-        flat = self.ids[0][np.repeat(begin - total[:-1], n) + np.arange(total[-1])].astype("<u4").tobytes()
         cut = (total[np.append(0, np.cumsum(per))] * 4).tolist()
         return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
+    def _forget_words(self) -> None:
+        # Words known by their hash: their number; the ids of all of them end to end, and their bytes, with the ends of each.
+        self.place: dict[int, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.words_known, self.word_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         """encode_batch() of texts of any kind."""
         out = []
@@ -314,6 +309,17 @@ SINGLE_SPACE = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
 WHITE = regex.compile(r"\p{White_Space}+")
 
 
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of runs of n items laid end to end."""
+    total = np.cumsum(n)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin - (total - n), n)
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, n: np.ndarray, b: np.ndarray, bt: np.ndarray, m: np.ndarray) -> bool:
+    """Whether the runs of n bytes in a are those of m bytes in b."""
+    return bool((n == m).all() and (a[spread(at, n)] == b[spread(bt, m)]).all())
+
+
 def latin(text: str) -> bool:
     if text.isascii():
         return True
