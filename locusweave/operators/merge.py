@@ -63,6 +63,30 @@ def merge_tped(calls: DataFrame, n: int, column: int = 0, best: list[Column] | N
     return out.select("chrom_num", "rs", "pos", "ref", dense(F.col("cells"), n, F.concat_ws(" ", "ref", "ref")).alias("genotypes")).orderBy(*LOCUS)
 
 
+def merge_tiles(calls: DataFrame, n: int, width: int = 1_000, column: int = 0, best: list[Column] | None = None, keep: Column | None = None) -> DataFrame:
+    """The merge in tiles: chrom_num, pos, block, rs, ref, cells, one row for each locus and block of `width` samples that has a call there.
+
+    cells are the called samples of the block (sample_id, allele pair), so a row is bounded by the width, however many samples there are, and what is absent takes no room.
+    One exchange: the first sample's reference and id come from a window over the locus, which streams, and tiles are grouped in the same partitioning.
+    """
+    one = distinct_calls(by_locus(calls.where(F.col("sample_id").between(1, n))), best)
+    one = decoded(one if keep is None else one.where(keep))
+    lead = Window.partitionBy(*LOCUS).orderBy("sample_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = one.select(*LOCUS, "sample_id", F.first("id").over(lead).alias("rs"), F.first("ref").over(lead).alias("ref"), F.get("gts", F.lit(column)).alias("g"))
+    cell = F.struct("sample_id", allele_pair(F.col("g"), F.col("ref")).alias("v")).alias("_cell")
+    block = F.floor((F.col("sample_id") - 1) / width).cast("int").alias("block")
+    tiles = one.select(*LOCUS, block, "rs", "ref", cell).groupBy(*LOCUS, "block")
+    return tiles.agg(F.first("rs").alias("rs"), F.first("ref").alias("ref"), F.array_sort(F.collect_list("_cell")).alias("cells"))
+
+
+def from_tiles(tiles: DataFrame, n: int) -> DataFrame:
+    """chrom_num, rs, pos, ref, genotypes (n allele pairs), ordered by locus: tiles put together, for writing. Rows are as wide as there are samples from here on."""
+    loci = by_locus(tiles).groupBy(*LOCUS).agg(F.first("rs").alias("rs"), F.first("ref").alias("ref"), F.array_sort(F.collect_list(F.struct("block", "cells"))).alias("t"))
+    cells = F.flatten(F.transform("t", lambda x: x["cells"]))
+    out = loci.select("chrom_num", "rs", "pos", "ref", cells.alias("cells"))
+    return out.select("chrom_num", "rs", "pos", "ref", dense(F.col("cells"), n, F.concat_ws(" ", "ref", "ref")).alias("genotypes")).orderBy(*LOCUS)
+
+
 def merge_vcf(calls: DataFrame, n: int, columns: int = 1, best: list[Column] | None = None, keep: Column | None = None, flag: bool = False) -> DataFrame:
     """chrom, chrom_num, pos, id, ref, alts, qual, filter, info, format, genotypes (n * columns), ordered by locus.
 

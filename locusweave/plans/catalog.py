@@ -512,3 +512,22 @@ def bgzf_region(spark, sf_dir):
     bgzf.write_bgzf(c.withColumn("info", F.concat("info", F.lit(";S="), F.col("sample_id").cast("string"))), sinks.vcf_line(), path)
     got = bgzf.read_bgzf(spark, path, ["chr4:10-300", "chrX:100", "M"]).withColumn("sample_id", F.regexp_extract("value", ";S=([0-9]+)", 1).cast("int"))
     return basic(vcf.parse_calls(got, decoded=False))
+
+
+@query(ORACLE_SQL["tped_merge"].split("where chrom_num <= 22)", 1)[1])
+def tiled_merge(spark, sf_dir):
+    """Merged in tiles of three samples, which are kept, and put together."""
+    path = scratch(spark, "tiles")
+    merge.merge_tiles(raw(spark, sf_dir).where("chrom_num <= 22"), N, 3, best=best(), keep=filters.at_least("PASS")).write.partitionBy("chrom_num").parquet(path)
+    return merge.from_tiles(spark.read.parquet(path), N).withColumn("genotypes", F.array_join("genotypes", " "))
+
+
+@query(ORACLE_SQL["store_scan"].split("where chrom_num <= 22)", 1)[1])
+def compacted_scan(spark, sf_dir):
+    """The store loaded in three batches, its small files packed, then scanned."""
+    path = scratch(spark, "store")
+    c = calls(spark, sf_dir)
+    for i in range(3):
+        sinks.write_store(c.where(F.col("sample_id") % 3 == i), path, i)
+    sinks.compact(spark, path)
+    return basic(filters.by_chromosome(vcf.read_store(spark, path), 4, 9).where("pos between 20 and 400"))

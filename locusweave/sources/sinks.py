@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -103,3 +103,33 @@ def write_store_counted(calls: DataFrame, path: str, batch: int = 0, mode: str =
 def write_store(calls: DataFrame, path: str, batch: int = 0, mode: str = "append") -> None:
     """Add calls to the store: folders by chromosome, files sorted by position for row-group pruning."""
     calls.withColumn("batch", F.lit(batch)).repartitionByRange("chrom_num", "pos").sortWithinPartitions("chrom_num", "pos", "sample_id").write.mode(mode).partitionBy("chrom_num").parquet(path)
+
+
+def small_folders(spark: SparkSession, path: str, target: int) -> list[tuple[int, int]]:
+    """(chrom_num, bytes) of the store's folders that hold at least twice as many files as they need at `target` bytes each. Only names and lengths are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    by = files.groupBy(F.regexp_extract("path", "chrom_num=([0-9]+)", 1).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"))
+    rows = by.where((F.col("n") > 1) & (F.col("n") >= 2 * F.ceil(F.col("size") / target))).collect()
+    return sorted((r["c"], r["size"]) for r in rows)
+
+
+def compact(spark: SparkSession, path: str, target: int = 256_000_000) -> list[int]:
+    """Pack the store's small files into files of about `target` bytes, each a range of positions; the chromosomes whose folders were replaced.
+
+    Each chromosome is cut at quantiles of its positions (one sketch each), a cut is one task's rows, and the folders are replaced when the job commits: readers that begin before see the old files or fail
+    for want of them, those that begin later see the new ones. Batches stay apart by their column, so incremental.current() gives what it gave.
+    """
+    folders = small_folders(spark, path, target)
+    if not folders:
+        return []
+    rows = spark.read.parquet(path).where(F.col("chrom_num").isin(*[c for c, _ in folders]))
+    files = {c: -(-size // target) for c, size in folders}
+    most = max(files.values())
+    shares = F.create_map(*[F.lit(x) for c, n in files.items() for x in (c, n)])
+    cuts = rows.groupBy("chrom_num").agg(F.percentile_approx("pos", [k / most for k in range(1, most)] or [1.0], 10_000).alias("_cuts"))
+    at = rows.join(F.broadcast(cuts), "chrom_num")  # a row for each chromosome
+    # Of the finest cuts every chromosome takes as many as it needs files.
+    part = F.floor(F.size(F.filter("_cuts", lambda x: x < F.col("pos"))) * shares[F.col("chrom_num")] / F.lit(most)).cast("int")
+    out = at.withColumn("_part", part).drop("_cuts").repartitionByRange(sum(files.values()), "chrom_num", "_part").sortWithinPartitions("chrom_num", "pos", "sample_id").drop("_part")
+    out.select(*[c for c in rows.columns if c != "chrom_num"], "chrom_num").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chrom_num").parquet(path)
+    return [c for c, _ in folders]

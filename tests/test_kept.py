@@ -191,3 +191,37 @@ def test_sketch_points_are_within_their_bound(spark):
 def test_counts_of_a_load(spark, tmp_path):
     calls = merge.decoded(spark.createDataFrame([call(1, c, p) for c in (1, 3) for p in range(5 * c)], CALL)).repartition(3)
     assert sinks.write_store_counted(calls, f"file://{tmp_path}/s") == {1: 5, 3: 15} and spark.read.parquet(f"file://{tmp_path}/s").count() == 20
+
+
+def test_tiles_are_bounded_by_their_width(spark):
+    rows = [call(s, 1, p, "1/1" if s % 2 else "0/1") for p in (5, 9) for s in [1, 2, 999, 1000, 1001, 50_000, 99_999, 100_000]] + [call(s, 1, 7) for s in range(1, 3001)]
+    calls = spark.createDataFrame(rows, CALL)
+    tiles = merge.merge_tiles(calls, 100_000, 1000)
+    got = tiles.select("pos", "block", F.size("cells").alias("n")).collect()
+    assert max(r["n"] for r in got) <= 1000 and len(got) == 2 * 4 + 3
+    assert tiles._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    few = calls.where("sample_id <= 1001")
+    assert merge.from_tiles(merge.merge_tiles(few, 1001, 10), 1001).collect() == merge.merge_tped(few, 1001).collect()
+    assert merge.from_tiles(merge.merge_tiles(few.where("false"), 5, 2), 5).count() == 0
+
+
+def test_compaction(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    calls = merge.decoded(spark.createDataFrame([call(s, c, p, qual=float(p)) for s in (1, 2) for c in (1, 2) for p in range(1, 400)], CALL))
+    for i in range(4):
+        sinks.write_store(calls.where((F.col("pos") % 4 == i) | ((F.col("chrom_num") == 1) & (F.col("pos") == 8))), path, i)
+    sinks.write_store(calls.withColumn("chrom_num", F.lit(3)).coalesce(1).limit(5), path, 9)
+    before = sorted(map(str, incremental.current(spark.read.parquet(path)).collect()))
+    sizes = lambda: {c: [os.path.getsize(f) for f in sorted((tmp_path / "store" / f"chrom_num={c}").glob("*.parquet"))] for c in (1, 2, 3)}
+    old, third = sizes(), sorted((tmp_path / "store" / "chrom_num=3").iterdir())
+    target = max(map(sum, old.values())) // 2 + 1
+    assert sinks.compact(spark, path, target) == [c for c in (1, 2) if len(old[c]) >= 2 * -(-sum(old[c]) // target)] and 1 in sinks_done(old, target)
+    assert sorted(map(str, incremental.current(spark.read.parquet(path)).collect())) == before
+    new = sizes()
+    assert all(len(new[c]) < len(old[c]) and max(new[c]) < 2 * target for c in (1, 2))
+    assert third == sorted((tmp_path / "store" / "chrom_num=3").iterdir())  # folders without small files stay as they are
+    assert sinks.compact(spark, path, target) == []
+
+
+def sinks_done(old, target):
+    return [c for c in old if len(old[c]) >= 2 * -(-sum(old[c]) // target)]
