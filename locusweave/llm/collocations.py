@@ -2,7 +2,7 @@
 
 Texts are tokenised once into packed parts: the distinct (language, word) pairs of some 4 MB of text, with hashes, and the words of each piece as numbers of
 those pairs. Level k reads the parts with the frequent (k-1)-grams broadcast, and counts a k-gram only where both
-(k-1)-grams in it are frequent. Counting goes by 64-bit hashes of k-grams, which Spark sums; grams that share a hash are counted together, so hashes that reach the
+(k-1)-grams in it are frequent. Counting goes by 48-bit hashes of k-grams, which Spark sums; grams that share a hash are counted together, so hashes that reach the
 least count are a superset. A last pass emits the phrases themselves for those hashes, per part grouped by their words, not by hashes, and Spark sums
 them by language and phrase: the level tables are exact. Cuts are scored by joins with the level tables, in decimals of 38 digits.
 
@@ -27,9 +27,11 @@ from .common import drop, expand, held as kept, partitions, sliced, small, squee
 from .shingle import hashes
 
 #: Text bytes of a part; parts that a task reads; hashes and phrases that a task sums before it gives them on.
-PART_BYTES, TASK_PARTS, SUMMED_HASHES, SUMMED = 1_000_000, 128, 400_000, 150_000
+PART_BYTES, TASK_PARTS, SUMMED_HASHES, SUMMED = 1_000_000, 64, 1_000_000, 150_000
 #: Hashes of a broadcast (32 MB); bytes of a level table that is broadcast.
 MOST_KNOWN, SMALL_BYTES = 4_000_000, 16_000_000
+#: Lowest bits of a hash that counting leaves out, which makes rows of a shuffle smaller: 48 bits are counted.
+SHORT = np.uint64(16)
 #: Words of the longest phrase.
 LONGEST = 5
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -131,19 +133,20 @@ def packed(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 def in_tasks(parts: DataFrame) -> DataFrame:
     """The parts, about TASK_PARTS in a task, so that each task sums its counts over much text before they are shuffled."""
-    return parts.coalesce(max(2 * parts.sparkSession.sparkContext.defaultParallelism, parts.count() // TASK_PARTS))
+    return parts.coalesce(max(4 * parts.sparkSession.sparkContext.defaultParallelism, parts.count() // TASK_PARTS))
 
 
 class Known:
-    """A set of hashes: a small table rules most others out, binary search decides."""
+    """A set of shortened hashes: a small table rules most others out, binary search decides."""
 
     def __init__(self, values: np.ndarray):
         self.values = np.sort(values.view(np.uint64))
-        self.shift = np.uint64(64 - int(np.clip(16 * len(values), 1 << 16, 1 << 24) - 1).bit_length())
-        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.shift = np.uint64(64 - int(SHORT) - int(np.clip(16 * len(values), 1 << 16, 1 << 24) - 1).bit_length())
+        self.table = np.zeros(1 << (64 - int(SHORT) - int(self.shift)), bool)
         self.table[self.values >> self.shift] = True
 
     def holds(self, h: np.ndarray) -> np.ndarray:
+        h = h >> SHORT
         out = self.table[h >> self.shift]
         some = np.flatnonzero(out)
         if len(self.values):
@@ -213,7 +216,7 @@ def count_level(parts: DataFrame, k: int, frequent: DataFrame | None, least: int
     if k == 1:
 
         def words(batches):
-            yield from given_on((expand(b.column(0)[0].as_py(), np.uint64), expand(b.column(1)[0].as_py(), np.int64)) for b in sliced(batches, 1))
+            yield from given_on((expand(b.column(0)[0].as_py(), np.uint64) >> SHORT, expand(b.column(1)[0].as_py(), np.int64)) for b in sliced(batches, 1))
 
         counted = parts.select("hash", "count").mapInArrow(words, "h long, n long")
     else:
@@ -238,7 +241,7 @@ def count_level(parts: DataFrame, k: int, frequent: DataFrame | None, least: int
                     h[at] = g
                     last = last[last + (k - 1) < len(codes)]
                     last = last[codes[last + (k - 1)] >= 0]
-                    yield np.unique(longer(h[last], word[codes[last + (k - 1)]]) if len(last) else np.zeros(0, np.uint64), return_counts=True)
+                    yield np.unique(longer(h[last], word[codes[last + (k - 1)]]) >> SHORT if len(last) else np.zeros(0, np.uint64), return_counts=True)
 
             one = parts.select("hash", "codes").mapInArrow(grams, "h long, n long")
             counted = one if counted is None else counted.unionByName(one)
