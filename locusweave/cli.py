@@ -2,7 +2,9 @@
 
 vcf and tped merge per-sample files, blocks merges TPED results that have the reference column, correct rewrites references, split takes
 multi-sample files apart, tfam writes family rows, regions lists equal parts of the genome, sample lists every so-manieth locus or a random share of the calls,
-points lists positions that cut chromosomes into parts, names lists files with their sample, load adds files to the call store and export merges from it.
+points lists positions that cut chromosomes into parts, names lists files with their sample, load adds files to the call store, export merges from it and compact packs
+its small files. update adds a batch of files to a store by bins and merges only the bins that it touches again. index writes files as block-gzipped text with a position index, and fetch
+reads regions of such files by it.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.variant import CHROM_NAMES, encode
-from .operators import filters, merge, partition, reshape
-from .sources import sinks, vcf
+from .functions.variant import CHROM_NAMES, chrom_num, encode
+from .operators import delta, filters, merge, partition, reshape
+from .sources import bgzf, sinks, vcf
 from .streaming import incremental
 
 
@@ -55,10 +57,14 @@ def parser() -> argparse.ArgumentParser:
     command("split", "i/input", "o/output", "c/chromosomes", "n/first", "d/names", "r/regions", "s/stacked", "z/compression", "w/public-names")
     command("tfam", "i/input", "d/ids", "o/output", "c/folders")
     command("sample", "i/input", "o/output", *chosen, "k/every", "s/rate")
-    command("points", "i/input", "o/output", *chosen, "p/parts", "s/rate")
+    command("points", "i/input", "o/output", *chosen, "p/parts", "s/rate", "d/sketch")
     command("names", "i/input", "o/output", "e/numbered")
     command("regions", "o/output", "c/chromosomes", "p/parts", "t/prefix")
-    command("load", "i/input", "o/output", "k/checkpoint", "g/genotypes")
+    command("load", "i/input", "o/output", "k/checkpoint", "g/genotypes", "j/rejects")
+    command("compact", "i/input", "s/size")
+    command("update", "i/input", "s/store", "o/output", "n/samples", "k/batch", "q/quality", "c/chromosomes")
+    command("index", "i/input", "o/output", "c/chromosomes")
+    command("fetch", "i/input", "o/output", "r/regions", "f/one-file", "z/compression")
     command("export", "i/input", "o/output", "n/samples", *chosen, "t/format", *layout, "H/header", "R/reference")
     return top
 
@@ -94,6 +100,11 @@ OPTIONS = {
     "every": {"type": int, "default": 0, "help": "every so-manieth locus of each chromosome"},
     "rate": {"type": float, "default": 1.0, "help": "share of the calls"},
     "checkpoint": {"required": True, "help": "state of the stream"},
+    "rejects": {"default": None, "help": "folder for lines that are no call, by batch and reason"},
+    "size": {"type": int, "default": 256_000_000, "help": "bytes of a packed file"},
+    "store": {"required": True, "help": "folder of the calls by bin"},
+    "batch": {"type": int, "required": True, "help": "number of the batch; a later one wins, and one that is run again replaces itself"},
+    "sketch": {"action": "store_true", "help": "cut at quantiles of the calls by a sketch, in one pass"},
     "format": {"choices": ["vcf", "tped"], "default": "vcf", "help": "kind of result"},
 }
 
@@ -107,7 +118,7 @@ def write_merged(calls: DataFrame, a: argparse.Namespace, kind: str, genotypes:
     merged = merge.merge_tped(calls, a.samples) if kind == "tped" else merge.merge_vcf(calls, a.samples, genotypes)
     line = sinks.tped_line(ref=getattr(a, "reference", False)) if kind == "tped" else sinks.vcf_line()
     header = sinks.vcf_header(sinks.sample_names(a.samples, genotypes)) if kind == "vcf" and getattr(a, "header", False) else None
-    write_layout(merged, line, a, header)
+    write_layout(merged, line, a, header, calls)
 
 
 def unfinished(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
@@ -116,11 +127,11 @@ def unfinished(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
     return rows.where(~F.col("chrom_num").isin(done)) if done else rows
 
 
-def write_layout(merged: DataFrame, line, a: argparse.Namespace, header: list[str] | None = None) -> None:
+def write_layout(merged: DataFrame, line, a: argparse.Namespace, header: list[str] | None = None, calls: DataFrame | None = None) -> None:
     if a.cuts:
         sinks.write_regions(partition.in_parts(merged, partition.split_points(merged, a.cuts)), line, a.output, a.compression)
     else:
-        sinks.write_lines(merged, line, a.output, a.by_chromosome, a.one_file, a.compression, header)
+        sinks.write_lines(merged, line, a.output, a.by_chromosome, a.one_file, a.compression, header, calls)
 
 
 def run(spark: SparkSession, args: list[str] | None = None) -> None:
@@ -139,7 +150,8 @@ def run(spark: SparkSession, args: list[str] | None = None) -> None:
         some = partition.systematic(calls, a.every) if a.every else partition.bernoulli(calls, a.rate)
         sinks.write_lines(some.orderBy("chrom_num", "pos"), F.concat_ws("\t", "chrom_num", "pos").alias("value"), a.output)
     elif a.command == "points":
-        points = partition.split_or_sampled(chosen_calls(vcf.read_vcf(spark, a.input), a), a.parts, a.rate)
+        calls = chosen_calls(vcf.read_vcf(spark, a.input), a)
+        points = partition.sketch_points(calls, a.parts) if a.sketch else partition.split_or_sampled(calls, a.parts, a.rate)
         sinks.write_lines(points.orderBy("chrom_num", "part"), F.concat_ws("\t", "chrom_num", "part", "pos").alias("value"), a.output)
     elif a.command == "names":
         files = vcf.sample_files(spark, a.input, a.numbered).orderBy("sample_id", "file_name")
@@ -148,7 +160,21 @@ def run(spark: SparkSession, args: list[str] | None = None) -> None:
         store = incremental.current(filters.by_chromosome(vcf.read_store(spark, a.input), *a.chromosomes))
         write_merged(chosen_calls(store, a), a, a.format)
     elif a.command == "load":
-        incremental.follow(spark, a.input, a.output, a.checkpoint, a.genotypes).awaitTermination()
+        incremental.follow(spark, a.input, a.output, a.checkpoint, a.genotypes, a.rejects).awaitTermination()
+    elif a.command == "compact":
+        sinks.compact(spark, a.input, a.size)
+    elif a.command == "update":
+        keep = filters.at_least(a.quality) & F.col("chrom_num").between(*a.chromosomes)
+        delta.delta_merge(vcf.read_vcf(spark, a.input, decoded=False), a.store, a.output, a.samples, a.batch, keep=keep)
+    elif a.command == "index":
+        text = vcf.lines(spark, a.input)
+        rows = vcf.body_lines(text).select("value", F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).try_cast("long").alias("pos"), F.length(F.get("f", F.lit(3))).alias("n"))
+        rows = filters.by_chromosome(rows.withColumn("chrom_num", chrom_num(F.col("chrom"))).where("pos is not null"), *a.chromosomes)
+        bgzf.write_bgzf(rows, F.col("value"), a.output, length=F.greatest(F.col("n"), F.lit(1)))
+    elif a.command == "fetch":
+        rows = bgzf.read_bgzf(spark, a.input, a.regions).select("value", "file_name")
+        order = rows.withColumn("f", F.split("value", "\t")).orderBy(chrom_num(F.get("f", F.lit(0))), F.get("f", F.lit(1)).cast("long"))
+        sinks.write_lines(order, F.col("value"), a.output, one_file=a.one_file, compression=a.compression)
     elif a.command == "correct":
         # Genotypes keep their numbers: they are written against the reference that the file had.
         calls = vcf.read_vcf(spark, a.input).withColumn("genotypes", F.transform("gts", lambda g: encode(g, F.col("ref"), F.col("alts"))))

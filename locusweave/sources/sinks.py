@@ -38,16 +38,17 @@ def finished(spark, path: str) -> list[int]:
     return sorted(int(x.removeprefix("chrom_num=")) for x in names if x.startswith("chrom_num="))
 
 
-def write_lines(merged: DataFrame, line: Column, path: str, by_chromosome: bool = False, one_file: bool = False, compression: str | None = None, header: list[str] | None = None) -> None:
+def write_lines(merged: DataFrame, line: Column, path: str, by_chromosome: bool = False, one_file: bool = False, compression: str | None = None, header: list[str] | None = None, calls: DataFrame | None = None) -> None:
     """Text in the order of merged (chrom_num, pos). by_chromosome: one folder per chromosome, and a rerun replaces only the folders it writes. one_file is for small results.
 
     header: lines before all others (in every folder); they are the first part file, so parts joined by name are one file. Folders are written in an order
     that the sort states in full (folder, line of the header, position): the writer's own order by folder is a prefix of it, so nothing is sorted again.
+    calls: what was merged, if each of its chromosomes is in merged: then the folders that need a header are found without merging twice.
     """
     folder = ["chrom_num"] if by_chromosome else []
     if header:
         lines = F.posexplode(F.array(*map(F.lit, header))).alias("_line", "value")
-        heads = merged.select("chrom_num").distinct() if by_chromosome else merged.sparkSession.range(1)
+        heads = (merged if calls is None else calls).select("chrom_num").distinct() if by_chromosome else merged.sparkSession.range(1)
         head = heads.select(*folder, lines, F.lit(-1).cast("long").alias("pos")).coalesce(1)
         out = head.unionByName(merged.select(*folder, F.lit(len(header)).alias("_line"), line, F.col("pos").cast("long").alias("pos")))
         out = out.sortWithinPartitions(*folder, "_line", "pos") if by_chromosome else out.sortWithinPartitions("_line") if one_file else out

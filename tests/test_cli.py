@@ -5,6 +5,8 @@ import argparse
 import pytest
 
 from locusweave import cli
+from locusweave.operators import delta
+from locusweave.sources import sinks
 
 from .test_engine import GOLDEN, TPED, VCF, write
 
@@ -43,6 +45,26 @@ def test_other_commands(spark, tmp_path):
     assert [x.split()[-1] for x in lines(spark, tmp_path / "s")] == ["S2", "0|1"]
 
 
+def test_update_index_fetch_compact(spark, tmp_path):
+    folder = write(tmp_path / "in", GOLDEN)
+    one = write(tmp_path / "first", {k: GOLDEN[k] for k in (1, 2)})
+    two = write(tmp_path / "then", {3: GOLDEN[3]})
+    for i, batch in enumerate((one, two)):
+        cli.run(spark, ["update", "-i", batch, "-s", f"file://{tmp_path}/bins", "-o", f"file://{tmp_path}/merged", "-n", "3", "-k", str(i)])
+    cli.run(spark, ["tped", "-i", folder, "-o", f"{tmp_path}/t", "-n", "3", "-f"])
+    got = delta.read_merged(spark, f"file://{tmp_path}/merged")
+    assert [" ".join(r[0].split()) for r in got.select(sinks.tped_line()).collect()] == lines(spark, tmp_path / "t")
+    cli.run(spark, ["index", "-i", folder, "-o", f"file://{tmp_path}/z"])
+    cli.run(spark, ["fetch", "-i", f"file://{tmp_path}/z", "-o", f"{tmp_path}/x", "-r", "chrX,1:150-300", "-f"])
+    assert sorted(lines(spark, tmp_path / "x")) == sorted(r for rows in GOLDEN.values() for r in rows if r.startswith(("chrX", "chr1 200")))
+    cli.run(spark, ["load", "-i", folder, "-o", f"{tmp_path}/store", "-k", f"{tmp_path}/state", "-j", f"{tmp_path}/rejects"])
+    cli.run(spark, ["compact", "-i", f"{tmp_path}/store"])
+    cli.run(spark, ["export", "-i", f"{tmp_path}/store", "-o", f"{tmp_path}/e", "-n", "3", "-b", "-H"])
+    assert len([x for x in lines(spark, tmp_path / "e") if x.startswith("#CHROM")]) == 4 and sorted(x for x in lines(spark, tmp_path / "e") if x[0] != "#") == sorted(VCF)
+    cli.run(spark, ["points", "-i", folder, "-o", f"{tmp_path}/p", "-p", "2", "-d"])
+    assert "1 1 100" in lines(spark, tmp_path / "p")
+
+
 def test_chromosomes():
     assert cli.chromosomes("chr1-X") == (1, 23) and cli.chromosomes("MT") == (26, 26)
     with pytest.raises(argparse.ArgumentTypeError):
