@@ -105,6 +105,16 @@ def genome_splits(spark: SparkSession, parts: int, first: int = 1, last: int = 2
     return s.join(genome, at("z")).select("split", "start_chrom", "start_pos", F.col("c").alias("end_chrom"), (F.col("z") - F.col("before")).alias("end_pos"))
 
 
+def in_splits(calls: DataFrame, parts: int, first: int = 1, last: int = 26) -> DataFrame:
+    """calls of these chromosomes with `split`: which of genome_splits() they lie in, by arithmetic on the place in the genome; a position beyond its chromosome's length counts as its end."""
+    lengths = LENGTHS[first - 1 : last]
+    before = F.create_map(*[F.lit(x) for i in range(len(lengths)) for x in (first + i, sum(lengths[:i]))])
+    length = F.create_map(*[F.lit(x) for i, n in enumerate(lengths) for x in (first + i, n)])
+    place = before[F.col("chrom_num")] + F.least("pos", F.greatest(length[F.col("chrom_num")], F.lit(1)))
+    split = F.least(F.floor((place - 1) / (sum(lengths) // parts)), F.lit(parts - 1)).cast("int")
+    return calls.where(F.col("chrom_num").between(first, last)).withColumn("split", split)
+
+
 def split_regions(splits: DataFrame, prefix: str = "chr") -> DataFrame:
     """split, region: the region texts of each split, in chromosome order."""
     each = splits.select("*", F.explode(F.sequence("start_chrom", "end_chrom")).alias("c"))

@@ -241,10 +241,13 @@ def split_points(spark, sf_dir):
 @query(f"""
  , g as (select c, sum(len) over (order by c) - len before, sum(len) over (order by c) upto from (select unnest(range(1, 27)) c, unnest({partition.LENGTHS}) len)),
  s as (select i, i * 772071600 + 1 a, case when i = 3 then 3088286401 else (i + 1) * 772071600 end z from range(4) r(i))
- select cast(i as int) split, cast(p.c as int) start_chrom, cast(a - p.before as bigint) start_pos, cast(q.c as int) end_chrom, cast(z - q.before as bigint) end_pos
- from s join g p on a > p.before and a <= p.upto join g q on z > q.before and z <= q.upto""")
+ , held as (select least((g.before + least(calls.pos, greatest(g.len, 1)) - 1) // 772071600, 3) i, count(*) calls from calls join g on calls.chrom_num = g.c group by all)
+ select cast(s.i as int) split, cast(p.c as int) start_chrom, cast(a - p.before as bigint) start_pos, cast(q.c as int) end_chrom, cast(z - q.before as bigint) end_pos, coalesce(held.calls, 0) calls
+ from s join g p on a > p.before and a <= p.upto join g q on z > q.before and z <= q.upto left join held on s.i = held.i""".replace("(select c, sum(len)", "(select c, len, sum(len)").replace("\n , held", ", held"))
 def genome_splits(spark, sf_dir):
-    return partition.genome_splits(spark, 4)
+    """Equal parts of the genome, and how many calls lie in each."""
+    held = partition.in_splits(calls(spark, sf_dir), 4).groupBy("split").agg(F.count(F.lit(1)).alias("calls"))
+    return partition.genome_splits(spark, 4).join(held, "split", "left").fillna(0, ["calls"])
 
 
 @query(f"select {BASIC} from calls")
