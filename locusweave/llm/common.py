@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import TYPE_CHECKING
@@ -12,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove, scratch
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
@@ -20,23 +20,6 @@ if TYPE_CHECKING:
 SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a single-machine session gets a temporary
-    one; on a cluster that is an error, as other machines don't see a local folder."""
-    at = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not at:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="locusweave-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -47,23 +30,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _file(spark: SparkSession, path: str) -> tuple:
-    """The file system of a path and the path in its own type."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _file(spark, path)
-    return fs.exists(at)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def drop(*tables: DataFrame | None) -> None:
     """Delete tables made by stash() that no plan reads any more."""
     for t in tables:
         if path := getattr(t, "stash_path", None):
-            fs, at = _file(t.sparkSession, path)
-            fs.delete(at, True)
+            remove(t.sparkSession, path)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

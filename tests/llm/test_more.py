@@ -407,7 +407,7 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
         conf, sparkContext = Conf(), Context()
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.shared_dir(Session())
+        common.scratch(Session(), "x")
 
 
 def test_pipeline_odd_tables(spark, tmp_path):
