@@ -534,3 +534,15 @@ def compacted_scan(spark, sf_dir):
         sinks.write_store(c.where(F.col("sample_id") % 3 == i), path, i)
     sinks.compact(spark, path)
     return basic(filters.by_chromosome(vcf.read_store(spark, path), 4, 9).where("pos between 20 and 400"))
+
+
+@query(ORACLE_SQL["vcf_text"].split("where chrom_num <= 22)", 1)[1])
+def named_files(spark, sf_dir):
+    """Per-sample files in one folder, each named by its sample, which is read from the name."""
+    folders, path = scratch(spark, "sample-folders"), scratch(spark, "named-files")
+    sinks.write_calls(calls(spark, sf_dir), folders)
+    sinks.name_by_sample(spark, folders, path)
+    vcf.check_samples(spark, path, N)
+    g = F.col("gts")[0]
+    got = vcf.read_vcf(spark, path).withColumn("genotype", F.concat(F.array_join(g["alleles"], "/"), g["rest"]))
+    return got.select("sample_id", "chrom_num", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"), "qual", "filter", "info", "format", "genotype")

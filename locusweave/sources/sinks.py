@@ -80,6 +80,21 @@ def write_calls(calls: DataFrame, path: str, compression: str = "bzip2") -> None
     out.select(vcf_line(), "sample_id").write.mode("overwrite").option("compression", compression).partitionBy("sample_id").text(path)
 
 
+def name_by_sample(spark: SparkSession, folders: str, path: str) -> int:
+    """Move the part files of folders sample_id=n (write_calls) into one folder, named n.part.codec as vcf.sample_of() reads them; how many there are. Files are renamed, not copied."""
+    at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(path))
+    moved = 0
+    for folder in fs.listStatus(at(folders)):
+        if (name := folder.getPath().getName()).startswith("sample_id="):
+            parts = sorted(x.getPath().getName() for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-"))
+            for i, part in enumerate(parts):
+                fs.rename(at(f"{folders}/{name}/{part}"), at(f"{path}/{name.removeprefix('sample_id=')}.{i:05d}.{part.rsplit('.', 1)[-1]}"))
+                moved += 1
+    return moved
+
+
 def write_regions(merged: DataFrame, line: Column, path: str, compression: str | None = None) -> None:
     """One folder for each region (operators.partition.in_parts), named by it; in it the lines are in order. The last sort begins with the folder, as the writer asks for."""
     w = merged.sortWithinPartitions("region", "pos").select(line, "region").write.mode("overwrite").partitionBy("region")

@@ -153,3 +153,13 @@ def test_calls_written_by_sample(spark, tmp_path):
     again = vcf.read_vcf(spark, f"{tmp_path}/out", numbered="folder")
     assert text(merge.merge_vcf(filters.by_quality(again), 3), sinks.vcf_line()) == VCF
     assert bz2.open(next((tmp_path / "out" / "sample_id=2").glob("part-*.bz2")), "rt").readline().startswith("chr1\t100\trs1")
+
+
+def test_files_named_by_sample(spark, tmp_path):
+    calls = vcf.parse_calls(spark.createDataFrame([(f"chr1\t{p}\tr\tA\tC\t9\tPASS\ti\tGT\t0/1", s) for s in (1, 2, 11) for p in range(1, 40)], "value string, sample_id int"))
+    sinks.write_calls(calls, f"file://{tmp_path}/folders")
+    n = sinks.name_by_sample(spark, f"file://{tmp_path}/folders", f"file://{tmp_path}/flat")
+    names = sorted(x.name for x in (tmp_path / "flat").iterdir() if x.name.endswith("bz2"))
+    assert len(names) == n and {x.split(".")[0] for x in names} == {"1", "2", "11"}
+    got = vcf.read_vcf(spark, f"file://{tmp_path}/flat")
+    assert sorted((r.sample_id, r.pos) for r in got.collect()) == sorted((s, p) for s in (1, 2, 11) for p in range(1, 40))
