@@ -27,7 +27,7 @@ from .common import drop, expand, held as kept, partitions, sliced, small, squee
 from .shingle import hashes
 
 #: Text bytes of a part; parts that a task reads; hashes and phrases that a task sums before it gives them on.
-PART_BYTES, TASK_PARTS, SUMMED_HASHES, SUMMED = 1_000_000, 64, 1_000_000, 150_000
+PART_BYTES, TASK_PARTS, SUMMED_HASHES, SUMMED = 1_000_000, 64, 1_000_000, 400_000
 #: Hashes of a broadcast (32 MB); bytes of a level table that is broadcast.
 MOST_KNOWN, SMALL_BYTES = 4_000_000, 16_000_000
 #: Lowest bits of a hash that counting leaves out, which makes rows of a shuffle smaller: 48 bits are counted.
@@ -133,7 +133,7 @@ def packed(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 def in_tasks(parts: DataFrame) -> DataFrame:
     """The parts, about TASK_PARTS in a task, so that each task sums its counts over much text before they are shuffled."""
-    return parts.coalesce(max(4 * parts.sparkSession.sparkContext.defaultParallelism, parts.count() // TASK_PARTS))
+    return parts.coalesce(max(3 * parts.sparkSession.sparkContext.defaultParallelism, parts.count() // TASK_PARTS))
 
 
 class Known:
