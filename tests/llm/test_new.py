@@ -46,7 +46,7 @@ def random_texts(seed, n=120):
     return [(t, rng.choice(["de", "en", "en", None, "und", ""])) for t in texts] + [(None, "de"), ("", None), (" . ,", "fr")]
 
 
-@pytest.mark.parametrize("setting", [{}, {"PART_BYTES": 50}, {"MOST_KNOWN": 3}, {"collide": 3}])
+@pytest.mark.parametrize("setting", [{}, {"PART_BYTES": 50}, {"MOST_KNOWN": 12}, {"collide": 3}])
 def test_phrases(spark, monkeypatch, setting):
     """Also with small parts, with frequent grams in many shares, and with hashes that collide."""
     docs = random_texts(5)
