@@ -392,7 +392,7 @@ def fallback_points(spark, sf_dir):
 @query("""select chrom_num, k part, (select min(pos) from (select pos, row_number() over (order by pos) rn from calls c where c.chrom_num = s.chrom_num) where rn >= ceil(size * k / 4.0)) pos
  from (select chrom_num, count(*) size from calls group by all) s cross join unnest(range(1, 4)) r(k)""".replace("select chrom_num, k part,", "select chrom_num, cast(k as int) part,"))
 def sketch_points(spark, sf_dir):
-    """With fewer calls in a chromosome than the sketch's accuracy its cuts are exact."""
+    """A sketch of each chromosome says near which positions its cuts lie; calls are counted there, so cuts are exact."""
     return partition.sketch_points(calls(spark, sf_dir), 4)
 
 

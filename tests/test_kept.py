@@ -188,6 +188,18 @@ def test_sketch_points_are_within_their_bound(spark):
         assert [r["part"] for r in points] == [1, 2, 3]
 
 
+def test_sketch_points_are_exact(spark):
+    # Many calls of one position, and more calls than the sketch is accurate for.
+    pos = F.when(F.col("id") % 7 == 0, 5000).otherwise(F.pmod(F.xxhash64("id"), F.lit(9_001)))
+    calls = spark.range(60_000).select((F.col("id") % 3 + 1).cast("int").alias("chrom_num"), pos.alias("pos")).union(spark.sql("select 9, id from range(3)"))
+    by = {}
+    for r in calls.collect():
+        by.setdefault(r["chrom_num"], []).append(r["pos"])
+    for regions, accuracy in ((4, 50), (7, 10_000)):
+        want = sorted((c, k, sorted(v)[-(-len(v) * k // regions) - 1]) for c, v in by.items() for k in range(1, regions))
+        assert sorted(map(tuple, partition.sketch_points(calls, regions, accuracy).collect())) == want
+
+
 def test_counts_of_a_load(spark, tmp_path):
     calls = merge.decoded(spark.createDataFrame([call(1, c, p) for c in (1, 3) for p in range(5 * c)], CALL)).repartition(3)
     assert sinks.write_store_counted(calls, f"file://{tmp_path}/s") == {1: 5, 3: 15} and spark.read.parquet(f"file://{tmp_path}/s").count() == 20
