@@ -200,6 +200,12 @@ def test_sketch_points_are_exact(spark):
         assert sorted(map(tuple, partition.sketch_points(calls, regions, accuracy).collect())) == want
 
 
+def test_sampled_points_take_all_calls(spark):
+    got = sorted(map(tuple, catalog.QUERIES["sampled_points"](spark, SF).collect()))
+    assert got and got == sorted(map(tuple, catalog.QUERIES["split_points"](spark, SF).collect()))
+    assert "md5" not in catalog.ORACLE_SQL["sampled_points"]
+
+
 def test_counts_of_a_load(spark, tmp_path):
     calls = merge.decoded(spark.createDataFrame([call(1, c, p) for c in (1, 3) for p in range(5 * c)], CALL)).repartition(3)
     assert sinks.write_store_counted(calls, f"file://{tmp_path}/s") == {1: 5, 3: 15} and spark.read.parquet(f"file://{tmp_path}/s").count() == 20
