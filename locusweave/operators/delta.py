@@ -2,7 +2,8 @@
 
 The call store and the merged table are folders by (chrom_num, bin), and the store has a folder for each batch below. Adding a batch writes its own
 folders, reads the store in the bins that these name (folders of all other bins are pruned), and replaces those folders of the merged table. A batch that is run
-again replaces what it wrote. There are at most genome length / BIN bins, whatever the number of calls, so their list is a filter of literals.
+again replaces what it wrote. There are at most genome length / BIN bins, whatever the number of calls, so their list is a filter of literals. Every folder costs the
+driver some kilobytes (names that tasks send when they end, lists of files), so a size below BIN goes with width(), which bounds their number.
 """
 
 from __future__ import annotations
@@ -18,6 +19,16 @@ from .merge import merge_tped
 
 #: Positions of a bin.
 BIN = 1_000_000
+#: Bins of a table at most, where width() chooses their size.
+MOST_BINS = 2_000
+
+
+def width(loci: DataFrame, size: int = BIN) -> int:
+    """Positions of a bin: `size`, or so many times twice it that these loci lie in MOST_BINS bins at most (chromosomes count from position 0). For all batches of a store."""
+    last = [r["last"] for r in loci.groupBy("chrom_num").agg(F.max("pos").alias("last")).where("last is not null").collect()]  # a row for each chromosome
+    while size < BIN and sum(x // size + 1 for x in last) > MOST_BINS:
+        size *= 2
+    return size
 
 
 def bin_of(size: int = BIN) -> Column:

@@ -496,11 +496,12 @@ LATE = f"select sample_id, chrom_num, pos, rs, ref, alt, qual, flt, info, fmt, '
 @query(", e as (select * replace (case when sample_id >= 4 and pos <= 400 then '1/1' else gt end as gt) from autosomal where sample_id <= 5 or pos <= 400)"
        + ORACLE_SQL["tped_merge"].split("where chrom_num <= 22)", 1)[1].replace("autosomal", "e"))
 def delta_merge(spark, sf_dir):
-    """Samples 1-5 are merged; then the bins that a later batch touches are merged again."""
+    """Samples 1-5 are merged; then the bins that a later batch touches are merged again. Bins of 256 positions, or wider ones where that would be too many."""
     store, merged = scratch(spark, "binned-store"), scratch(spark, "binned-merge")
     keep = filters.at_least("PASS") & F.col("chrom_num").between(1, 22)
-    delta.delta_merge(calls(spark, sf_dir).where("sample_id <= 5"), store, merged, N, 1, 256, keep)
-    delta.delta_merge(calls(spark, sf_dir, LATE), store, merged, N, 2, 256, keep)
+    size = delta.width(rows(spark, sf_dir, RAW), 256)
+    delta.delta_merge(calls(spark, sf_dir).where("sample_id <= 5"), store, merged, N, 1, size, keep)
+    delta.delta_merge(calls(spark, sf_dir, LATE), store, merged, N, 2, size, keep)
     return delta.read_merged(spark, merged).withColumn("genotypes", F.array_join("genotypes", " "))
 
 

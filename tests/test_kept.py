@@ -127,6 +127,18 @@ def test_delta_merge(spark, tmp_path):
     assert add(two, 2) == [(1, 1), (2, 1)] and got() == again and spark.read.parquet(store).count() == 8  # a batch that is run again
 
 
+def test_bins_are_bounded(spark, tmp_path, monkeypatch):
+    far = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_orderkey", F.col("l_orderkey") * 977)
+    far.write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(delta, "MOST_BINS", 60)
+    made, read = [], delta.read_merged
+    monkeypatch.setattr(delta, "read_merged", lambda spark, path: made.append(path) or read(spark, path))
+    got = catalog.QUERIES["delta_merge"](spark, f"file://{tmp_path}").collect()
+    folders = spark.read.parquet(made[0]).select("chrom_num", "bin").distinct().count()
+    assert 22 <= folders <= 60 and len(got) > 500
+    assert delta.width(spark.range(500).select(F.lit(1).alias("chrom_num"), "id").withColumnRenamed("id", "pos"), 100) == 100
+
+
 def test_stored_blocks_are_merged_without_an_exchange(spark, tmp_path):
     calls = spark.createDataFrame([call(s, 1, p, random.Random(p * s).choice(["0/1", "1/1"])) for s in range(1, 7) for p in range(1, 60) if (p + s) % 3], CALL)
     blocks, names = [], []
