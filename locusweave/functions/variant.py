@@ -15,7 +15,7 @@ RANKS = {"PASS": 3, "Q20": 2, "Q10": 1}
 
 def chrom_text(c: Column) -> Column:
     """The name without a leading "chr" in any case."""
-    return F.regexp_replace(c, "^(?i)chr", "")
+    return F.when(F.lower(c.substr(1, 3)) == "chr", c.substr(F.lit(4), F.length(c))).otherwise(c)
 
 
 def chrom_num(c: Column) -> Column:

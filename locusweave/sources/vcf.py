@@ -50,8 +50,8 @@ def check_samples(spark: SparkSession, path: str | list[str], n: int, numbered:
 
 
 def body_lines(text: DataFrame) -> DataFrame:
-    """Without headers and empty lines, and with the fields f."""
-    return text.where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).withColumn("f", F.split(F.trim(F.col("value")), r"\s+"))
+    """Without headers and empty lines, and with the fields f. They come from a generator, as Spark would move later filters below a plain column and split each line once for every use of f in them."""
+    return text.where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).withColumn("f", F.explode(F.array(F.split(F.trim(F.col("value")), r"\s+"))))
 
 
 def fault(columns: tuple[int, ...] = (9,)) -> Column:
