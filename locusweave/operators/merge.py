@@ -29,6 +29,12 @@ def distinct_calls(calls: DataFrame, best: list[Column] | None = None) -> DataFr
     return calls.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
+def one_call(calls: DataFrame, by: list[str], best: list[Column]) -> DataFrame:
+    """distinct_calls() of raw calls, range-partitioned and sorted by `by` (sample_id, chrom_num and pos in any order), with one exchange: duplicates go behind it, by the same sort."""
+    first = Window.partitionBy(*by).orderBy(*best)
+    return calls.repartitionByRange(*by).withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+
+
 def decoded(calls: DataFrame) -> DataFrame:
     """Calls with `gts`, decoded from `texts` where they are still text."""
     if "texts" not in calls.columns:

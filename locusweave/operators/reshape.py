@@ -16,13 +16,13 @@ def split_samples(wide: DataFrame) -> DataFrame:
 
 
 def sample_lines(split: DataFrame, stacked: bool = True) -> DataFrame:
-    """sample, chrom_num, pos, value: text lines, with a header line at the head of each sample, or of each sample and chromosome where they aren't stacked."""
+    """sample, chrom_num, pos, value: text lines, with a header line at the head of each sample, or of each sample and chromosome where they aren't stacked. The headers are the first partition."""
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     body = split.select("sample", "chrom_num", "pos", F.concat_ws("\t", *map(dot, ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "gt"])).alias("value"))
     title = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
     heads = split.select("sample", F.lit(0).alias("chrom_num") if stacked else "chrom_num").distinct()
     head = heads.select("sample", "chrom_num", F.lit(-1).cast("long").alias("pos"), F.concat_ws("\t", F.lit(title), "sample").alias("value"))
-    return body.unionByName(head)
+    return head.coalesce(1).unionByName(body)
 
 
 def correct_reference(calls: DataFrame, x: float = 1.0, y: int = 0) -> DataFrame:

@@ -306,7 +306,7 @@ def valid_reading(spark, sf_dir):
  case gt when '1/1' then alt||'/'||alt else ref||'/'||alt end || ':' || cast(dp as varchar) genotype from calls""")
 def vcf_text(spark, sf_dir):
     path = scratch(spark, "vcf-text")
-    sinks.write_calls(calls(spark, sf_dir), path)
+    sinks.write_calls(raw(spark, sf_dir), path, best=best())
     g = F.col("gts")[0]
     got = vcf.read_vcf(spark, path, numbered="folder").withColumn("genotype", F.concat(F.array_join(g["alleles"], "/"), g["rest"]))
     return got.select("sample_id", "chrom_num", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"), "qual", "filter", "info", "format", "genotype")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions.variant import chrom_name, encode
+from ..operators.merge import decoded, one_call
 
 
 def tped_line(genotype_sep: str = " ", names: bool = False, ref: bool = False) -> Column:
@@ -65,18 +66,25 @@ def write_lines(merged: DataFrame, line: Column, path: str, by_chromosome: bool
     w.text(path)
 
 
-def write_samples(split: DataFrame, path: str, stacked: bool = True, compression: str = "bzip2") -> None:
-    """split: sample, chrom_num, pos and value (see operators.reshape.sample_lines); one folder per sample, or per sample and chromosome. Its parts joined by name are one file with its header first."""
+def write_samples(split: DataFrame, path: str, stacked: bool = True, compression: str = "bzip2", placed: bool = False) -> None:
+    """split: sample, chrom_num, pos and value (see operators.reshape.sample_lines); one folder per sample, or per sample and chromosome. Its parts joined by name are one file with its header first.
+
+    placed: the lines lie in ranges of sample, chromosome and position already (merge.one_call), behind a first partition of headers, so they stay where they are.
+    """
     keys = ["sample"] if stacked else ["sample", "chrom_num"]
     order = ["sample", "chrom_num", "pos"]
-    out = split.repartitionByRange(*order)
+    out = split if placed else split.repartitionByRange(*order)
     out.sortWithinPartitions(*order).select("value", *keys).write.mode("overwrite").option("compression", compression).partitionBy(*keys).text(path)
 
 
-def write_calls(calls: DataFrame, path: str, compression: str = "bzip2") -> None:
-    """Calls as per-sample text, one folder (sample_id=...) for each sample, with genotypes against the call's own alleles (vcf.read_vcf(numbered="folder") reads them)."""
+def write_calls(calls: DataFrame, path: str, compression: str = "bzip2", best: list[Column] | None = None) -> None:
+    """Calls as per-sample text, one folder (sample_id=...) for each sample, with genotypes against the call's own alleles (vcf.read_vcf(numbered="folder") reads them).
+
+    best: calls are raw, and the first by it of a sample and locus is written (merge.one_call).
+    """
+    by = ["sample_id", "chrom_num", "pos"]
     own = F.transform("gts", lambda g: encode(g, F.col("ref"), F.col("alts")))
-    out = calls.withColumn("genotypes", own).repartitionByRange("sample_id", "chrom_num", "pos").sortWithinPartitions("sample_id", "chrom_num", "pos")
+    out = decoded(one_call(calls, by, best) if best else calls.repartitionByRange(*by)).withColumn("genotypes", own).sortWithinPartitions(*by)
     out.select(vcf_line(), "sample_id").write.mode("overwrite").option("compression", compression).partitionBy("sample_id").text(path)
 
 
@@ -116,9 +124,11 @@ def write_store_counted(calls: DataFrame, path: str, batch: int = 0, mode: str =
     return {int(c): n for c, n in seen.get.items() if n}
 
 
-def write_store(calls: DataFrame, path: str, batch: int = 0, mode: str = "append") -> None:
-    """Add calls to the store: folders by chromosome, files sorted by position for row-group pruning."""
-    calls.withColumn("batch", F.lit(batch)).repartitionByRange("chrom_num", "pos").sortWithinPartitions("chrom_num", "pos", "sample_id").write.mode(mode).partitionBy("chrom_num").parquet(path)
+def write_store(calls: DataFrame, path: str, batch: int = 0, mode: str = "append", best: list[Column] | None = None) -> None:
+    """Add calls to the store: folders by chromosome, files sorted by position for row-group pruning. best: calls are raw, and the first by it of a sample and locus is kept (merge.one_call), with its genotypes decoded."""
+    by = ["chrom_num", "pos", "sample_id"]
+    out = decoded(one_call(calls, by, best)) if best else calls.repartitionByRange("chrom_num", "pos")
+    out.withColumn("batch", F.lit(batch)).sortWithinPartitions(*by).write.mode(mode).partitionBy("chrom_num").parquet(path)
 
 
 def small_folders(spark: SparkSession, path: str, target: int) -> list[tuple[int, int]]:

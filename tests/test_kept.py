@@ -1,5 +1,6 @@
 """Kept and indexed results: order after spills, block-gzipped regions, merges by bin and by bucket, rejected lines, sketches."""
 
+import bz2
 import gzip
 import io
 import os
@@ -139,6 +140,32 @@ def test_bins_are_bounded(spark, tmp_path, monkeypatch):
     assert delta.width(spark.range(500).select(F.lit(1).alias("chrom_num"), "id").withColumnRenamed("id", "pos"), 100) == 100
 
 
+def test_writers_take_raw_calls_with_one_exchange(spark, tmp_path):
+    raw, best = catalog.raw(spark, SF), catalog.best()
+    by = ["sample_id", "chrom_num", "pos"]
+    one = merge.one_call(raw, by, best)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = merge.distinct_calls(raw, best)
+    assert sorted(map(str, one.collect())) == sorted(map(str, want.collect())) and want.count() < raw.count()
+    sinks.write_calls(raw, f"file://{tmp_path}/t", best=best)
+    sinks.write_calls(merge.decoded(want), f"file://{tmp_path}/u")
+    assert sorted(map(str, spark.read.text(f"file://{tmp_path}/t").collect())) == sorted(map(str, spark.read.text(f"file://{tmp_path}/u").collect()))
+    lines = bz2.open(next((tmp_path / "t" / "sample_id=3").glob("part-*.bz2")), "rt").read().splitlines()
+    assert (at := [(vcf_number(x.split("\t")[0]), int(x.split("\t")[1])) for x in lines]) == sorted(at)
+
+
+def vcf_number(name):
+    return {"X": 23, "Y": 24, "XY": 25, "M": 26}.get(name[3:]) or int(name[3:])
+
+
+def test_lines_are_split_once(spark, tmp_path):
+    (tmp_path / "1.vcf").write_text("\n".join(LINES))
+    for f in (vcf.read_vcf(spark, f"file://{tmp_path}"), vcf.rejected(vcf.lines(spark, f"file://{tmp_path}").withColumn("sample_id", F.lit(1)))):
+        assert f._jdf.queryExecution().optimizedPlan().toString().count("\\s+") == 1
+    names = spark.createDataFrame([(x,) for x in ("chr1", "CHR22", "cHrx", "chr", "ch1", "", "xchr1", "chrchr1", "MT", " 7", None)], "c string")
+    assert [r[0] for r in names.select(catalog.V.chrom_num(F.col("c"))).collect()] == [1, 22, 23, None, None, None, None, None, 26, 7, None]
+
+
 def test_stored_blocks_are_merged_without_an_exchange(spark, tmp_path):
     calls = spark.createDataFrame([call(s, 1, p, random.Random(p * s).choice(["0/1", "1/1"])) for s in range(1, 7) for p in range(1, 60) if (p + s) % 3], CALL)
     blocks, names = [], []
