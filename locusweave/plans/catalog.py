@@ -538,7 +538,7 @@ def compacted_scan(spark, sf_dir):
 def named_files(spark, sf_dir):
     """Per-sample files in one folder, each named by its sample, which is read from the name."""
     folders, path = scratch(spark, "sample-folders"), scratch(spark, "named-files")
-    sinks.write_calls(calls(spark, sf_dir), folders)
+    sinks.write_calls(raw(spark, sf_dir), folders, best=best())
     sinks.name_by_sample(spark, folders, path)
     vcf.check_samples(spark, path, N)
     g = F.col("gts")[0]
