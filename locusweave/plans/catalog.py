@@ -363,8 +363,8 @@ CUTS = LOCI + ", cuts as (select chrom_num, pos from loci where (size + 1) // 4
 def region_text(spark, sf_dir):
     """Merged rows in one folder for each part of a chromosome, named by it."""
     path = scratch(spark, "region-text")
-    c = calls(spark, sf_dir)
-    sinks.write_regions(partition.in_parts(merge.merge_tped(c, N), partition.split_points(c, 4)), sinks.tped_line(ref=True), path)
+    c = raw(spark, sf_dir)
+    sinks.write_regions(partition.in_parts(merge.merge_tped(c, N, best=best()), partition.split_points(c, 4), ordered=True), sinks.tped_line(ref=True), path)
     f = F.split("value", "\t")
     return spark.read.text(path).select(f[0].cast("int").alias("chrom_num"), f[3].cast("long").alias("pos"), "region")
 
