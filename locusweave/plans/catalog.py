@@ -325,7 +325,8 @@ def vcf_folders(spark, sf_dir):
     """Per-chromosome VCF folders with their header: version, title line and number of loci of each."""
     path = scratch(spark, "vcf-folders")
     header = sinks.vcf_header(sinks.sample_names(N))
-    sinks.write_lines(merge.merge_vcf(autosomal(spark, sf_dir), N), sinks.vcf_line(), path, by_chromosome=True, compression="gzip", header=header)
+    merged = merge.merge_vcf(filters.by_chromosome(raw(spark, sf_dir), 1, 22), N, best=best(), keep=filters.at_least("PASS"))
+    sinks.write_lines(merged, sinks.vcf_line(), path, by_chromosome=True, compression="gzip", header=header, calls=autosomal(spark, sf_dir))
     v = spark.read.text(path)
     of = lambda test: F.array_join(F.collect_list(F.when(test, F.translate("value", "\t", " "))), " ")
     return v.groupBy("chrom_num").agg(of(F.col("value").startswith("##")).alias("version"), of(F.col("value").startswith("#CHROM")).alias("title"), F.count(F.when(~F.col("value").startswith("#"), 1)).alias("loci"))
