@@ -351,8 +351,10 @@ def sample_text(spark, sf_dir):
     """One bz2 folder for each sample, all chromosomes stacked below one header."""
     path = scratch(spark, "sample-text")
     name = F.concat(F.lit("chr"), V.chrom_name(F.col("chrom_num")))
-    r = rows(spark, sf_dir).select(F.concat(F.lit("S"), F.col("sample_id").cast("string")).alias("sample"), "chrom_num", "pos", name.alias("chrom"), F.col("rs").alias("id"), "ref", "alt", "qual", F.col("flt").alias("filter"), "info", F.col("fmt").alias("format"), "gt")
-    sinks.write_samples(reshape.sample_lines(reshape.split_samples(r)), path)
+    r = rows(spark, sf_dir, RAW).withColumn("sample", F.concat(F.lit("S"), F.col("sample_id").cast("string")))
+    r = merge.one_call(r, ["sample", "chrom_num", "pos"], best())
+    r = r.select("sample", "chrom_num", "pos", name.alias("chrom"), F.col("rs").alias("id"), "ref", "alt", "qual", F.col("flt").alias("filter"), "info", F.col("fmt").alias("format"), "gt")
+    sinks.write_samples(reshape.sample_lines(reshape.split_samples(r)), path, placed=True)
     return spark.read.text(path).select("sample", "value")
 
 
